@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, near_dup, token_files
+from . import bpe, decontaminate, language_id, near_dup, secrets_scan, token_files
 from .common import crc_mod, read_table
 
 
@@ -20,6 +20,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.through_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets_scan.train(secrets_scan.labelled_findings())
+    return secrets_scan.findings(read_table(spark, sf_dir, "documents"), forest)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_mod("doc_id", 4) == 2
@@ -37,7 +42,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_decontaminate, op5_token_files, op8_language_id, op9_near_dup, op10_bpe)
+    for f in (op3_decontaminate, op5_token_files, op7_secrets, op8_language_id, op9_near_dup, op10_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {}
