@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, near_dup, secrets_scan, token_files
+from . import bpe, decontaminate, language_id, language_model, near_dup, secrets_scan, token_files
 from .common import crc_mod, read_table
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = language_model.language_model_scores(docs, crc_mod("doc_id", 7) == 2)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -42,7 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_decontaminate, op5_token_files, op7_secrets, op8_language_id, op9_near_dup, op10_bpe)
+    for f in (op2_lm_score, op3_decontaminate, op5_token_files, op7_secrets, op8_language_id, op9_near_dup, op10_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {}
