@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, language_model, near_dup, secrets_scan, token_files
+from . import bpe, chat_format, decontaminate, language_id, language_model, near_dup, quality_rules, secrets_scan, token_files
 from .common import crc_mod, read_table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = "</s>[INST] ok [/INST]"
+    own = spark.sql("SELECT -1L AS conv_id, stack(2, 0L, 'user', 1L, 'assistant') AS (turn, role)").withColumn("text", F.lit(both))
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(rows.unionByName(own))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = language_model.language_model_scores(docs, crc_mod("doc_id", 7) == 2)
@@ -26,6 +33,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.through_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measured(read_table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = secrets_scan.train(secrets_scan.labelled_findings())
     return secrets_scan.findings(read_table(spark, sf_dir, "documents"), forest)
@@ -48,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_lm_score, op3_decontaminate, op5_token_files, op7_secrets, op8_language_id, op9_near_dup, op10_bpe)
+    for f in (op1_chat_format, op2_lm_score, op3_decontaminate, op5_token_files, op6_quality_rules, op7_secrets, op8_language_id, op9_near_dup, op10_bpe)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_format.DIGESTS_SQL, "op6_quality_rules": quality_rules.MEASURED_SQL}
