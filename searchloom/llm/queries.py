@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, language_model, near_dup, quality_rules, secrets_scan, token_files
+from . import bpe, chat_format, decontaminate, language_id, language_model, license_scan, near_dup, quality_rules, secrets_scan, token_files
 from .common import crc_mod, read_table
 
 
@@ -29,6 +29,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(license_scan.PATH_SQL).alias("path"))
+    return license_scan.scan(docs)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.through_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -59,7 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_format, op2_lm_score, op3_decontaminate, op5_token_files, op6_quality_rules, op7_secrets, op8_language_id, op9_near_dup, op10_bpe)
+    for f in (op1_chat_format, op2_lm_score, op3_decontaminate, op4_license_scan, op5_token_files, op6_quality_rules, op7_secrets, op8_language_id, op9_near_dup, op10_bpe)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_format.DIGESTS_SQL, "op6_quality_rules": quality_rules.MEASURED_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_format.DIGESTS_SQL, "op4_license_scan": license_scan.scan_sql(), "op6_quality_rules": quality_rules.MEASURED_SQL}
