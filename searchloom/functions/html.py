@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, SHORT_HOSTS
-from .text import col
-from .urls import domain, path, resolve, under_any
+from .text import col, let
+from .urls import base_parts, domain, path, resolve, resolve_in, under_any
 
 #: Elements that hold no prose.
 DROPPED = "script style noscript template svg nav header footer aside form".split()
@@ -31,7 +31,7 @@ def numeric_entities(text: Column, lead: str, digits: str, number) -> Column:
 
     def one(p: Column, i: Column) -> Column:
         d = F.regexp_extract(p, f"(?i)^({digits}+);", 1)
-        return F.when(i == 0, p).otherwise(F.concat(code_point(number(d)), F.substr(p, F.length(d) + 2)))
+        return F.when(i == 0, p).otherwise(let(d, lambda x: F.concat(code_point(number(x)), F.substr(p, F.length(x) + 2))))
 
     return F.array_join(F.transform(parts, one), "")
 
@@ -41,8 +41,14 @@ def decode_entities(text: Column | str) -> Column:
     out = col(text)
     for name, value in NAMED:
         out = F.replace(out, F.lit(name), F.lit(value))
-    out = F.when(out.contains("&#"), numeric_entities(out, "&#", r"\d", lambda d: F.coalesce(d.try_cast("decimal(38,0)"), F.lit(0xFFFD)))).otherwise(out)
-    return F.when(out.rlike("(?i)&#x"), numeric_entities(out, "&#x", "[0-9a-f]", lambda d: F.conv(F.right(d, F.lit(4)), 16, 10).cast("decimal(38,0)"))).otherwise(out)
+
+    def decimal(t: Column) -> Column:
+        return F.when(t.contains("&#"), numeric_entities(t, "&#", r"\d", lambda d: F.coalesce(d.try_cast("decimal(38,0)"), F.lit(0xFFFD)))).otherwise(t)
+
+    def hexadecimal(t: Column) -> Column:
+        return F.when(t.contains("&#"), numeric_entities(t, "&#x", "[0-9a-f]", lambda d: F.conv(F.right(d, F.lit(4)), 16, 10).cast("decimal(38,0)"))).otherwise(t)
+
+    return let(let(out, decimal), hexadecimal)
 
 
 def decode_xml_entities(text: Column | str) -> Column:
@@ -91,8 +97,13 @@ def raw_links(html: Column | str) -> Column:
 
 def links(html: Column | str, base: Column | str, most: int = CONFIG.crawl.max_links) -> Column:
     """Distinct absolute web links in order, without fragments."""
-    found = F.transform(raw_links(html), lambda r: resolve(decode_entities(r), col(base)))
-    return F.slice(F.array_distinct(F.filter(found, lambda u: u.isNotNull())), 1, most)
+
+    def against(b: Column) -> Column:
+        # Equal references are resolved once.
+        found = F.transform(F.array_distinct(raw_links(html)), lambda r: resolve_in(decode_entities(r), b))
+        return F.slice(F.array_distinct(F.filter(found, lambda u: u.isNotNull())), 1, most)
+
+    return let(base_parts(col(base)), against)
 
 
 def meta_content(html: Column | str, prop: str) -> Column:
@@ -129,35 +140,57 @@ def format_duration(seconds: Column) -> Column:
     return F.when(s > 0, F.when(h > 0, F.concat_ws(":", h.cast("string"), two(m), two(rest))).otherwise(F.concat_ws(":", m.cast("string"), two(rest))))
 
 
-def classify_media(decoded: Column | str, url: Column | str) -> Column:
+def meta_tags(html: Column | str) -> Column:
+    """All meta tags in one short string, which is then searched instead of the page."""
+    tag = r"(?i)<meta[^>]*content=\"[^\"]*\"[^>]*>|<meta[^>]*content='[^']*'[^>]*>|<meta[^>]*>"
+    return F.array_join(F.regexp_extract_all(col(html), F.lit(tag), F.lit(0)), "\n")
+
+
+def classify_media(tags: Column | str, url: Column | str) -> Column:
     """Struct: what a page is (short before video before image before text), with its
-    picture, medium, provider, duration and size."""
-    html, url = col(decoded), col(url)
-    own = lambda *props: F.coalesce(*(F.nullif(meta_content(html, p), F.lit("")) for p in props))
-    host, p = domain(url), path(url)
-    og = F.lower(F.coalesce(own("og:type"), F.lit("")))
-    absolute = lambda x: F.coalesce(resolve(x, url), x)
-    video = own("og:video", "og:video:url", "twitter:player")
-    number = lambda x: F.nullif(x.try_cast("double"), F.lit(0.0))
-    is_image_file = p.rlike(r"(?i)\.(jpe?g|png|gif|webp|avif|bmp)$")
-    provider_site = host.rlike(r"(?i)(^|\.)(youtube\.com|youtu\.be|vimeo\.com|dailymotion\.com|twitch\.tv|wistia\.(com|net)|ted\.com)$")
-    short_path = F.nullif(F.regexp_extract(p, r"(?i)(/(?:shorts|reels|reel|tiktok|clips?)/)", 1), F.lit(""))
-    known = host != ""
-    is_short = known & (short_path.isNotNull() | under_any(host, SHORT_HOSTS))
-    is_video = known & (og.contains("video") | og.contains("music") | (provider_site & ~is_image_file) | p.rlike(r"(?i)\.(mp4|webm|mov|m3u8)$"))
-    is_image = known & (og.startswith("image") | (og == "photo") | is_image_file | p.rlike(r"(?i)/(photo|photos|image|images)/"))
-    kind = F.when(is_short, "short").when(is_video, "video").when(is_image, "image").otherwise("text")
-    two_labels = F.array_join(F.slice(F.split(host, r"\."), F.greatest(F.size(F.split(host, r"\.")) - 1, F.lit(1)), 2), ".")
-    return F.struct(
-        kind.alias("type"),
-        F.when(own("og:image", "twitter:image").isNotNull(), absolute(own("og:image", "twitter:image"))).alias("image"),
-        F.coalesce(F.when(video.isNotNull(), absolute(video)), F.when(kind != "text", url)).alias("video_url"),
-        F.when(kind.isin("short", "video"), two_labels).alias("provider"),
-        F.nullif(duration_seconds(own("og:video:duration", "video:duration", "duration")), F.lit(0).cast("long")).cast("double").alias("duration"),
-        number(own("og:video:width", "og:image:width")).alias("width"),
-        number(own("og:video:height", "og:image:height")).alias("height"),
-        F.when(is_short, short_path).alias("short_path"),
-    )
+    picture, medium, provider, duration and size.  ``tags``: HTML, or its meta tags."""
+    tags, url = col(tags), col(url)
+
+    def facts(html: Column) -> Column:
+        own = lambda *props: F.coalesce(*(F.nullif(meta_content(html, p), F.lit("")) for p in props))
+        number = lambda x: F.nullif(x.try_cast("double"), F.lit(0.0))
+        return F.struct(
+            F.lower(F.coalesce(own("og:type"), F.lit(""))).alias("og"),
+            own("og:image", "twitter:image").alias("image"),
+            own("og:video", "og:video:url", "twitter:player").alias("video"),
+            F.nullif(duration_seconds(own("og:video:duration", "video:duration", "duration")), F.lit(0).cast("long")).cast("double").alias("duration"),
+            number(own("og:video:width", "og:image:width")).alias("width"),
+            number(own("og:video:height", "og:image:height")).alias("height"),
+            domain(url).alias("host"),
+            path(url).alias("path"),
+        )
+
+    def kind_of(f: Column) -> Column:
+        host, p, og = f["host"], f["path"], f["og"]
+        is_image_file = p.rlike(r"(?i)\.(jpe?g|png|gif|webp|avif|bmp)$")
+        provider_site = host.rlike(r"(?i)(^|\.)(youtube\.com|youtu\.be|vimeo\.com|dailymotion\.com|twitch\.tv|wistia\.(com|net)|ted\.com)$")
+        is_short = p.rlike(r"(?i)/(?:shorts|reels|reel|tiktok|clips?)/") | under_any(host, SHORT_HOSTS)
+        is_video = og.contains("video") | og.contains("music") | (provider_site & ~is_image_file) | p.rlike(r"(?i)\.(mp4|webm|mov|m3u8)$")
+        is_image = og.startswith("image") | (og == "photo") | is_image_file | p.rlike(r"(?i)/(photo|photos|image|images)/")
+        kind = F.when(host == "", "text").when(is_short, "short").when(is_video, "video").when(is_image, "image").otherwise("text")
+        return F.struct(f.alias("f"), kind.alias("kind"))
+
+    def made(x: Column) -> Column:
+        f, kind = x["f"], x["kind"]
+        absolute = lambda c: F.when(c.isNotNull(), F.coalesce(resolve(c, url), c))
+        two_labels = let(F.split(f["host"], r"\."), lambda s: F.array_join(F.slice(s, F.greatest(F.size(s) - 1, F.lit(1)), 2), "."))
+        return F.struct(
+            kind.alias("type"),
+            absolute(f["image"]).alias("image"),
+            F.coalesce(absolute(f["video"]), F.when(kind != "text", url)).alias("video_url"),
+            F.when(kind.isin("short", "video"), two_labels).alias("provider"),
+            f["duration"].alias("duration"),
+            f["width"].alias("width"),
+            f["height"].alias("height"),
+            F.when(kind == "short", F.nullif(F.regexp_extract(f["path"], r"(?i)(/(?:shorts|reels|reel|tiktok|clips?)/)", 1), F.lit(""))).alias("short_path"),
+        )
+
+    return let(let(let(tags, facts), kind_of), made)
 
 
 def parse_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -167,7 +200,7 @@ def parse_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataF
     Entities are decoded before elements are dropped, so escaped markup does not come
     back as text.  Steps are separate projections: each large string is made once.
     """
-    steps = pages.withColumn("_decoded", decode_entities(html)).withColumn("_prose", prose("_decoded")).withColumn("_full", visible_text("_prose"))
+    steps = pages.withColumn("_decoded", decode_entities(html)).withColumn("_prose", prose("_decoded")).withColumn("_full", visible_text("_prose")).withColumn("_tags", meta_tags("_decoded"))
     density = F.when(F.length("_full") > 0, F.least(link_chars("_prose") / F.length("_full"), F.lit(1.0))).otherwise(0.0)
     return (
         steps.withColumn("title", title(html))
@@ -175,7 +208,7 @@ def parse_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataF
         .withColumn("links", links(html, url))
         .withColumn("link_density", density)
         .withColumn("text", F.substring("_full", 1, CONFIG.crawl.max_text_chars))
-        .withColumn("media", classify_media("_decoded", url))
-        .withColumn("description", description("_decoded"))
-        .drop("_decoded", "_prose", "_full", html)
+        .withColumn("media", classify_media("_tags", url))
+        .withColumn("description", description("_tags"))
+        .drop("_decoded", "_prose", "_full", "_tags", html)
     )

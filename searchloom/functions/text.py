@@ -19,6 +19,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value evaluated once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def tokenize(text: Column | str) -> Column:
     """Search terms in order: 2 to 32 letters or digits, no stop words."""
     words = F.split(F.regexp_replace(F.lower(col(text)), rf"[^{WORD}\s]", " "), r"\s+")

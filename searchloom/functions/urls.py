@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import CURATED_HOSTS, TRUSTED_HOSTS
-from .text import col
+from .text import col, let
 
 SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://"
 AUTHORITY = SCHEME + r"(?:[^/?#@]*@)?([^/?#:]*)"
@@ -46,10 +46,12 @@ def is_exact_host(host: Column, term: str) -> Column:
 
 def tld(url: Column | str) -> Column:
     """The last label, or the last two if the first of these is ``co``."""
-    parts = F.split(hostname(url), r"\.")
-    n = F.size(parts)
-    two = F.when(n >= 2, F.concat_ws(".", F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))))
-    return F.when(n < 2, "").when(two.startswith("co."), two).otherwise(F.try_element_at(parts, F.lit(-1)))
+
+    def last(parts: Column) -> Column:
+        top = F.try_element_at(parts, F.lit(-1))
+        return F.when(F.size(parts) < 2, "").when(F.try_element_at(parts, F.lit(-2)) == "co", F.concat(F.lit("co."), top)).otherwise(top)
+
+    return let(F.split(hostname(url), r"\."), last)
 
 
 def without_dot_segments(p: Column) -> Column:
@@ -66,45 +68,62 @@ def without_dot_segments(p: Column) -> Column:
 
 def canonical(url: Column | str) -> Column:
     """Without fragment: scheme and host in lower case, no default port, a path."""
-    c = without_fragment(url)
-    scheme = F.lower(F.regexp_extract(c, SCHEME, 1))
-    host = host_with_port(c)
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    query = F.regexp_extract(c, r"(\?.*)$", 1)
-    return F.when((scheme == "") | (host == ""), None).otherwise(F.concat(scheme, F.lit("://"), host, without_dot_segments(path(c)), query))
+
+    def parts(c: Column) -> Column:
+        return F.struct(F.lower(F.regexp_extract(c, SCHEME, 1)).alias("scheme"), host_with_port(c).alias("host"), path(c).alias("path"), F.regexp_extract(c, r"(\?.*)$", 1).alias("query"))
+
+    def joined(u: Column) -> Column:
+        host = F.when(u["scheme"] == "http", F.regexp_replace(u["host"], ":80$", "")).when(u["scheme"] == "https", F.regexp_replace(u["host"], ":443$", "")).otherwise(u["host"])
+        return F.when((u["scheme"] != "") & (u["host"] != ""), F.concat(u["scheme"], F.lit("://"), host, without_dot_segments(u["path"]), u["query"]))
+
+    return let(let(without_fragment(url), parts), joined)
 
 
 def normalize_url(url: Column | str) -> Column:
     """``canonical`` without trailing slashes (but for the root); null if not a URL."""
-    c = canonical(url)
-    origin = F.regexp_extract(c, r"^([^/]*//[^/?]*)", 1)
-    p = F.regexp_replace(path(c), "/+$", "")
-    return F.when(c.isNull(), None).otherwise(F.concat(origin, F.when(p == "", "/").otherwise(p), F.regexp_extract(c, r"(\?.*)$", 1)))
+
+    def stripped(c: Column) -> Column:
+        origin, query = F.regexp_extract(c, r"^([^/]*//[^/?]*)", 1), F.regexp_extract(c, r"(\?.*)$", 1)
+        return F.concat(origin, let(F.regexp_replace(path(c), "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p)), query)
+
+    return let(canonical(url), stripped)
 
 
 def discovered_url(url: Column | str) -> Column:
     """``canonical`` for web pages worth fetching, else null: http, no asset, path of at
     most 120 characters."""
-    c = canonical(url)
-    p = path(c)
-    asset = p.rlike(r"(?i)\.(jpg|jpeg|png|gif|svg|webp|pdf|zip|mp4|mp3|css|js|json|xml)$")
-    return F.when(c.rlike("^https?://") & ~asset & (F.length(p) <= 120), c)
 
+    def worth(c: Column) -> Column:
+        p = path(c)
+        asset = p.rlike(r"(?i)\.(jpg|jpeg|png|gif|svg|webp|pdf|zip|mp4|mp3|css|js|json|xml)$")
+        return F.when(c.rlike("^https?://") & ~asset & (F.length(p) <= 120), c)
 
-def resolve(ref: Column, base: Column) -> Column:
-    """A reference against a base URL; null if it is no web address."""
+    return let(canonical(url), worth)
+
+
+def base_parts(base: Column) -> Column:
+    """What references are resolved against: struct of scheme, origin, path, folder."""
     scheme = F.regexp_extract(base, SCHEME, 1)
-    origin = F.concat(scheme, F.lit("://"), host_with_port(base))
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
-    r = F.trim(ref)
-    full = (
-        F.when(r.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.when(r.rlike("(?i)^https?://"), r))
-        .when(r.startswith("//"), F.concat(scheme, F.lit(":"), r))
-        .when(r.startswith("/"), F.concat(origin, r))
-        .when(r.startswith("?"), F.concat(origin, path(base), r))
-        .otherwise(F.concat(origin, folder, r))
-    )
-    return canonical(full)
+    return F.struct(scheme.alias("scheme"), F.concat(scheme, F.lit("://"), host_with_port(base)).alias("origin"), path(base).alias("path"), F.regexp_replace(path(base), "[^/]*$", "").alias("folder"))
+
+
+def resolve_in(ref: Column, base: Column) -> Column:
+    """A reference against ``base_parts``; null if it is no web address."""
+
+    def full(r: Column) -> Column:
+        return (
+            F.when(r.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.when(r.rlike("(?i)^https?://"), r))
+            .when(r.startswith("//"), F.concat(base["scheme"], F.lit(":"), r))
+            .when(r.startswith("/"), F.concat(base["origin"], r))
+            .when(r.startswith("?"), F.concat(base["origin"], base["path"], r))
+            .otherwise(F.concat(base["origin"], base["folder"], r))
+        )
+
+    return canonical(let(F.trim(ref), full))
+
+
+def resolve(ref: Column, base: Column) -> Column:
+    return let(base_parts(base), lambda b: resolve_in(ref, b))
 
 
 def path_segments(url: Column | str) -> Column:
