@@ -136,8 +136,7 @@ def path_depth(url: Column | str) -> Column:
 
 def suffixes(host: Column) -> Column:
     """The host and the domains above it, so a suffix test becomes an equality."""
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 1_000), "."))
+    return let(F.split(host, r"\."), lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 1_000), ".")))
 
 
 def under_any(host: Column, hosts: list[str]) -> Column:

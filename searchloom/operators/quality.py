@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BLOCKED_HOST_PREFIXES, BLOCKED_HOSTS, BLOCKED_PATH_PATTERNS, BLOCKED_PATH_SEGMENTS, CONFIG, LATIN_LANGS, SCRIPT_OF_LANG
-from ..functions.text import col, is_allowed_language, script_profile
+from ..functions.text import col, is_allowed_language, let, script_profile
 from ..functions.urls import domain, hostname, is_curated, path, path_segments, under_any
 
 Q = CONFIG.quality
@@ -30,46 +30,52 @@ def is_junk_url(url: Column | str) -> Column:
 def looks_like_code(text: Column | str) -> Column:
     """Machine payload in the first 4,000 characters: an endless word, an assignment of
     a dense literal, key-value pairs without prose, or mostly code-like words."""
-    s = F.substring(col(text), 1, 4000)
-    n = F.length(s)
-    parts = F.split(s, r"\s+")
-    own = F.array_remove(parts, "")
-    assigned = F.regexp_extract(s, r"(\b(?:var|let|const)\s+[A-Za-z_$][\w$]*\s*=\s*[\[{][\s\S]{0,400})", 1)
-    pairs = F.regexp_count(s, F.lit('"[^"]{1,40}":'))
-    codeish = F.size(F.filter(own, lambda w: w.rlike(r"^[A-Za-z_][\w$]*[:=,;]$|[\"'{}\[\]]") | w.rlike("^[a-z]+[A-Z]")))
-    marks = F.regexp_count(s, F.lit(r"[\"'{}\[\]:;=]"))
-    return F.when(n < 200, False).otherwise(
-        F.exists(parts, lambda w: F.length(w) > 400)
-        | ((assigned != "") & (F.regexp_count(F.substring(assigned, 1, 400), F.lit(r"\s")) < 12))
-        | ((pairs >= 8) & (pairs / F.greatest(n / 200, F.lit(1.0)) > 2))
-        | ((F.size(own) >= 40) & ((codeish / F.size(own) > 0.25) | (marks / n > 0.14)))
-    )
+
+    def by_words(own: Column, s: Column) -> Column:
+        codeish = F.size(F.filter(own, lambda w: w.rlike(r"^[A-Za-z_][\w$]*[:=,;]$|[\"'{}\[\]]") | w.rlike("^[a-z]+[A-Z]")))
+        marks = F.regexp_count(s, F.lit(r"[\"'{}\[\]:;=]"))
+        return F.exists(own, lambda w: F.length(w) > 400) | ((F.size(own) >= 40) & ((codeish / F.size(own) > 0.25) | (marks / F.length(s) > 0.14)))
+
+    def judged(s: Column) -> Column:
+        assigned = F.regexp_extract(s, r"(\b(?:var|let|const)\s+[A-Za-z_$][\w$]*\s*=\s*[\[{][\s\S]{0,400})", 1)
+        dense = let(assigned, lambda a: (a != "") & (F.regexp_count(F.substring(a, 1, 400), F.lit(r"\s")) < 12))
+        keyed = let(F.regexp_count(s, F.lit('"[^"]{1,40}":')), lambda n: (n >= 8) & (n / F.greatest(F.length(s) / 200, F.lit(1.0)) > 2))
+        words = let(F.array_remove(F.split(s, r"\s+"), ""), lambda own: by_words(own, s))
+        return F.when(F.length(s) < 200, False).otherwise(dense | keyed | words)
+
+    return let(F.substring(col(text), 1, 4000), judged)
 
 
 def shingle_duplicate_ratio(words: Column, size: int = 6) -> Column:
     """Repeats among distinct shingles of ``size`` words."""
 
-    def ratio(w: Column) -> Column:
-        low = F.transform(w, F.lower)
-        shingles = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(low, i, size), " "))
-        return F.element_at(F.transform(F.array(shingles), lambda s: (F.size(s) - F.size(F.array_distinct(s))) / F.size(F.array_distinct(s))), 1)
+    def ratio(low: Column) -> Column:
+        shingles = F.transform(F.sequence(F.lit(1), F.size(low) - size + 1), lambda i: F.array_join(F.slice(low, i, size), " "))
+        return F.when(F.size(low) < size, 0.0).otherwise(let(shingles, lambda s: let(F.size(F.array_distinct(s)), lambda n: (F.size(s) - n) / n)))
+
+    return let(F.transform(words, F.lower), ratio)
+
 
-    return F.when(F.size(words) < size, 0.0).otherwise(F.element_at(F.transform(F.array(words), ratio), 1))
+def trimmed(text: Column | str) -> Column:
+    return F.regexp_replace(F.regexp_replace(col(text), r"^\s+", ""), r"\s+$", "")
 
 
 def is_low_quality(text: Column | str) -> Column:
     """Too short, a script wall, code, a tiny vocabulary, or stamped phrases."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(col(text), r"^\s+", ""), r"\s+$", ""))
-    w = F.split(t, r"\s+")
-    distinct = F.size(F.array_distinct(F.transform(w, F.lower)))
-    return (
-        F.when(F.length(t) < Q.min_doc_chars, True)
-        .when(t.rlike(r"(?i)^(enable javascript|please enable|loading\.\.\.)"), True)
-        .when(looks_like_code(t), True)
-        .when(F.size(w) < 12, False)
-        .when(distinct / F.size(w) < 0.12, True)
-        .otherwise(shingle_duplicate_ratio(w) > Q.max_shingle_dup)
-    )
+
+    def by_words(w: Column) -> Column:
+        rare = F.size(F.array_distinct(F.transform(w, F.lower))) / F.size(w) < 0.12
+        return F.when(F.size(w) < 12, False).when(rare, True).otherwise(shingle_duplicate_ratio(w) > Q.max_shingle_dup)
+
+    def judged(t: Column) -> Column:
+        return (
+            F.when(F.length(t) < Q.min_doc_chars, True)
+            .when(t.rlike(r"(?i)^(enable javascript|please enable|loading\.\.\.)"), True)
+            .when(looks_like_code(t), True)
+            .otherwise(let(F.split(t, r"\s+"), by_words))
+        )
+
+    return let(trimmed(text), judged)
 
 
 def script_of_language(code: Column) -> Column:

@@ -319,8 +319,8 @@ lq AS (SELECT id, dup, CASE WHEN length(t) < 80 THEN true WHEN regexp_matches(t,
 @registered(f"WITH src AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {low_quality_sql('src')} SELECT id AS doc_id, low_quality, {q('dup')} AS duplicate_ratio FROM lq")
 def low_quality(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    t = F.regexp_replace(F.regexp_replace("text", r"^\s+", ""), r"\s+$", "")
-    return d.select("doc_id", quality.is_low_quality("text").alias("low_quality"), q6(quality.shingle_duplicate_ratio(F.split(t, r"\s+"))).alias("duplicate_ratio"))
+    ratio = quality.shingle_duplicate_ratio(F.split(quality.trimmed("text"), r"\s+"))
+    return d.select("doc_id", quality.is_low_quality("text").alias("low_quality"), q6(ratio).alias("duplicate_ratio"))
 
 
 #: Texts in scripts that the tables lack.
@@ -519,7 +519,7 @@ MEDIA_CASES = [
 
 
 @registered("""SELECT * FROM (VALUES (0, 'video', 'https://www.youtube.com/i/1.jpg', 'https://www.youtube.com/watch?v=1', 'youtube.com', NULL), (1, 'short', NULL, 'https://www.youtube.com/shorts/abc', 'youtube.com', NULL),
-(2, 'image', NULL, 'https://a.test/photos/1', NULL, NULL), (3, 'image', NULL, 'https://a.test/x.png', NULL, NULL), (4, 'image', NULL, 'https://a.test/x', NULL, NULL), (5, 'video', NULL, 'https://a.test/v.mp4', 'a.test', 3723.0),
+(2, 'image', NULL, 'https://a.test/photos/1', NULL, NULL), (3, 'image', NULL, 'https://a.test/x.png', NULL, NULL), (4, 'image', NULL, 'https://a.test/x', NULL, NULL), (5, 'video', NULL, 'https://a.test/v.mp4', 'a.test', 3723.0::DOUBLE),
 (6, 'text', NULL, NULL, NULL, NULL), (7, 'short', NULL, 'https://www.tiktok.com/@x/1', 'tiktok.com', NULL)) AS v(id, type, image, video_url, provider, duration)
 UNION ALL SELECT page_id + 1000, 'text', NULL, NULL, NULL, NULL FROM pages""")
 def media_types(spark, sf):

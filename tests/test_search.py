@@ -12,6 +12,10 @@ from searchloom.plans import answers, query, search
 PROSE = "Standards bodies publish documents that browsers follow when they render pages on the open web every day. "
 
 
+#: Long enough, and of enough different words, to pass the gate.
+LONG = " ".join(f"alpha{i} crawler beta{i * 3} ranking gamma{i * 5}" for i in range(60))
+
+
 def docs(spark, rows):
     made = [(i, i, u, t, x, "en") for i, (u, t, x) in enumerate(rows)]
     return spark.createDataFrame(made, "doc_id long, ordinal long, url string, title string, text string, lang string")
@@ -75,7 +79,7 @@ def test_deep_search_fuses_and_expands(spark):
 
 
 def test_run_search_gates_pages_and_counts_facets(spark):
-    long = " ".join(f"{PROSE} topic number {i} crawler index ranking" for i in range(12))
+    long = LONG
     rows = [(f"https://site{i}.test/p", f"crawler {i}", long + f" unique{i}") for i in range(3)] + [("https://www.reddit.com/r/x", "crawler", long)]
     found = search.run_search(Index.build(docs(spark, rows)), "crawler ranking", 2, trusted=F.col("domain") == "site1.test", curated=F.lit(False))
     hits = search.api_rows(found).orderBy("rank").collect()
@@ -127,7 +131,7 @@ def test_dedup_and_caps(spark):
 
 
 def test_answers_and_api(spark):
-    long = " ".join(f"{PROSE} crawler {i}" for i in range(12))
+    long = LONG
     api = answers.Api(Index.build(docs(spark, [("https://a.test/p", "Crawler guide", long)])), trusted=F.lit(True), curated=F.lit(False))
     status, body = api.handle("/api/v1/search?q=crawler&limit=999")
     assert status == 200 and body["limit"] == 50 and body["results"][0]["rank"] == 1
