@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..functions.text import round_half_up
 from ..functions.urls import domain, is_trusted
 
 MB = 1_048_576
 
 
 def facet_counts(items: DataFrame, most: int = 10) -> DataFrame:
-    """(domain, count) of items (domain, trust): by mean trust, count, then name."""
-    counted = items.where("domain <> ''").groupBy("domain").agg(F.count("*").alias("count"), F.avg("trust").alias("mean_trust"))
+    """(domain, count) of items (domain, trust): by mean trust, count, then name.  Means
+    are rounded, so that equal ones tie however they were summed."""
+    counted = items.where("domain <> ''").groupBy("domain").agg(F.count("*").alias("count"), round_half_up(F.avg("trust"), 9).alias("mean_trust"))
     return counted.orderBy(F.desc("mean_trust"), F.desc("count"), "domain").limit(most).select("domain", "count")
 
 

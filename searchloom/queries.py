@@ -500,7 +500,7 @@ _GEO = f"CASE WHEN {_TLD} IN ('com', 'us') THEN 1.8 ELSE 1.0 END"
 _LANG = "CASE split_part(lang, '-', 1) WHEN 'de' THEN 2.4 WHEN 'fr' THEN 1.7 WHEN 'it' THEN 1.7 WHEN 'en' THEN 1.7 ELSE 1.0 END"
 
 
-@registered(f"WITH {PAGES_SQL} SELECT page_id, {_GEO} AS geo, {_LANG} AS lang_boost FROM pg")
+@registered(f"WITH {PAGES_SQL} SELECT page_id, ({_GEO})::DOUBLE AS geo, ({_LANG})::DOUBLE AS lang_boost FROM pg")
 def geo_lang_boost(spark, sf):
     return parsed(spark, sf).select("page_id", ranking.country_boost(F.col("url"), "US").alias("geo"), ranking.language_boost(F.col("lang"), COUNTRY).alias("lang_boost"))
 
@@ -544,8 +544,8 @@ def vertical_and_trust(spark, sf):
     return p.select("page_id", ranking.vertical_boost(F.col("type"), "video").alias("boost"), ranking.trust(urls.under_any(urls.hostname("url"), ["example.com"])).alias("trust"))
 
 
-@registered(f"""WITH f AS (SELECT {DOMAIN.format("url")} AS domain, CASE WHEN {_TRUSTED} THEN 1.2 ELSE 0.3 END AS trust FROM pages)
-SELECT domain, count(*)::BIGINT AS count FROM f WHERE domain <> '' GROUP BY domain ORDER BY avg(trust) DESC, count(*) DESC, domain LIMIT 10""")
+@registered(f"""WITH f AS (SELECT {DOMAIN.format("url")} AS domain, CASE WHEN {_TRUSTED} THEN 1.2 ELSE 0.3 END::DOUBLE AS trust FROM pages)
+SELECT domain, count(*)::BIGINT AS count FROM f WHERE domain <> '' GROUP BY domain ORDER BY floor(avg(trust) * 1e9 + 0.5) DESC, count(*) DESC, domain LIMIT 10""")
 def domain_facets(spark, sf):
     p = table(spark, sf, "pages").select(urls.domain("url").alias("domain"), ranking.trust(urls.under_any(urls.hostname("url"), ["example.com"])).alias("trust"))
     return reports.facet_counts(p)
@@ -603,7 +603,7 @@ def vector_cosine(spark, sf):
 
 @registered(f"""WITH {VEC_SQL}, b AS (SELECT vec_id, list_transform(q, lambda x: x * scale) AS s FROM qv ORDER BY vec_id LIMIT 400),
 l AS (SELECT b.vec_id, greatest({_COS}, 0.0) AS lift FROM b, (SELECT e FROM qv WHERE vec_id = 0) a)
-SELECT doc_id, {q("1 + 0.6 * coalesce(lift, 0.0)")} AS factor FROM documents LEFT JOIN (SELECT * FROM l WHERE lift > 0) l ON doc_id = vec_id""")
+SELECT doc_id, {q("(1 + 0.6 * coalesce(lift, 0.0))")} AS factor FROM documents LEFT JOIN (SELECT * FROM l WHERE lift > 0) l ON doc_id = vec_id""")
 def semantic_lift(spark, sf):
     v = quantized(spark, sf).select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("ordinal"), "embedding", "vec")
     # The query: one vector of the table, as a service would return it.
@@ -626,7 +626,7 @@ def host_cap(spark, sf):
     return corpus.per_host_cap(p, "host", "page_id")
 
 
-@registered("WITH p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS at, count(*) OVER () AS n FROM pages) SELECT page_id FROM p WHERE n <= 20 OR (at % 12 = 0 AND at // 12 < 20)")
+@registered("WITH p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS pos, count(*) OVER () AS n FROM pages) SELECT page_id FROM p WHERE n <= 20 OR (pos % 12 = 0 AND pos // 12 < 20)")
 def stride_sample(spark, sf):
     """Twenty pages of a file of 250 lines; the stride follows from the lines."""
     return corpus.stride_sample(table(spark, sf, "pages").select("page_id"), "page_id", 20, 250)
@@ -640,7 +640,7 @@ def import_candidates(spark, sf):
     return corpus.import_candidates(p, p.where("pos < 20").select(urls.normalize_url("url").alias("url"))).select("url", "pos")
 
 
-@registered("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+@registered("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
 r(user_id, i, event_id, ms, reset_ms, calls) AS (SELECT user_id, i, event_id, ms, ms + 86400000, 1 FROM e WHERE i = 1
 UNION ALL SELECT e.user_id, e.i, e.event_id, e.ms, CASE WHEN r.reset_ms <= e.ms THEN e.ms + 86400000 ELSE r.reset_ms END, CASE WHEN r.reset_ms <= e.ms THEN 1 ELSE r.calls + 1 END FROM r JOIN e ON r.user_id = e.user_id AND e.i = r.i + 1)
 SELECT event_id, user_id, calls <= 2 AS ok, greatest(0, 2 - calls)::BIGINT AS remaining, reset_ms, greatest(1, ceil((reset_ms - ms) / 1000))::BIGINT AS retry_after FROM r""")
