@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CONFIG
-from ..operators.corpus import new_documents, parsed_docs
+from ..operators.corpus import deduplicated, new_documents, parsed_docs
 from ..operators.index import Index
+from ..scratch import cut_lineage
 
 S = CONFIG.storage
 
@@ -81,10 +82,11 @@ def index_pages(spark: SparkSession, landing: str, index_path: str, checkpoint:
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        docs = parsed_docs(batch)
+        # Parsed once, as a table; the index is built from it in several passes.
+        docs = cut_lineage(parsed_docs(batch), "parsed")
         before = existing(spark, index_path, number)
-        fresh = Index.build(new_documents(docs, before) if before is not None else new_documents(docs, docs.limit(0)))
-        fresh.write(f"{index_path}/batch={number}")
+        fresh = deduplicated(docs) if before is None else new_documents(docs, before)
+        Index.build(cut_lineage(fresh, "fresh")).write(f"{index_path}/batch={number}")
 
     source = spark.readStream.schema(PAGES).parquet(landing)
     return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
