@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_slices
+from .common import materialize, resident, text_slices
 
 #: Classes, those for rare words, frequent words that workers hold with their counts
 #: (the rest are joined), and distinct words a task counts before it passes them on.
@@ -123,7 +123,7 @@ class LogBilinear:
 
     def __init__(self, tokens: np.ndarray):
         rng = np.random.default_rng(5)
-        self.noise = (tokens + 1) / (tokens.sum() + len(tokens))
+        self.noise = (tokens + 0.1) / (tokens.sum() + 0.1 * len(tokens))
         self.R = rng.normal(0, 0.1, (CLASSES, SIZE)).astype(np.float32)
         self.Q = rng.normal(0, 0.1, (CLASSES, SIZE)).astype(np.float32)
         self.C1, self.C2 = (np.eye(SIZE, dtype=np.float32) * s for s in (1.0, 0.5))
@@ -182,8 +182,9 @@ class LogBilinear:
         """Steps over texts laid end to end; ``starts``: where each begins."""
         c1, c2 = contexts(cls, starts)
         order = self.rng.permutation(len(cls))
-        for at in range(0, len(cls), STEP):
-            i = order[at : at + STEP]
+        size = max(64, min(STEP, len(cls) // 64))  # few tokens are worth as many steps
+        for at in range(0, len(cls), size):
+            i = order[at : at + size]
             self.step(c2[i], c1[i], cls[i])
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -293,17 +294,6 @@ def class_total(vocab: Vocabulary) -> np.ndarray:
     return vocab.tokens + vocab.words + 1
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer(key: str, shared) -> Scorer:
-    """One for each worker process and model; a new model takes the place of the last."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(*shared.value)
-    return _scorers[key]
-
-
 def score_documents(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, held_out): doc_id, held_out, n_tokens,
     n_known, base_score, score (base 10 logarithms).
@@ -320,7 +310,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(key, shared)
+        own = resident(("scorer", key), lambda: Scorer(*shared.value))
         row = TaskContext.get().partitionId() << 33
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32())
         for batch in batches:
