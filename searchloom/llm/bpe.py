@@ -18,12 +18,13 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, text_slices
+from .common import BoundedCache, resident, text_slices
 
 #: Distinct whitespace-free chunks and token pairs that one worker remembers.
 CHUNKS, PAIRS = 500_000, 1_000_000
@@ -209,14 +210,9 @@ class WordTokenizer:
         return [i for c in self.encode_chunks(text.encode().split()) for i in c]
 
 
-_open: dict[str, WordTokenizer] = {}
-
-
 def opened(path: str) -> WordTokenizer:
     """One tokenizer for each worker process."""
-    if path not in _open:
-        _open[path] = WordTokenizer(path)
-    return _open[path]
+    return resident(("words", path), lambda: WordTokenizer(path))
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool = True) -> DataFrame:
@@ -266,8 +262,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def decode_documents(tokens: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """Adds ``decoded`` to rows with token ids (null ids: null)."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def back(column: pd.Series) -> pd.Series:
         tokenizer = opened(path)

@@ -68,6 +68,21 @@ def text_slices(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, list[by
         yield start, texts
 
 
+_resident: dict = {}
+
+
+def resident(key: tuple, make: Callable):
+    """What a worker process keeps from task to task under ``key``.
+
+    A worker serves one operator after another; only what the last one keeps stays, so
+    the memory of a long job is that of its largest operator.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 class BoundedCache(dict):
     """A dict that is emptied when it would exceed ``limit`` entries.
 

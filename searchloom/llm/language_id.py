@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_slices
+from .common import materialize, resident, text_slices
 
 #: 4-grams kept for a language (the most frequent; a bound on the model, reached only
 #: by scripts with very many characters), documents that calibration looks at, the
@@ -135,17 +135,6 @@ class ScoredChunks:
         return self.table[rows].sum(0, dtype=np.float64)
 
 
-_scored: dict[str, ScoredChunks] = {}
-
-
-def scored(model: Model, key: str) -> ScoredChunks:
-    """One for each worker process and model; a new model takes the place of the last."""
-    if key not in _scored:
-        _scored.clear()
-        _scored[key] = ScoredChunks(model)
-    return _scored[key]
-
-
 def count_grams(learn: DataFrame) -> DataFrame:
     """(lang, gram, n): 4-grams of all of ``learn`` (text, lang)."""
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
@@ -276,7 +265,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        cache = scored(own, key)
+        cache = resident(("language", key), lambda: ScoredChunks(own))
         for batch in batches:
             sums = []
             for _, texts in text_slices(batch, text):
