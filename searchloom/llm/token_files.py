@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, scratch, text_slices
+from .common import BoundedCache, resident, scratch, text_slices
 
 #: Ids of a shard (a document is never split, so one may have more), rounds of
 #: replacement, the fewest occurrences of a pair, and bins looked at in a round.
@@ -50,53 +51,121 @@ class ByteTokenizer:
     encoded once.  Texts with other or doubled white space go through whole.
     """
 
-    WHOLE = re.compile(rb"[\s\x1c-\x1f][\s\x1c-\x1f]|[\t\r\x0b\x0c\x1c-\x1f\x00]|^\s|\s$|\xc2[\xa0\x85]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+    #: White space and separators of chunks that the fast way does not take.
+    ODD = bytes([9, 11, 12, 13, 0, *range(0x1C, 0x20)])
+    WIDE = re.compile(rb"\xc2[\xa0\x85]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
     LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
     PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\n")
+    #: What a line end among pieces stands for; no id is as large.
+    LINE = b"\xff\xff\xff\xff"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         from .bpe import byte_alphabet
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        # The same model for pieces that are already cut, in its byte alphabet.
+        self.of_pieces = Tokenizer(self.library.model)
+        self.of_pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         spec = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
-        self.special = [a["content"].encode() for a in spec["added_tokens"]]
+        #: Characters and strings of which the library has to see the whole chunk.
+        self.beyond = re.compile("|".join(["[^\\x00-ɏ]", *(re.escape(a["content"]) for a in spec["added_tokens"])]))
         self.terminals = 1 + max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec["added_tokens"])])
-        self.alphabet = byte_alphabet()
-        self.cache = BoundedCache(CHUNKS)
+        self.alphabet = byte_alphabet() | {0: " "}  # a chunk has no null byte
+        vocab = spec["model"]["vocab"]
+        self.newline = vocab[self.alphabet[10]]
+        self.leads = np.zeros(self.terminals, bool)
+        self.leads[[i for t, i in vocab.items() if t[0] == self.alphabet[32]]] = True
+        self.chunks, self.pieces = BoundedCache(CHUNKS), BoundedCache(CHUNKS)
+
+    def whole(self, text: bytes) -> bool:
+        """Whether a text has white space beyond single spaces and newlines."""
+        return (
+            b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text
+            or text[:1].isspace() or text[-1:].isspace()
+            or len(text.translate(None, self.ODD)) < len(text)
+            or not text.isascii() and self.WIDE.search(text) is not None
+        )
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Many pieces in one call of the library.  A piece that begins with a space has
+        it nowhere else, so tokens that begin with one tell where pieces do; after the
+        others a newline is put, which none of them holds."""
+        spaced = [p for p in pieces if p[0] == " "]
+        other = [p for p in pieces if p[0] != " "]
+        found: dict[str, bytes] = {}
+        for own, mark in ((spaced, ""), (other, "\n")):
+            for at in range(0, len(own), 512):
+                some = own[at : at + 512]
+                # In the byte alphabet no byte stands for a space; pieces have no null byte.
+                text = ("\0\n\0" if mark else "\0").join(some).encode().decode("latin-1").translate(self.alphabet)
+                ids = np.array(self.of_pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                if mark:
+                    ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
+                    starts = np.append(0, ends[:-1] + 1)
+                else:
+                    starts = np.flatnonzero(self.leads[ids])
+                    ends = np.append(starts[1:], len(ids))
+                raw = ids.tobytes()
+                found.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+        return [found[p] for p in pieces]
 
     def ids_of(self, chunks: list[bytes]) -> list[bytes]:
-        return [self.chunk(c) for c in chunks]
-
-    def chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if max(text, default="") > "ɏ" or any(s in chunk for s in self.special):
-            return self.library_ids(text)
-        ids: list[int] = []
-        for piece in self.PIECE.findall(text):
-            ids += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-        return np.array(ids, "<u4").tobytes()
+        """Chunks are laid out one to a line and cut to pieces in one pass."""
+        out: dict[bytes, bytes] = {b"\n": np.array([self.newline], "<u4").tobytes()}
+        own = [c for c in chunks if c != b"\n"]
+        text = b"\n".join(own).decode("utf-8", "replace")
+        if self.beyond.search(text):
+            rest = []
+            for c in own:
+                t = c.decode("utf-8", "replace")
+                if self.beyond.search(t):
+                    out[c] = self.library_ids(t)
+                else:
+                    rest.append(c)
+            own, text = rest, b"\n".join(rest).decode("utf-8", "replace")
+        if own:
+            pieces = self.PIECE.findall(text)
+            self.pieces.fill(set(pieces) - {"\n"}, self.encode_pieces)
+            self.pieces["\n"] = self.LINE
+            raw = b"".join(map(self.pieces.__getitem__, pieces))
+            ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF)).tolist() + [len(raw)]
+            out.update(zip(own, [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)], strict=True))
+        return [out[c] for c in chunks]
 
     def library_ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        cut = [None if self.WHOLE.search(t) else t.replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0") if t else [] for t in texts]
-        self.cache.fill(set().union(*(c for c in cut if c)), self.ids_of)
-        get = self.cache.__getitem__
-        return [self.library_ids(t.decode("utf-8", "replace")) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
-
-
-_open: dict[str, ByteTokenizer] = {}
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if t and self.whole(t):
+                out[i] = self.library_ids(t.decode("utf-8", "replace"))
+            elif t:
+                plain.append(i)
+        if not plain:
+            return out
+        # All chunks of all texts as one column, of which each distinct value is looked up once.
+        cut = b"\0".join(texts[i].replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ") for i in plain)
+        column = pc.split_pattern(pa.array([cut], pa.large_binary()), pattern=b"\0").values.dictionary_encode()
+        keys, at = column.dictionary.to_pylist(), column.indices.to_numpy()
+        self.chunks.fill(set(keys), self.ids_of)
+        values = [self.chunks[k] for k in keys]
+        raw = b"".join(map(values.__getitem__, at.tolist()))
+        ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values))[at])
+        chunks = np.cumsum([1 + texts[i].count(b" ") + 2 * texts[i].count(b"\n") for i in plain])
+        stops, start = ends[chunks - 1].tolist(), 0
+        for i, stop in zip(plain, stops, strict=True):
+            out[i], start = raw[start:stop], stop
+        return out
 
 
 def opened(path: str) -> ByteTokenizer:
-    if path not in _open:
-        _open[path] = ByteTokenizer(path)
-    return _open[path]
+    """One tokenizer for each worker process."""
+    return resident(("bytes", path), lambda: ByteTokenizer(path))
 
 
 # Re-Pair ---------------------------------------------------------------------
@@ -180,23 +249,25 @@ class Grammar:
     """A shard, open for reading: all ids, or those from one place to another."""
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, terminals: int):
-        self.rules, self.symbols, self.terminals = rules.astype(np.int64), symbols.astype(np.int64), terminals
+        self.symbols = symbols
         self.length = np.concatenate([np.ones(terminals, np.int64), lengths.astype(np.int64)])
+        # All expansions end to end, and where each begins; a rule's halves come before it.
+        own: list[list[int]] = []
+        for a, b in rules.tolist():
+            own.append([*(own[a - terminals] if a >= terminals else [a]), *(own[b - terminals] if b >= terminals else [b])])
+        self.flat = np.concatenate([np.arange(terminals), *own]).astype("<u4")
+        self.begin = np.cumsum(self.length) - self.length
         self.ends = np.cumsum(self.length[self.symbols])
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        """All nonterminals are replaced at once until none is left."""
-        while len(seq) and (big := seq >= self.terminals).any():
-            at = np.cumsum(1 + big) - 1 - big
-            out = np.empty(len(seq) + int(big.sum()), np.int64)
-            out[at[~big]] = seq[~big]
-            halves = self.rules[seq[big] - self.terminals]
-            out[at[big]], out[at[big] + 1] = halves[:, 0], halves[:, 1]
-            seq = out
-        return seq
+        size = self.length[seq]
+        ends = np.cumsum(size)
+        if not len(seq):
+            return np.zeros(0, "<u4")
+        return self.flat[np.repeat(self.begin[seq] - ends + size, size) + np.arange(ends[-1])]
 
     def ids(self) -> np.ndarray:
-        return self.expand(self.symbols).astype("<u4")
+        return self.expand(self.symbols)
 
     def window(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` only: the expansion lengths tell which symbols
@@ -205,7 +276,7 @@ class Grammar:
             return np.zeros(0, "<u4")
         a, b = np.searchsorted(self.ends, [start, stop - 1], side="right")
         before = int(self.ends[a] - self.length[self.symbols[a]])
-        return self.expand(self.symbols[a : b + 1])[start - before : stop - before].astype("<u4")
+        return self.expand(self.symbols[a : b + 1])[start - before : stop - before]
 
 
 def packed(x: np.ndarray) -> bytes:
