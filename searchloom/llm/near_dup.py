@@ -7,12 +7,14 @@ made from ``4 * m``.  Two sets of similarity J share a key unless all A or all B
 differ, with probability 2 * (1 - J^2)^m; ``m`` is chosen from the threshold so that
 this is under MISSED at the threshold, and less above it.
 
-Candidates are verified on full sets.  A bucket of any size costs work in proportion
-to its rows: its documents are first held against one of them only (the smallest id),
-and the links found are contracted to components.  Then, in buckets that still hold
-several components, pairs of documents of different components that pass exact
-bounds on size and a 256-bit sketch are verified too.  Within a component no further
-link can change the result.
+Candidates are verified on full sets, after bounds on size and a sketch.  A bucket of
+any size costs work in proportion to its rows: its documents are held against the one
+that shares most buckets with others, as what near copies were made from does.  A
+document is first held against one such centre, then, if their components differ,
+against that of each of its buckets.  What is left to compare are
+documents of different components.  There, documents outside the largest component of
+a bucket are compared with all in it; within a component no further link can change
+the result, so its documents are never compared with each other.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, materialize, text_slices
+from .common import BoundedCache, materialize, resident, text_slices
 
 #: Chance that a pair just at the threshold shares no table.
 MISSED = 5e-5
+#: Bins of a sketch, of four bits each, and the 64-bit numbers that hold it.
+BINS, LONGS = 512, 32
 WORDS = 400_000
-_words: BoundedCache = BoundedCache(WORDS)
 
 FEATURES = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
@@ -47,10 +50,14 @@ def tables_for(percent: int) -> int:
 
 
 def sketch_bound(percent: int) -> int:
-    """Bits of 256 that sketches of linked sets may differ in: 6.5 standard deviations
-    over the mean at the threshold (beyond it by chance: under 1 in 10^9)."""
-    p = (1 - percent / 100) / 2
-    return math.ceil(256 * p + 6.5 * math.sqrt(256 * p * (1 - p))) + 1
+    """Bins in which sketches of linked sets may differ: 4.5 standard deviations over
+    the mean at the threshold (beyond it by chance: under 1 in 10^5)."""
+    j = percent / 100
+    return math.ceil(BINS * (1 - j) + 4.5 * math.sqrt(BINS * j * (1 - j)))
+
+
+def word_hashes() -> BoundedCache:
+    return resident(("shingles",), lambda: BoundedCache(WORDS))
 
 
 def hash_words(words: list[bytes]) -> list[int]:
@@ -64,7 +71,7 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < k:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
     n = len(h) - k + 1
     out = np.zeros(n, np.uint64)
     for i in range(k):
@@ -95,22 +102,22 @@ def combined(low: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return mix[:m].view(np.int64), mix[m:].view(np.int64)
 
 
-_BINS = np.arange(256, dtype=np.uint64) << np.uint64(56)
+_BINS = np.arange(BINS, dtype=np.uint64) << np.uint64(55)
 
 
-def bit_sketch(s: np.ndarray) -> np.ndarray:
-    """One bit of the least hash in each of 256 bins, as four 64-bit numbers."""
+def bin_sketch(s: np.ndarray) -> np.ndarray:
+    """Four bits of the least hash in each bin (0 in empty ones), as 64-bit numbers."""
     at = np.searchsorted(s, _BINS)
     low = s[np.minimum(at, len(s) - 1)]
-    own = (at < len(s)) & (low >> np.uint64(56) == _BINS >> np.uint64(56))
-    bits = own & ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(bool)
-    return np.packbits(bits).view("<i8")
+    own = (at < len(s)) & (low >> np.uint64(55) == _BINS >> np.uint64(55))
+    four = np.where(own, (low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(60), np.uint64(0)).astype(np.uint8)
+    return (four[::2] << 4 | four[1::2]).view("<i8")
 
 
 def split_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
     for start, texts in text_slices(batch, "text"):
         words = [t.lower().split() for t in texts]
-        _words.fill(set().union(*words), hash_words)
+        word_hashes().fill(set().union(*words), hash_words)
         yield start, words
 
 
@@ -126,7 +133,7 @@ def features(docs: DataFrame, k: int, m: int) -> DataFrame:
                     s = shingles(w, k)
                     if len(s):
                         a, b = combined(minhashes(s, xor, odd), m)
-                        found = (len(s), xxhash.xxh3_128_digest(s.tobytes()), a, b, bit_sketch(s))
+                        found = (len(s), xxhash.xxh3_128_digest(s.tobytes()), a, b, bin_sketch(s))
                     else:
                         found = (0, b"", None, None, None)
                     for column, value in zip(rows, found, strict=True):
@@ -181,11 +188,44 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").where(linked).select("x", "y")
 
 
+def differing_bins(a: str, b: str) -> F.Column:
+    """How many of the four-bit bins of two sketches differ."""
+    ones = F.lit(0x1111111111111111)
+    total = F.lit(0)
+    for i in range(LONGS):
+        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones))
+    return total
+
+
 def may_link(percent: int, a: str, b: str) -> F.Column:
-    """Bounds that linked sets keep, on sizes and sketches."""
-    size = (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n"))
-    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return size & (differ <= sketch_bound(percent))
+    """Bounds that linked sets keep: on sizes; on the bins that differ, which are no
+    more than the elements that only one of the sets has."""
+    size = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
+    apart = (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / (100 + percent)
+    return size & (differing_bins(a, b) <= F.least(apart, F.lit(float(sketch_bound(percent)))))
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose nodes have different labels; one without a label has its
+    own number."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}"))
+    both = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    return both.where(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("x", "y")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links between nodes: components of components."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}"))
+    ends = links.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    more = materialize(ends.select("x", "y", F.coalesce("of_x", "x").alias("a"), F.coalesce("of_y", "y").alias("b")), "near-dup-links")
+    if more.isEmpty():
+        return labels
+    merged = components(more.select(F.col("a").alias("x"), F.col("b").alias("y"))).select(F.col("node").alias("label"), F.col("label").alias("final"))
+    new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
+    nodes = labels.unionByName(new).groupBy("node").agg(F.min("label").alias("label"))
+    return materialize(nodes.join(merged, "label", "left").select("node", F.coalesce("final", "label").alias("label")), "near-dup-labels")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -204,38 +244,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = feats.where("n > 0 AND doc_id IS NOT NULL")
     own = full.groupBy("doc_id").agg(F.min_by(F.struct("n", "digest", "a", "b", "sketch"), "digest").alias("f")).select("doc_id", "f.*")
     reps = own.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "a", "b", "sketch"), "doc_id").alias("f")).select("digest", "f.*")
-    reps = materialize(reps.select("digest", "doc_id", "n", "a", "b", *(F.col("sketch")[i].alias(f"s{i}") for i in range(4))), "near-dup-sets")
-    short = reps.select("doc_id", "n", *(f"s{i}" for i in range(4)))
+    bits = [f"s{i}" for i in range(LONGS)]
+    reps = materialize(reps.select("digest", "doc_id", "n", "a", "b", *(F.col("sketch")[i].alias(c) for i, c in enumerate(bits))), "near-dup-sets")
+    short = reps.select("doc_id", "n", *bits)
 
     keys = reps.select("doc_id", "b", F.explode("a").alias("a")).select("doc_id", "a", F.explode("b").alias("b"))
     buckets = keys.select("doc_id", F.xxhash64("a", "b").alias("key"))
-    centers = buckets.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last")
-    multi = materialize(buckets.join(centers.select("key", "center"), "key"), "near-dup-buckets")
-
-    needed = multi.select("doc_id").distinct()
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    multi = materialize(buckets.join(shared, "key"), "near-dup-buckets")
+    known = materialize(multi.groupBy("doc_id").agg(F.sum("size").alias("weight")), "near-dup-weights")
+    # The centre of a bucket is its document of most company, of equals the smallest.
+    rank = F.struct(F.col("weight"), (-F.col("doc_id")).alias("least"))
+    centers = multi.join(known, "doc_id").groupBy("key").agg(F.max(rank).alias("c")).select("key", (-F.col("c.least")).alias("y"), F.col("c.weight").alias("weight"))
+    star = multi.select("key", F.col("doc_id").alias("x")).join(centers, "key").groupBy("x", "y").agg(F.max("weight").alias("weight"))
+    star = materialize(star, "near-dup-star")
+
+    needed = known.select("doc_id")
     sets = full_sets(docs.select("doc_id", "text").join(needed, "doc_id"), k)
     sets = materialize(sets.join(reps.select("doc_id", "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select("doc_id", "set"), "near-dup-full")
 
-    star = multi.where("doc_id <> center").select(F.col("doc_id").alias("x"), F.col("center").alias("y")).distinct()
-    near = star.join(short.alias("p"), F.col("x") == F.col("p.doc_id")).join(short.alias("q"), F.col("y") == F.col("q.doc_id")).where(may_link(percent, "p", "q")).select("x", "y")
-    first = components(verified(near, sets, percent))
-
-    named = multi.join(first, multi.doc_id == first.node, "left").select("key", "doc_id", "center", F.coalesce("label", "doc_id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = materialize(named.where("doc_id <> center").join(mixed, "key").join(short, "doc_id"), "near-dup-rest")
-    p, q = rest.alias("p"), rest.alias("q")
-    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.label") < F.col("q.label")) & may_link(percent, "p", "q"))
+    def links(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(short.alias("p"), F.col("x") == F.col("p.doc_id")).join(short.alias("q"), F.col("y") == F.col("q.doc_id")).where(may_link(percent, "p", "q"))
+        return verified(near.select("x", "y"), sets, percent)
+
+    best = F.max(F.struct(F.col("weight"), (-F.col("y")).alias("least")))
+    first_of = star.where("x <> y").groupBy("x").agg(best.alias("c")).select("x", (-F.col("c.least")).alias("y"))
+    labels = components(links(first_of))
+    others = apart(star.where("x <> y").select("x", "y").join(first_of, ["x", "y"], "left_anti"), labels)
+    labels = joined(labels, links(others))
+
+    # Documents of different components that share a sub-hash of the first collection.
+    named = needed.join(labels, needed.doc_id == labels.node, "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
+    rows = named.join(reps.select("doc_id", "n", "a", *bits), "doc_id").select("doc_id", "label", "n", *bits, F.explode("a").alias("key"))
+    rows = materialize(rows, "near-dup-rows")
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").select("key", "largest")
+    mixed = rows.join(largest, "key")
+    p, q = mixed.where("label <> largest").alias("p"), mixed.alias("q")
+    different = (F.col("q.label") == F.col("q.largest")) | (F.col("p.label") < F.col("q.label"))
+    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.label") != F.col("q.label")) & different & may_link(percent, "p", "q"))
     across = across.select(F.col("p.doc_id").alias("x"), F.col("q.doc_id").alias("y")).distinct()
-    more = verified(across, sets, percent)
-    lookup = lambda side: first.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
-    more = more.join(lookup("x"), "x", "left").join(lookup("y"), "y", "left")
-    more = materialize(more.select(F.coalesce("label_x", "x").alias("x"), F.coalesce("label_y", "y").alias("y")), "near-dup-links")
-    if more.isEmpty():
-        labels = first
-    else:
-        second = components(more).select(F.col("node").alias("label"), F.col("label").alias("final"))
-        all_nodes = first.unionByName(more.select(F.explode(F.array("x", "y")).alias("node")).distinct().select("node", F.col("node").alias("label")))
-        labels = all_nodes.groupBy("node").agg(F.min("label").alias("label")).join(second, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    labels = joined(labels, verified(across, sets, percent))
 
     of_set = reps.join(labels, reps.doc_id == labels.node, "left").select("digest", F.coalesce("label", "doc_id").alias("component"))
     of_doc = own.select("doc_id", "digest").join(of_set, "digest").select("doc_id", "component")
