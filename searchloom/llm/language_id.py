@@ -7,8 +7,9 @@ arrays of packed n-grams, with one column of probabilities for each language.
 
 A text's score under a language is the mean log probability of its characters; the
 language with the lowest cross-entropy wins.  A temperature turns the gaps between
-languages into a probability, and a cross-entropy bound rejects texts that are like
-none of them; both are fitted on a bounded sample of learning documents.
+languages into a probability, and cross-entropy bounds by length reject texts that are
+like none of them; both are fitted on all learning documents, so none of these is
+rejected.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,12 @@ from pyspark.sql import types as T
 from .common import materialize, resident, text_slices
 
 #: 4-grams kept for a language (the most frequent; a bound on the model, reached only
-#: by scripts with very many characters), documents that calibration looks at, the
-#: factor over the largest cross-entropy of these at which a text is rejected.
-GRAMS, CALIBRATION, SLACK = 400_000, 2_000, 1.15
+#: by scripts with very many characters), temperatures that are tried.
+GRAMS, TEMPERATURES = 400_000, (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
+#: A text is rejected above SLACK times the largest cross-entropy of the learning
+#: documents that are as long (ENOUGH of the longest at least), plus MARGIN nats (about
+#: one unseen character) over its number of characters.
+SLACK, ENOUGH, MARGIN = 1.15, 1_000, 10.0
 DISCOUNT, CHUNKS = 0.75, 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Packed 16-bit codes of a word's start and end.
@@ -59,11 +63,16 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, np.bincount(of, n, len(own))
 
 
+def length_class(chars: np.ndarray) -> np.ndarray:
+    return np.log2(chars).astype(np.int64)
+
+
 @dataclass
 class Model:
     """grams[k], p[k]: sorted packed n-grams of order 4-k and their interpolated log
     probabilities by language; contexts[k], back[k]: contexts and the log weight that
-    each leaves to the next lower order."""
+    each leaves to the next lower order.  most: the largest cross-entropy of learning
+    documents by length class."""
 
     languages: list[str]
     grams: list[np.ndarray]
@@ -72,7 +81,12 @@ class Model:
     back: list[np.ndarray]
     uniform: np.ndarray
     temperature: float = 1.0
-    reject_above: float = float("inf")
+    most: np.ndarray = field(default_factory=lambda: np.full(64, np.inf))
+
+    def reject_above(self, chars: np.ndarray) -> np.ndarray:
+        """The largest cross-entropy that texts of so many characters may have."""
+        chars = np.maximum(chars, 1)
+        return self.most[length_class(chars)] * SLACK + MARGIN / chars
 
     def log_p(self, key: np.ndarray) -> np.ndarray:
         """Log probabilities of 4-grams, one column for each language."""
@@ -134,6 +148,15 @@ class ScoredChunks:
         rows = np.fromiter(map(self.row.__getitem__, chunks), np.int64, len(chunks))
         return self.table[rows].sum(0, dtype=np.float64)
 
+    def totals(self, batch: pa.RecordBatch, name: str) -> np.ndarray:
+        """A row for each text of a batch: summed log probability by language, then characters."""
+        sums = []
+        for _, texts in text_slices(batch, name):
+            words = [t.split() for t in texts]
+            self.add(set().union(*words))
+            sums += map(self.total, words)
+        return np.array(sums).reshape(-1, self.table.shape[1])
+
 
 def count_grams(learn: DataFrame) -> DataFrame:
     """(lang, gram, n): 4-grams of all of ``learn`` (text, lang)."""
@@ -228,32 +251,52 @@ def train(learn: DataFrame) -> Model:
 
 
 def calibrate(model: Model, learn: DataFrame) -> None:
-    """Temperature by likelihood and rejection bound, from CALIBRATION documents: those
-    first in the order of a hash of doc_id and text."""
-    sample = learn.where(F.length("text") > 0).select("text", "lang", F.xxhash64("doc_id", F.substring("text", 1, 64)).alias("h")).orderBy("h").limit(CALIBRATION).select("text", "lang").toArrow()
-    entropy, truth = [], []
-    for text, lang in zip(sample["text"], sample["lang"], strict=True):
-        total = model.score_chunks(text.as_py().encode().split()).sum(0, dtype=np.float64)
-        if total[-1]:
-            entropy.append(-total[:-1] / total[-1])
-            truth.append(model.languages.index(lang.as_py()))
-    if not entropy:
+    """Temperature by likelihood and the bounds of rejection, from all documents of
+    ``learn``: each task adds up its own by length class, Spark adds up the tasks."""
+    shared = learn.sparkSession.sparkContext.broadcast(model)
+    key = uuid.uuid4().hex
+    fits = [f"fit_{i}" for i in range(len(TEMPERATURES))]
+    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), *(T.StructField(k, T.DoubleType()) for k in ("most", *fits))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        index = {lang: j for j, lang in enumerate(own.languages)}
+        cache = resident(("language", key), lambda: ScoredChunks(own))
+        n, most, fit = np.zeros(64, np.int64), np.zeros(64), np.zeros((len(TEMPERATURES), 64))
+        for batch in batches:
+            total = cache.totals(batch, "text")
+            some = total[:, -1] > 0
+            right = np.array([index.get(lang, 0) for lang in batch.column(1).to_pylist()], np.int64)[some]
+            total = total[some]
+            if not len(total):
+                continue
+            rate, of = -total[:, :-1] / total[:, -1:], length_class(total[:, -1])
+            n += np.bincount(of, minlength=64)
+            np.maximum.at(most, of, rate.min(1))
+            for i, t in enumerate(TEMPERATURES):
+                z = (rate.min(1, keepdims=True) - rate) / t
+                fit[i] += np.bincount(of, np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), right], 64)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, n[at], most[at], *fit[:, at])], names=schema.names)
+
+    sums = learn.select("text", "lang").mapInArrow(run, schema).groupBy("class").agg(F.sum("n").alias("n"), F.max("most").alias("most"), *(F.sum(k).alias(k) for k in fits)).collect()
+    if not sums:
         return
-    rate, right = np.array(entropy), np.array(truth)
-    fits = []
-    for t in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
-        z = -rate / t
-        z -= z.max(1, keepdims=True)
-        fits.append((-np.mean(z[np.arange(len(z)), right] - np.log(np.exp(z).sum(1))), t))
-    model.temperature = min(fits)[1]
-    model.reject_above = float(rate.min(1).max() * SLACK)
+    model.temperature = min((sum(r[k] for r in sums), t) for k, t in zip(fits, TEMPERATURES, strict=True))[1]
+    found, most, top = 0, 0.0, 64
+    for r in sorted(sums, key=lambda r: -r["class"]):
+        found, most = found + r["n"], max(most, r["most"])
+        if found >= ENOUGH:
+            model.most[r["class"] : top] = most
+            top = r["class"]
+    model.most[:top] = most
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``lang_pred``, ``score`` (0 to 1), ``cross_entropy`` and ``rejected``.
 
     A null text, or one without letters, is ``und`` with score 0 and rejected.  So is,
-    but for its language, a text above the model's cross-entropy bound.  Columns of
+    but for its language, a text above the model's cross-entropy bound for its length.  Columns of
     these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -267,12 +310,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = shared.value
         cache = resident(("language", key), lambda: ScoredChunks(own))
         for batch in batches:
-            sums = []
-            for _, texts in text_slices(batch, text):
-                words = [t.split() for t in texts]
-                cache.add(set().union(*words))
-                sums += map(cache.total, words)
-            total = np.array(sums).reshape(-1, len(own.languages) + 1)
+            total = cache.totals(batch, text)
             chars = total[:, -1]
             rate = -total[:, :-1] / np.maximum(chars, 1)[:, None]
             best = rate.argmin(1)
@@ -281,7 +319,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             lang = [own.languages[b] if c > 0 else "und" for b, c in zip(best, chars, strict=True)]
             entropy = np.where(chars > 0, rate.min(1), np.nan)
             columns = [batch.column(batch.schema.get_field_index(k)) for k in names]
-            columns += [pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, mask=~(chars > 0)), pa.array(~(chars > 0) | (rate.min(1) > own.reject_above))]
+            columns += [pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, mask=~(chars > 0)), pa.array(~(chars > 0) | (rate.min(1) > own.reject_above(chars)))]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *made])
 
     return docs.mapInArrow(run, schema)

@@ -37,6 +37,17 @@ def test_language_id_on_held_out_rows(spark):
     assert language_id.identify(odd, nothing).count() == 4
 
 
+def test_no_learned_document_is_rejected_in_a_large_table(spark):
+    rare = ["xq", "ñ", "q z x j", "w v k y ø æ å", "ß"]
+    docs = documents(spark, 5000, 9).unionByName(spark.createDataFrame([(10_000 + i, t, "en") for i, t in enumerate(rare)], "doc_id long, text string, lang string")).cache()
+    model = language_id.train(docs)
+    assert language_id.identify(docs, model).where("rejected").count() == 0
+    odd = spark.createDataFrame([(1, "中文文字" * 20), (2, "zqxjkvwy " * 20)], "doc_id long, text string")
+    assert [r["rejected"] for r in language_id.identify(odd, model).collect()] == [True, True]
+    again = language_id.train(docs.repartition(5, "doc_id"))
+    assert np.allclose(again.most, model.most) and again.temperature == model.temperature
+
+
 def test_kneser_ney_is_a_distribution():
     keys, n = language_id.summed(*(lambda k, l: (k, np.ones(len(k))))(*language_id.grams(["abba", "cab", "bac", "aab"])))
     model = language_id.build(["x"], [(keys, n)])
