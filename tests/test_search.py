@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from searchloom import queries
 from searchloom.operators import corpus, graph, quality, reports
 from searchloom.operators.index import Index
 from searchloom.plans import answers, query, search
@@ -106,6 +107,36 @@ def test_index_write_read_remove(spark, tmp_path):
         Index.read(spark, str(tmp_path / "missing"))
 
 
+def power_iteration(links, hosts, rounds=25):
+    """(score, inlinks) by host, from (src, dst) -> n."""
+    inlinks = {h: sum(n for (_, d), n in links.items() if d == h) for h in hosts}
+    out = {h: [d for s, d in links if s == h] for h in hosts}
+    rank = {h: (1 + inlinks[h]) / sum(1 + i for i in inlinks.values()) for h in hosts}
+    for _ in range(rounds):
+        loose = sum(rank[h] for h in hosts if not out[h]) / len(hosts)
+        rank = {h: 0.15 / len(hosts) + 0.85 * (loose + sum(rank[s] / len(out[s]) for s in hosts if h in out[s])) for h in hosts}
+    top, most = max(rank.values()), max(1, *inlinks.values())
+    return {h: (min(1, rank[h] / top * 0.75 + math.sqrt(inlinks[h] / most) * 0.25), inlinks[h]) for h in hosts}
+
+
+@pytest.mark.parametrize("links", [{(0, 1): 3, (5, 1): 1, (1, 2): 2}, {(0, 5): 1}, {(0, 1): 1, (1, 0): 1, (5, 0): 4, (2, 5): 1, (5, 2): 2}])
+def test_host_authority_ranks_all_links(spark, tmp_path, links):
+    """Sparse graphs with dangling nations (2; all but 0; none but 3) and one alone (3)."""
+    keys = [0, 1, 2, 3, 5]
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write("nation", [(k, f"n{k}") for k in keys], "n_nationkey long, n_name string")
+    write("customer", [(100 + k, k) for k in keys], "c_custkey long, c_nationkey long")
+    write("supplier", [(200 + k, k) for k in keys], "s_suppkey long, s_nationkey long")
+    write("orders", [(300 + k, 100 + k) for k in keys], "o_orderkey long, o_custkey long")
+    lines = [(300 + s, 200 + d) for (s, d), n in {**links, (3, 3): 2}.items() for _ in range(n)]
+    write("lineitem", lines, "l_orderkey long, l_suppkey long")
+    got = {r["host"]: (r["score"], r["inlinks"]) for r in queries.QUERIES["host_authority"](spark, str(tmp_path)).collect()}
+    want = power_iteration({(f"n{s}", f"n{d}"): n for (s, d), n in links.items()}, [f"n{k}" for k in keys])
+    assert got.keys() == want.keys()
+    for h, (score, inlinks) in want.items():
+        assert got[h] == (pytest.approx(score, abs=2e-6), inlinks)
+
+
 def test_page_rank_prefers_the_linked(spark):
     links = spark.createDataFrame([(f"s{i}", "hub", 1) for i in range(5)] + [("hub", "s0", 1)], "src string, dst string, n long")
     rank = {r["host"]: r["score"] for r in graph.page_rank(links, spark.createDataFrame([("alone",)], "host string")).collect()}
