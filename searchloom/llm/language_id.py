@@ -3,7 +3,8 @@
 Each language has an interpolated Kneser-Ney model of the characters of a word given
 the three before them.  Counts come from all learning documents: every task counts
 the 4-grams of its distinct words, Spark adds them up.  A model is a set of sorted
-arrays of packed n-grams, with one column of probabilities for each language.
+arrays of packed n-grams, with one column of probabilities for each language.  It holds
+every n-gram of the learning documents, and so grows with their distinct 4-grams.
 
 A text's score under a language is the mean log probability of its characters; the
 language with the lowest cross-entropy wins.  A temperature turns the gaps between
@@ -28,9 +29,8 @@ from pyspark.sql import types as T
 
 from .common import materialize, resident, text_slices
 
-#: 4-grams kept for a language (the most frequent; a bound on the model, reached only
-#: by scripts with very many characters), temperatures that are tried.
-GRAMS, TEMPERATURES = 400_000, (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
+#: Temperatures that are tried.
+TEMPERATURES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 #: A text is rejected above SLACK times the largest cross-entropy of the learning
 #: documents that are as long (ENOUGH of the longest at least), plus MARGIN nats (about
 #: one unseen character) over its number of characters.
@@ -238,8 +238,7 @@ def train(learn: DataFrame) -> Model:
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     tables = []
     for lang in languages:
-        # The model is bounded: GRAMS rows at most come to the driver.
-        own = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).select("gram", "n").toArrow()
+        own = counts.where(F.col("lang") == lang).select("gram", "n").toArrow()
         key, n = own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()
         order = np.argsort(key)
         tables.append((key[order], n[order]))

@@ -48,6 +48,21 @@ def test_no_learned_document_is_rejected_in_a_large_table(spark):
     assert np.allclose(again.most, model.most) and again.temperature == model.temperature
 
 
+def test_all_grams_of_a_large_script_count(spark):
+    """More than 400,000 distinct 4-grams in a language: none is left out."""
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, w)) for w in rng.integers(0x4E00, 0x9FA5, (120_000, 4))]
+    rows = [(i, " ".join(words[i::300]), "zh") for i in range(300)] + [(1000 + i, "the of and that", "en") for i in range(3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    key, lengths = language_id.grams([*words, "the", "of", "and", "that"])
+    assert len(set(key.tolist())) > 400_000
+    assert set(key.tolist()) <= set(model.grams[0].tolist())
+    own, n = language_id.summed(*(lambda k: (k, np.ones(len(k))))(language_id.grams(words)[0]))
+    english = language_id.summed(*(lambda k: (k, np.full(len(k), 3.0)))(language_id.grams(["the", "of", "and", "that"])[0]))
+    exact = language_id.build(["en", "zh"], [english, (own, n)])
+    assert np.allclose(model.log_p(key), exact.log_p(key), atol=1e-5)
+
+
 def test_kneser_ney_is_a_distribution():
     keys, n = language_id.summed(*(lambda k, l: (k, np.ones(len(k))))(*language_id.grams(["abba", "cab", "bac", "aab"])))
     model = language_id.build(["x"], [(keys, n)])
