@@ -652,6 +652,13 @@ def stride_sample(spark, sf):
     return corpus.stride_sample(table(spark, sf, "pages").select("page_id"), "page_id", 20, 250)
 
 
+@registered("WITH p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS pos, count(*) OVER () AS n FROM pages) SELECT page_id FROM p WHERE n <= 20 OR (pos % (n // 20) = 0 AND pos // (n // 20) < 20)")
+def stride_sample_counted(spark, sf):
+    """Twenty pages from all of the table; the stride follows from its own count."""
+    p = table(spark, sf, "pages").select("page_id")
+    return corpus.stride_sample(p, "page_id", 20, p.count())
+
+
 @registered(rf"""WITH k AS (SELECT page_id, {_NORM} AS url, {_HOSTS} AS host FROM pages), o AS (SELECT url, host, min(page_id) AS pos FROM k GROUP BY ALL),
 r AS (SELECT url, pos FROM o QUALIFY row_number() OVER (PARTITION BY host ORDER BY pos) <= 2) SELECT url, pos FROM r WHERE url NOT IN (SELECT url FROM k WHERE page_id < 20)""")
 def import_candidates(spark, sf):

@@ -107,6 +107,12 @@ def test_index_write_read_remove(spark, tmp_path):
         Index.read(spark, str(tmp_path / "missing"))
 
 
+@pytest.mark.parametrize(("n", "want"), [(7, range(7)), (20, range(20)), (250, range(0, 240, 12)), (2500, range(0, 2500, 125))])
+def test_counted_stride_walks_the_whole_table(spark, tmp_path, n, want):
+    spark.range(n).select(F.col("id").alias("page_id")).write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(r["page_id"] for r in queries.QUERIES["stride_sample_counted"](spark, str(tmp_path)).collect()) == list(want)
+
+
 def power_iteration(links, hosts, rounds=25):
     """(score, inlinks) by host, from (src, dst) -> n."""
     inlinks = {h: sum(n for (_, d), n in links.items() if d == h) for h in hosts}
