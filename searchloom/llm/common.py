@@ -17,27 +17,42 @@ SLICE_BYTES = 2 << 20
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset (tests,
-    a single machine) a temporary folder is made and set for the session.
+    ``spark.checkpoint.dir`` names that folder.  Where it is unset, a single machine (a
+    ``local[n]`` master, as in tests) gets a temporary folder, set for the session;
+    a cluster raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="searchloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, plain: bool = False) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     This cuts the lineage: what follows survives a lost executor without the
-    stages before it being run again.
+    stages before it being run again.  ``plain``: columns of hashes, which no
+    dictionary makes smaller.
     """
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    write = df.write.option("parquet.enable.dictionary", "false") if plain else df.write
+    write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote and nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,8 @@ A document is the set of its distinct k-word shingles.  ``m`` sub-hashes A_1..A_
 (A_i, B_j): as many tables as plain banding would need ``4 * m * m`` minhashes for are
 made from ``4 * m``.  Two sets of similarity J share a key unless all A or all B
 differ, with probability 2 * (1 - J^2)^m; ``m`` is chosen from the threshold so that
-this is under MISSED at the threshold, and less above it.
+this is under MISSED at the threshold, and less above it.  Keys are formed only from
+sub-hashes that two documents have: any other key would stand alone.
 
 Candidates are verified on full sets, after bounds on size and a sketch.  A bucket of
 any size costs work in proportion to its rows: its documents are held against the one
@@ -29,17 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, materialize, resident, text_slices
+from .common import BoundedCache, discard, materialize, resident, text_slices
 
 #: Chance that a pair just at the threshold shares no table.
 MISSED = 5e-5
 #: Bins of a sketch, of four bits each, and the 64-bit numbers that hold it.
 BINS, LONGS = 512, 32
-WORDS = 400_000
+#: Words whose hashes a worker remembers, and words handled at once.
+WORDS, RUN = 200_000, 150_000
 
 FEATURES = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
-    + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("a", "b", "sketch")]
+    + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("a", "b", "sketch", "set")]
 )
 
 
@@ -64,21 +66,45 @@ def hash_words(words: list[bytes]) -> list[int]:
     return list(map(xxhash.xxh3_64_intdigest, words))
 
 
-def shingles(words: list[bytes], k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; of the whole sequence as
-    one shingle if there are fewer words; none without words."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-    n = len(h) - k + 1
+def runs_of(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
+    """The words of the texts, ASCII lower case, RUN words or one text at once."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t.lower().split())
+        size += len(run[-1])
+        if size >= RUN:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def shingle_sets(docs: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sets laid end to end, where each ends): of each document the sorted distinct
+    64-bit hashes of its k-word shingles; of the whole sequence as one shingle if there
+    are fewer words; none without words."""
+    cache = word_hashes()
+    cache.fill(set().union(*docs), hash_words)
+    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+    h = np.fromiter((cache[w] for d in docs for w in d), np.uint64, int(sizes.sum()))
+    n = max(len(h) - k + 1, 0)
     out = np.zeros(n, np.uint64)
     for i in range(k):
         out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    out = out * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ out >> np.uint64(32))
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    sets, at = [], 0
+    for words, size in zip(docs, sizes.tolist(), strict=True):
+        if size >= k:
+            own = np.sort(out[at : at + size - k + 1])
+            sets.append(own[np.r_[True, own[1:] != own[:-1]]])
+        elif size:
+            sets.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=size)], np.uint64))
+        else:
+            sets.append(np.zeros(0, np.uint64))
+        at += size
+    return np.concatenate(sets), np.cumsum(np.fromiter(map(len, sets), np.int64, len(sets)))
 
 
 def seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,79 +112,63 @@ def seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, 4 * m, dtype=np.uint64), rng.integers(0, 1 << 63, 4 * m, dtype=np.uint64) | np.uint64(1)
 
 
-def minhashes(s: np.ndarray, xor: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    low = np.full(len(xor), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 4096):
-        part = (s[at : at + 4096, None] ^ xor) * odd
-        low = np.minimum(low, (part ^ part >> np.uint64(31)).min(0))
+def minhashes(flat: np.ndarray, starts: np.ndarray, xor: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """A row of minhashes for each of the sets that begin at ``starts``, none empty."""
+    low = np.empty((len(starts), len(xor)), np.uint64)
+    for j in range(len(xor)):
+        part = (flat ^ xor[j]) * odd[j]
+        part ^= part >> np.uint64(31)
+        low[:, j] = np.minimum.reduceat(part, starts)
     return low
 
 
 def combined(low: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """The A and B sub-hashes, of two minhashes each; the position is mixed in."""
-    pair = low.reshape(2 * m, 2)
-    mix = (pair[:, 0] * np.uint64(0xFF51AFD7ED558CCD)) ^ (pair[:, 1] * np.uint64(0xC4CEB9FE1A85EC53)) + np.arange(2 * m, dtype=np.uint64)
+    pair = low.reshape(len(low), 2 * m, 2)
+    mix = (pair[:, :, 0] * np.uint64(0xFF51AFD7ED558CCD)) ^ (pair[:, :, 1] * np.uint64(0xC4CEB9FE1A85EC53)) + np.arange(2 * m, dtype=np.uint64)
     mix = (mix ^ mix >> np.uint64(33)) * np.uint64(0x9E3779B97F4A7C15)
-    return mix[:m].view(np.int64), mix[m:].view(np.int64)
+    return mix[:, :m].view(np.int64), mix[:, m:].view(np.int64)
 
 
-_BINS = np.arange(BINS, dtype=np.uint64) << np.uint64(55)
+def bin_sketches(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each sorted set four bits of the least hash in each bin (0 in empty ones), as
+    a row of 64-bit numbers."""
+    own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
+    cell = own * BINS + (flat >> np.uint64(55)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    four = np.zeros(len(starts) * BINS, np.uint8)
+    four[cell[first]] = (flat[first] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(60)
+    return (four[::2] << 4 | four[1::2]).view("<i8").reshape(-1, LONGS)
 
 
-def bin_sketch(s: np.ndarray) -> np.ndarray:
-    """Four bits of the least hash in each bin (0 in empty ones), as 64-bit numbers."""
-    at = np.searchsorted(s, _BINS)
-    low = s[np.minimum(at, len(s) - 1)]
-    own = (at < len(s)) & (low >> np.uint64(55) == _BINS >> np.uint64(55))
-    four = np.where(own, (low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(60), np.uint64(0)).astype(np.uint8)
-    return (four[::2] << 4 | four[1::2]).view("<i8")
-
-
-def split_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
-    for start, texts in text_slices(batch, "text"):
-        words = [t.lower().split() for t in texts]
-        word_hashes().fill(set().union(*words), hash_words)
-        yield start, words
+def lists(rows: np.ndarray, full: np.ndarray) -> pa.Array:
+    """Rows of numbers as lists; null where a document is not ``full``."""
+    ends = np.zeros(len(full) + 1, np.int32)
+    ends[1:] = np.cumsum(np.where(full, rows.shape[1], 0))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).ravel()), mask=pa.array(~full))
 
 
 def features(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """Per document: set size, a 128-bit digest of the set, sub-hashes and sketch."""
+    """Per document: set size, a 128-bit digest of the set, sub-hashes, sketch, set."""
     xor, odd = seeds(m)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for _, words in split_slices(batch):
-                for w in words:
-                    s = shingles(w, k)
-                    if len(s):
-                        a, b = combined(minhashes(s, xor, odd), m)
-                        found = (len(s), xxhash.xxh3_128_digest(s.tobytes()), a, b, bin_sketch(s))
-                    else:
-                        found = (0, b"", None, None, None)
-                    for column, value in zip(rows, found, strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(r, t) for r, t in zip(rows, kinds, strict=True))], names=FEATURES.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
-
-
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, digest, set) of all rows."""
-    schema = T.StructType([FEATURES["doc_id"], FEATURES["digest"], T.StructField("set", T.ArrayType(T.LongType()))])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
-            for start, words in split_slices(batch):
-                sets = [shingles(w, k) for w in words]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, len(sets)), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=schema.names,
-                )
+            for start, texts in text_slices(batch, "text"):
+                for own in runs_of(texts):
+                    flat, ends = shingle_sets(own, k)
+                    starts = np.append(0, ends[:-1])
+                    full = ends > starts
+                    some = starts[full]
+                    a, b = combined(minhashes(flat, some, xor, odd), m)
+                    digest = [xxhash.xxh3_128_digest(flat[i:j].tobytes()) if j > i else b"" for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    columns = [lists(x, full) for x in (a, b, bin_sketches(flat, some))]
+                    sets = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([ids.slice(start, len(own)), pa.array(ends - starts), pa.array(digest, pa.binary()), *columns, sets], names=FEATURES.names)
+                    start += len(own)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,9 +184,11 @@ def components(edges: DataFrame) -> DataFrame:
         spread = labels.join(near, labels.node == near.x).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = materialize(spread.join(up, "label").select("node", F.least("label", "up").alias("label"), "old"), "labels")
-        if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
+        if labels.where("label <> old").isEmpty():
+            discard(both)
+            return labels.select("node", "label")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,6 +240,71 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(nodes.join(merged, "label", "left").select("node", F.coalesce("final", "label").alias("label")), "near-dup-labels")
 
 
+def representatives(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, one document for each distinct set) of rows of features: doc_id and
+    digest, of a document's rows the smallest digest, and the smallest doc_id of each
+    digest.  Both are narrow, so copies are put together without their sets."""
+    full = feats.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "digest")
+    own = materialize(full.groupBy("doc_id").agg(F.min("digest").alias("digest")), "near-dup-documents")
+    return own, own.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "digest")
+
+
+def buckets_of(reps: DataFrame) -> DataFrame:
+    """(key, doc_id, size): the tables' buckets with two documents or more.
+
+    Sub-hashes that one document alone has are left out before keys are formed of them.
+    """
+    sub = reps.select("doc_id", F.explode("a").alias("sub"), F.lit(True).alias("first"))
+    sub = sub.unionByName(reps.select("doc_id", F.explode("b").alias("sub"), F.lit(False).alias("first")))
+    common = sub.groupBy("sub").agg(F.count("*").alias("size")).where("size > 1").select("sub")
+    side = lambda first: F.collect_list(F.when(F.col("first") == first, F.col("sub")))
+    both = sub.join(common, "sub").groupBy("doc_id").agg(side(True).alias("a"), side(False).alias("b"))
+    pairs = both.select("doc_id", "b", F.explode("a").alias("a")).select("doc_id", "a", F.explode("b").alias("b"))
+    keys = materialize(pairs.select("doc_id", F.xxhash64("a", "b").alias("key")), "near-dup-keys")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    multi = materialize(keys.join(shared, "key"), "near-dup-buckets")
+    discard(keys)
+    return multi
+
+
+def stars(multi: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs of a document x and the centre y of one of its buckets, of each document
+    the first such pair).  The centre of a bucket is its document of most company, of
+    equals the smallest; a document's first centre that of most company."""
+    known = multi.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    weighted = materialize(multi.join(known, "doc_id").select("key", "doc_id", "weight"), "near-dup-weights")
+    rank = F.struct(F.col("weight"), (-F.col("doc_id")).alias("least"))
+    centers = weighted.groupBy("key").agg(F.max(rank).alias("c")).select("key", (-F.col("c.least")).alias("y"), F.col("c.weight").alias("of_y"))
+    star = weighted.select("key", F.col("doc_id").alias("x")).join(centers, "key").where("x <> y").groupBy("x", "y").agg(F.max("of_y").alias("weight"))
+    star = materialize(star, "near-dup-star")
+    discard(weighted)
+    best = F.max(F.struct(F.col("weight"), (-F.col("y")).alias("least")))
+    return star, materialize(star.groupBy("x").agg(best.alias("c")).select("x", (-F.col("c.least")).alias("y")), "near-dup-first")
+
+
+def candidates_across(reps: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a sub-hash of each collection and may
+    be linked: in each bucket of the first collection those outside its largest
+    component against all others."""
+    named = members.join(labels, members.doc_id == labels.node, "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
+    bits = [f"s{i}" for i in range(LONGS)]
+    rows = named.join(reps, "doc_id").select("doc_id", "label", "n", "b", *bits, F.explode("a").alias("key"))
+    rows = materialize(rows, "near-dup-rows")
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    # Written, so that both sides of the join come straight from a shuffle, whose hot
+    # keys adaptive execution can split.
+    mixed = materialize(rows.join(largest.select("key", F.col("m.label").alias("largest")), "key"), "near-dup-mixed")
+    discard(rows)
+    p, q = mixed.where("label <> largest").alias("p"), mixed.alias("q")
+    different = (F.col("q.label") == F.col("q.largest")) | (F.col("p.label") < F.col("q.label"))
+    near = F.arrays_overlap("p.b", "q.b") & may_link(percent, "p", "q")
+    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.label") != F.col("q.label")) & different & near)
+    pairs = materialize(pairs.select(F.col("p.doc_id").alias("x"), F.col("q.doc_id").alias("y")).distinct(), "near-dup-across")
+    discard(mixed)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, n_shingles,
     component_id, kept.
@@ -237,57 +314,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reachable; ``kept`` says that it is the document's own.  Texts without words, null
     or empty, are linked with nothing.  Rows without a doc_id are linked with nothing
     and kept, with a null component.  Rows of one doc_id count as one document, with
-    the set whose digest is smallest.
+    the set whose digest is smallest; each keeps its own n_shingles.  Other columns of
+    ``docs`` are not looked at.
     """
-    m = tables_for(percent)
-    feats = materialize(features(docs, k, m), "near-dup-features")
-    full = feats.where("n > 0 AND doc_id IS NOT NULL")
-    own = full.groupBy("doc_id").agg(F.min_by(F.struct("n", "digest", "a", "b", "sketch"), "digest").alias("f")).select("doc_id", "f.*")
-    reps = own.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "a", "b", "sketch"), "doc_id").alias("f")).select("digest", "f.*")
-    bits = [f"s{i}" for i in range(LONGS)]
-    reps = materialize(reps.select("digest", "doc_id", "n", "a", "b", *(F.col("sketch")[i].alias(c) for i, c in enumerate(bits))), "near-dup-sets")
-    short = reps.select("doc_id", "n", *bits)
-
-    keys = reps.select("doc_id", "b", F.explode("a").alias("a")).select("doc_id", "a", F.explode("b").alias("b"))
-    buckets = keys.select("doc_id", F.xxhash64("a", "b").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    multi = materialize(buckets.join(shared, "key"), "near-dup-buckets")
-    known = materialize(multi.groupBy("doc_id").agg(F.sum("size").alias("weight")), "near-dup-weights")
-    # The centre of a bucket is its document of most company, of equals the smallest.
-    rank = F.struct(F.col("weight"), (-F.col("doc_id")).alias("least"))
-    centers = multi.join(known, "doc_id").groupBy("key").agg(F.max(rank).alias("c")).select("key", (-F.col("c.least")).alias("y"), F.col("c.weight").alias("weight"))
-    star = multi.select("key", F.col("doc_id").alias("x")).join(centers, "key").groupBy("x", "y").agg(F.max("weight").alias("weight"))
-    star = materialize(star, "near-dup-star")
-
-    needed = known.select("doc_id")
-    sets = full_sets(docs.select("doc_id", "text").join(needed, "doc_id"), k)
-    sets = materialize(sets.join(reps.select("doc_id", "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select("doc_id", "set"), "near-dup-full")
+    feats = materialize(features(docs, k, tables_for(percent)), "near-dup-features", plain=True)
+    own, alone = representatives(feats)
+    of_alone = ["doc_id", "digest"]
+    reps = feats.select(*of_alone, "n", "a", "b", *(F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS))).join(alone, of_alone)
+    reps = materialize(reps.dropDuplicates(of_alone), "near-dup-sets")
+    short = reps.drop("digest", "a", "b")
+    multi = buckets_of(reps)
+    members = materialize(multi.select("doc_id").distinct(), "near-dup-members")
+    star, first_of = stars(multi)
+    discard(multi)
+    sets = feats.select(*of_alone, "set").join(alone, of_alone).select("doc_id", "set")
 
     def links(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets are linked; only sets of pairs that pass the
+        bounds are read on."""
         near = pairs.join(short.alias("p"), F.col("x") == F.col("p.doc_id")).join(short.alias("q"), F.col("y") == F.col("q.doc_id")).where(may_link(percent, "p", "q"))
-        return verified(near.select("x", "y"), sets, percent)
+        near = materialize(near.select("x", "y"), "near-dup-near")
+        named = near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+        needed = materialize(sets.join(named, "doc_id").dropDuplicates(["doc_id"]), "near-dup-needed", plain=True)
+        found = materialize(verified(near, needed, percent), "near-dup-verified")
+        discard(near, needed)
+        return found
 
-    best = F.max(F.struct(F.col("weight"), (-F.col("y")).alias("least")))
-    first_of = star.where("x <> y").groupBy("x").agg(best.alias("c")).select("x", (-F.col("c.least")).alias("y"))
     labels = components(links(first_of))
-    others = apart(star.where("x <> y").select("x", "y").join(first_of, ["x", "y"], "left_anti"), labels)
+    others = apart(star.join(first_of, ["x", "y"], "left_anti"), labels)
     labels = joined(labels, links(others))
+    across = candidates_across(reps, members, labels, percent)
+    labels = joined(labels, links(across))
 
-    # Documents of different components that share a sub-hash of the first collection.
-    named = needed.join(labels, needed.doc_id == labels.node, "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
-    rows = named.join(reps.select("doc_id", "n", "a", *bits), "doc_id").select("doc_id", "label", "n", *bits, F.explode("a").alias("key"))
-    rows = materialize(rows, "near-dup-rows")
-    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").select("key", "largest")
-    mixed = rows.join(largest, "key")
-    p, q = mixed.where("label <> largest").alias("p"), mixed.alias("q")
-    different = (F.col("q.label") == F.col("q.largest")) | (F.col("p.label") < F.col("q.label"))
-    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.label") != F.col("q.label")) & different & may_link(percent, "p", "q"))
-    across = across.select(F.col("p.doc_id").alias("x"), F.col("q.doc_id").alias("y")).distinct()
-    labels = joined(labels, verified(across, sets, percent))
-
-    of_set = reps.join(labels, reps.doc_id == labels.node, "left").select("digest", F.coalesce("label", "doc_id").alias("component"))
-    of_doc = own.select("doc_id", "digest").join(of_set, "digest").select("doc_id", "component")
+    of_set = reps.select("doc_id", "digest").join(labels, F.col("doc_id") == labels.node, "left").select("digest", F.coalesce("label", "doc_id").alias("component"))
+    of_doc = materialize(own.join(of_set, "digest").select("doc_id", "component"), "near-dup-components")
+    discard(reps, members, star, first_of, across, own)
     done = feats.select("doc_id", "n").join(of_doc, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return done.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
