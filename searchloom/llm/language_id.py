@@ -2,24 +2,29 @@
 
 Each language has an interpolated Kneser-Ney model of the characters of a word given
 the three before them.  Counts come from all learning documents: every task counts
-the 4-grams of its distinct words, Spark adds them up.  A model is a set of sorted
-arrays of packed n-grams, with one column of probabilities for each language.  It holds
-every n-gram of the learning documents, and so grows with their distinct 4-grams.
+the 4-grams of its texts, Spark adds them up.  A model is a set of sorted
+arrays of packed n-grams, with one column of probabilities for each language, and a
+table of hashes into the longest.  It holds every n-gram of the learning documents, and
+so grows with their distinct 4-grams.
+
+Characters are UTF-16 code units, so four fill 64 bits and no two n-grams are packed
+alike; a letter beyond 16 bits is two of them.
 
 A text's score under a language is the mean log probability of its characters; the
 language with the lowest cross-entropy wins.  A temperature turns the gaps between
-languages into a probability, and cross-entropy bounds by length reject texts that are
-like none of them; both are fitted on all learning documents, so none of these is
-rejected.
+languages into a probability; it is fitted on an eighth of the learning documents, left
+out of the counts that it is fitted with.  Cross-entropy bounds by length reject texts
+that are like none of the languages; they come from all learning documents, so none of
+these is rejected.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, resident, text_slices
+from .common import discard, materialize, resident, text_slices
 
 #: Temperatures that are tried.
 TEMPERATURES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
@@ -35,32 +40,87 @@ TEMPERATURES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 #: documents that are as long (ENOUGH of the longest at least), plus MARGIN nats (about
 #: one unseen character) over its number of characters.
 SLACK, ENOUGH, MARGIN = 1.15, 1_000, 10.0
-DISCOUNT, CHUNKS = 0.75, 300_000
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Packed 16-bit codes of a word's start and end.
+#: One learning document in so many is left out of the counts for the temperature.
+FOLDS = 8
+#: Bytes of text that are scored at once, and distinct 4-grams a task counts before it
+#: passes them on.
+BLOCK, PARTIAL = 1 << 19, 1_000_000
+DISCOUNT = 0.75
+LETTER = re.compile(r"[^\W\d_]")
+BEYOND, FOUR_BYTES, SPACES = re.compile("[\U00010000-\U0010ffff]"), re.compile(rb"[\xf0-\xf4]"), re.compile(rb"\s")
+#: Codes of a word's start and end.
 START, END = 1, 2
 
 
-def words_of(chunk: bytes) -> list[str]:
-    return LETTERS.findall(chunk.decode("utf-8", "ignore").lower())
-
-
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(packed 4-grams of all words, number of them in each word).
-
-    Characters beyond 16 bits are folded into 16.
-    """
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    text = "\x01\x01\x01" + "\x02\x01\x01\x01".join(words) + "\x02"
-    codes = (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") & 0xFFFF).astype(np.uint64)
-    sixteen = np.uint64(16)
-    key = codes[:-3] << np.uint64(48) | codes[1:-2] << np.uint64(32) | codes[2:-1] << sixteen | codes[3:]
-    return key[codes[3:] != START], lengths
+@cache
+def letter_units() -> np.ndarray:
+    """Which code units are letters.  Halves of a pair are; see ``units``."""
+    table = np.zeros(1 << 16, bool)
+    for i in range(1 << 16):
+        table[i] = 0xD800 <= i < 0xE000 or LETTER.match(chr(i)) is not None
+    return table
+
+
+def pieces_of(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(numbers of the texts, pieces) in blocks of about BLOCK bytes.  Longer texts are
+    cut at white space, which no n-gram goes across."""
+    of, own, size = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while True:
+            stop = len(text)
+            if stop - at > BLOCK and (cut := SPACES.search(text, at + BLOCK)):
+                stop = cut.start()
+            of.append(i)
+            own.append(text[at:stop])
+            size += stop - at
+            at = stop
+            if size >= BLOCK:
+                yield of, own
+                of, own, size = [], [], 0
+            if at >= len(text):
+                break
+    if own:
+        yield of, own
+
+
+def units(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(code units in lower case, the number of the piece that each belongs to); each
+    piece ends with a zero."""
+    raw = b"\0".join([p.replace(b"\0", b" ") if b"\0" in p else p for p in pieces]) + b"\0"
+    text = raw.decode("utf-8", "ignore").lower()
+    if FOUR_BYTES.search(raw):
+        text = BEYOND.sub(lambda m: m.group() if LETTER.match(m.group()) else " ", text)
+    found = np.frombuffer(text.encode("utf-16-le"), "<u2")
+    ends = found == 0
+    return found, np.cumsum(ends, dtype=np.int32) - ends
+
+
+def grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(packed 4-grams of all words, the number of the piece that each is from): one for
+    each letter and one for the end of each word."""
+    own, of = units(pieces)
+    letter = letter_units()[own]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # and what follows a word
+    own, of, letter = own[keep].astype(np.uint64), of[keep], letter[keep]
+    before = np.where(letter, own, np.uint64(START))
+    own = np.where(letter, own, np.uint64(END))
+    key, last = own, np.zeros(len(own), bool)
+    for i in (1, 2, 3):
+        one = np.full(len(own), START, np.uint64)
+        one[i:] = before[:-i] if i < len(own) else before[:0]
+        one[last] = START
+        last = one == START
+        key = key | one << np.uint64(16 * i)
+    return key, of
 
 
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, of = np.unique(key, return_inverse=True)
-    return own, np.bincount(of, n, len(own))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
 
 def length_class(chars: np.ndarray) -> np.ndarray:
@@ -107,86 +167,78 @@ class Model:
         out[left] += self.uniform
         return out
 
-    def score_chunks(self, chunks: list[bytes]) -> np.ndarray:
-        """A row for each chunk: summed log probability by language, then characters."""
-        split = [words_of(c) for c in chunks]
-        flat = [w for s in split for w in s]
-        out = np.zeros((len(chunks), len(self.languages) + 1), np.float32)
-        if flat:
-            key, n = grams(flat)
-            p = self.log_p(key)
-            ends = np.cumsum(n)
-            by_word = np.add.reduceat(p, ends - n, axis=0)
-            chunk_of = np.repeat(np.arange(len(chunks)), [len(s) for s in split])
-            for j in range(p.shape[1]):
-                out[:, j] = np.bincount(chunk_of, by_word[:, j], len(chunks))
-            out[:, -1] = np.bincount(chunk_of, n, len(chunks))
+
+class Scorer:
+    """A model, and for each slot of a table of hashes a 4-gram that falls into it: most
+    are found there, the others in the sorted arrays."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        bits = max(10, int(len(model.grams[0])).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.slot = np.zeros(1 << bits, np.int32)
+        self.slot[self.hashed(model.grams[0])] = np.arange(len(model.grams[0]), dtype=np.int32)
+
+    def hashed(self, key: np.ndarray) -> np.ndarray:
+        return (key * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def log_p(self, key: np.ndarray) -> np.ndarray:
+        at = self.slot[self.hashed(key)]
+        out = self.model.p[0][at]
+        missed = np.flatnonzero(self.model.grams[0][at] != key)
+        out[missed] = self.model.log_p(key[missed])
         return out
 
+    def totals(self, texts: list[bytes]) -> np.ndarray:
+        """A row for each text: summed log probability by language, then characters."""
+        out = np.zeros((len(texts), len(self.model.languages) + 1))
+        for of, pieces in pieces_of(texts):
+            key, piece = grams(pieces)
+            p = self.log_p(key)
+            sums = [np.bincount(piece, p[:, j], len(pieces)) for j in range(p.shape[1])]
+            np.add.at(out, np.array(of), np.stack([*sums, np.bincount(piece, minlength=len(pieces))], 1))
+        return out
 
-class ScoredChunks:
-    """Rows of ``Model.score_chunks`` that a worker has computed, at most CHUNKS and
-    what one slice of texts needs."""
 
-    def __init__(self, model: Model):
-        self.model, self.row, self.n = model, {}, 0
-        self.table = np.zeros((CHUNKS, len(model.languages) + 1), np.float32)
-
-    def add(self, chunks: set[bytes]) -> None:
-        missing = [c for c in chunks if c not in self.row]
-        if self.n + len(missing) > len(self.table):
-            self.row.clear()
-            self.n, missing = 0, list(chunks)
-            if len(missing) > len(self.table):
-                self.table = np.zeros((len(missing), self.table.shape[1]), np.float32)
-        if missing:
-            self.table[self.n : self.n + len(missing)] = self.model.score_chunks(missing)
-            self.row.update(zip(missing, range(self.n, self.n + len(missing)), strict=True))
-            self.n += len(missing)
-
-    def total(self, chunks: list[bytes]) -> np.ndarray:
-        rows = np.fromiter(map(self.row.__getitem__, chunks), np.int64, len(chunks))
-        return self.table[rows].sum(0, dtype=np.float64)
-
-    def totals(self, batch: pa.RecordBatch, name: str) -> np.ndarray:
-        """A row for each text of a batch: summed log probability by language, then characters."""
-        sums = []
-        for _, texts in text_slices(batch, name):
-            words = [t.split() for t in texts]
-            self.add(set().union(*words))
-            sums += map(self.total, words)
-        return np.array(sums).reshape(-1, self.table.shape[1])
+def totals(scorer: Scorer, batch: pa.RecordBatch, name: str) -> np.ndarray:
+    sums = [scorer.totals(texts) for _, texts in text_slices(batch, name)]
+    return np.concatenate([np.zeros((0, len(scorer.model.languages) + 1)), *sums])
 
 
 def count_grams(learn: DataFrame) -> DataFrame:
-    """(lang, gram, n): 4-grams of all of ``learn`` (text, lang)."""
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
-
-    def out(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, words in counts.items():
-            split: Counter = Counter()
-            for chunk, n in words.items():
-                for w in words_of(chunk):
-                    split[w] += n
-            if split:
-                key, lengths = grams(list(split))
-                key, n = summed(key, np.repeat(np.fromiter(split.values(), np.int64, len(split)), lengths))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=schema.names)
+    """(lang, gram, n, fit): 4-grams of all of ``learn`` (text, lang, left), and of
+    those that are not ``left`` out for the temperature."""
+    schema = T.StructType([T.StructField("lang", T.StringType()), *(T.StructField(k, T.LongType()) for k in ("gram", "n", "fit"))])
+
+    def out(counts: dict[tuple, list]) -> Iterator[pa.RecordBatch]:
+        for (lang, left), found in counts.items():
+            key, n = summed(*map(np.concatenate, zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key.view(np.int64)), pa.array(n), pa.array(n * (not left))], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        counts: dict[tuple, list] = {}
+        size = 0
         for batch in batches:
-            langs = batch.column(1)
+            kinds = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for start, texts in text_slices(batch, "text"):
+                by: dict[tuple, list] = {}
                 for i, text in enumerate(texts):
-                    counts.setdefault(langs[start + i].as_py(), Counter()).update(text.split())
-                if sum(map(len, counts.values())) > CHUNKS:
-                    yield from out(counts)
-                    counts = {}
+                    by.setdefault(kinds[start + i], []).append(text)
+                for kind, own in by.items():
+                    for _, pieces in pieces_of(own):
+                        found = np.unique(grams(pieces)[0], return_counts=True)
+                        counts.setdefault(kind, []).append(found)
+                        size += len(found[0])
+                if size > PARTIAL:
+                    counts = {kind: [summed(*map(np.concatenate, zip(*found, strict=True)))] for kind, found in counts.items()}
+                    size = sum(len(found[0][0]) for found in counts.values())
+                    if size > PARTIAL // 2:
+                        yield from out(counts)
+                        counts, size = {}, 0
         yield from out(counts)
 
-    partial = learn.select("text", "lang").mapInArrow(run, schema)
-    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    partial = learn.select("text", "lang", "left").mapInArrow(run, schema)
+    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"))
 
 
 def build(languages: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -232,53 +284,65 @@ def build(languages: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) ->
 
 
 def train(learn: DataFrame) -> Model:
-    """A model of all rows of ``learn`` (doc_id, text, lang; lang not null)."""
-    learn = learn.where(F.col("lang").isNotNull())
-    counts = materialize(count_grams(learn), "language-grams")
-    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    tables = []
-    for lang in languages:
-        own = counts.where(F.col("lang") == lang).select("gram", "n").toArrow()
-        key, n = own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()
-        order = np.argsort(key)
-        tables.append((key[order], n[order]))
+    """A model of all rows of ``learn`` (doc_id, text, lang; lang not null).  Null texts
+    count nothing, repeated rows count repeatedly."""
+    left = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
+    learn = learn.where(F.col("lang").isNotNull()).select("text", "lang", left.alias("left"))
+    counted = materialize(count_grams(learn), "language-grams", plain=True)
+    found = counted.toArrow()
+    discard(counted)
+    names = found["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist())
     if not languages:
         return build(["und"], [(np.array([1], np.uint64), np.array([1]))])
+    own, gram, n, fit = names.indices.to_numpy(), found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy(), found["fit"].to_numpy()
+    order = np.argsort(gram, kind="stable")
+    tables, fits = [], []
+    for lang in languages:
+        rows = order[own[order] == names.dictionary.index(lang).as_py()]
+        tables.append((gram[rows], n[rows]))
+        rows = rows[fit[rows] > 0]
+        fits.append((gram[rows], fit[rows]))
     model = build(languages, tables)
-    calibrate(model, learn)
+    calibrate(model, build(languages, fits), learn)
     return model
 
 
-def calibrate(model: Model, learn: DataFrame) -> None:
-    """Temperature by likelihood and the bounds of rejection, from all documents of
-    ``learn``: each task adds up its own by length class, Spark adds up the tasks."""
-    shared = learn.sparkSession.sparkContext.broadcast(model)
+def calibrate(model: Model, fitted: Model, learn: DataFrame) -> None:
+    """Temperature by the likelihood of the documents left out of the model ``fitted``,
+    and the bounds of rejection from all documents of ``learn``: each task adds up its
+    own by length class, Spark adds up the tasks."""
+    shared = learn.sparkSession.sparkContext.broadcast((model, fitted))
     key = uuid.uuid4().hex
     fits = [f"fit_{i}" for i in range(len(TEMPERATURES))]
     schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), *(T.StructField(k, T.DoubleType()) for k in ("most", *fits))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        index = {lang: j for j, lang in enumerate(own.languages)}
-        cache = resident(("language", key), lambda: ScoredChunks(own))
+        own, other = resident(("language", key), lambda: tuple(map(Scorer, shared.value)))
+        index = {lang: j for j, lang in enumerate(own.model.languages)}
         n, most, fit = np.zeros(64, np.int64), np.zeros(64), np.zeros((len(TEMPERATURES), 64))
         for batch in batches:
-            total = cache.totals(batch, "text")
+            total = totals(own, batch, "text")
+            total = total[total[:, -1] > 0]
+            if len(total):
+                of = length_class(total[:, -1])
+                n += np.bincount(of, minlength=64)
+                np.maximum.at(most, of, (-total[:, :-1] / total[:, -1:]).min(1))
+            out = batch.filter(batch.column(2))
+            total = totals(other, out, "text")
             some = total[:, -1] > 0
-            right = np.array([index.get(lang, 0) for lang in batch.column(1).to_pylist()], np.int64)[some]
+            right = np.array([index[lang] for lang in out.column(1).to_pylist()], np.int64)[some]
             total = total[some]
-            if not len(total):
-                continue
-            rate, of = -total[:, :-1] / total[:, -1:], length_class(total[:, -1])
-            n += np.bincount(of, minlength=64)
-            np.maximum.at(most, of, rate.min(1))
-            for i, t in enumerate(TEMPERATURES):
-                z = (rate.min(1, keepdims=True) - rate) / t
-                fit[i] += np.bincount(of, np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), right], 64)
+            if len(total):
+                rate, of = -total[:, :-1] / total[:, -1:], length_class(total[:, -1])
+                for i, t in enumerate(TEMPERATURES):
+                    z = (rate.min(1, keepdims=True) - rate) / t
+                    fit[i] += np.bincount(of, np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), right], 64)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, n[at], most[at], *fit[:, at])], names=schema.names)
 
-    sums = learn.select("text", "lang").mapInArrow(run, schema).groupBy("class").agg(F.sum("n").alias("n"), F.max("most").alias("most"), *(F.sum(k).alias(k) for k in fits)).collect()
+    sums = learn.mapInArrow(run, schema).groupBy("class").agg(F.sum("n").alias("n"), F.max("most").alias("most"), *(F.sum(k).alias(k) for k in fits)).collect()
+    shared.unpersist()
     if not sums:
         return
     model.temperature = min((sum(r[k] for r in sums), t) for k, t in zip(fits, TEMPERATURES, strict=True))[1]
@@ -295,8 +359,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``lang_pred``, ``score`` (0 to 1), ``cross_entropy`` and ``rejected``.
 
     A null text, or one without letters, is ``und`` with score 0 and rejected.  So is,
-    but for its language, a text above the model's cross-entropy bound for its length.  Columns of
-    these names are replaced.
+    but for its language, a text above the model's cross-entropy bound for its length.
+    Of equal languages the first by name is taken; repeated rows are predicted alike.
+    Columns of these names are replaced, others kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made = {"lang_pred": T.StringType(), "score": T.DoubleType(), "cross_entropy": T.DoubleType(), "rejected": T.BooleanType()}
@@ -306,10 +371,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        cache = resident(("language", key), lambda: ScoredChunks(own))
+        scorer = resident(("language", key), lambda: Scorer(shared.value))
+        own = scorer.model
         for batch in batches:
-            total = cache.totals(batch, text)
+            total = totals(scorer, batch, text)
             chars = total[:, -1]
             rate = -total[:, :-1] / np.maximum(chars, 1)[:, None]
             best = rate.argmin(1)

@@ -54,24 +54,78 @@ def test_all_grams_of_a_large_script_count(spark):
     words = ["".join(map(chr, w)) for w in rng.integers(0x4E00, 0x9FA5, (120_000, 4))]
     rows = [(i, " ".join(words[i::300]), "zh") for i in range(300)] + [(1000 + i, "the of and that", "en") for i in range(3)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    key, lengths = language_id.grams([*words, "the", "of", "and", "that"])
+    counted = lambda words, times: language_id.summed(*(lambda k: (k, np.full(len(k), times)))(language_id.grams([w.encode() for w in words])[0]))
+    key = counted([*words, "the", "of", "and", "that"], 1)[0]
     assert len(set(key.tolist())) > 400_000
     assert set(key.tolist()) <= set(model.grams[0].tolist())
-    own, n = language_id.summed(*(lambda k: (k, np.ones(len(k))))(language_id.grams(words)[0]))
-    english = language_id.summed(*(lambda k: (k, np.full(len(k), 3.0)))(language_id.grams(["the", "of", "and", "that"])[0]))
-    exact = language_id.build(["en", "zh"], [english, (own, n)])
+    exact = language_id.build(["en", "zh"], [counted(["the", "of", "and", "that"], 3), counted(words, 1)])
     assert np.allclose(model.log_p(key), exact.log_p(key), atol=1e-5)
 
 
+def plain_kneser_ney(words):
+    """log p(c | three characters before) of one language by its definition."""
+    from collections import Counter
+
+    padded = [["<"] * 3 + list(w) + [">"] for w in words]
+    counts = [Counter(tuple(w[i - 3 : i + 1]) for w in padded for i in range(3, len(w)))]
+    for _ in range(3):
+        counts.append(Counter(g[1:] for g in counts[-1]))
+
+    def p(gram):
+        if not gram:
+            return 1 / max(2, len(counts[3]) + 1)
+        own = counts[4 - len(gram)]
+        same = {g: n for g, n in own.items() if g[:-1] == gram[:-1]}
+        if not same:
+            return p(gram[1:])
+        total = sum(same.values())
+        return max(same.get(gram, 0) - 0.75, 0) / total + 0.75 * len(same) / total * p(gram[1:])
+
+    return lambda word: [math.log(p(tuple((["<"] * 3 + list(word) + [">"])[i : i + 4]))) for i in range(len(word) + 1)]
+
+
+def test_kneser_ney_equals_its_definition():
+    words = ["abba", "cab", "bac", "aab", "abc", "é", "bé", "\U00010330\U00010331"]
+    units = lambda w: [chr(u) for u in np.frombuffer(w.encode("utf-16-le"), "<u2")]
+    key = language_id.grams([" ".join(words).encode()])[0]
+    model = language_id.build(["x"], [language_id.summed(key, np.ones(len(key)))])
+    plain = plain_kneser_ney([units(w) for w in words])
+    scorer = language_id.Scorer(model)
+    for text in ("abba", "ABBA cab", "zz é-b\u00e9", "bacab\U00010330", "aa1b\u4e2d"):
+        split = [units(w) for w in language_id.LETTER.sub(lambda m: m.group(), text.lower()).replace("-", " ").replace("1", " ").split()]
+        want = sum(sum(plain(w)) for w in split)
+        got = scorer.totals([text.encode()])[0]
+        assert got[0] == pytest.approx(want, rel=1e-4) and got[1] == sum(len(w) + 1 for w in split), text
+
+
+def test_long_texts_are_scored_in_blocks(monkeypatch):
+    text = ("abba cab bac aab\n" * 300).encode()
+    key = language_id.grams([text])[0]
+    scorer = language_id.Scorer(language_id.build(["x"], [language_id.summed(key, np.ones(len(key)))]))
+    texts = [text, b"", b"12 \xf0\x9f\x99\x82", text + b"\0cab", b"x" * 3000]
+    whole = scorer.totals(texts)
+    monkeypatch.setattr(language_id, "BLOCK", 100)
+    assert np.allclose(scorer.totals(texts), whole) and (whole[1:3] == 0).all()
+
+
 def test_kneser_ney_is_a_distribution():
-    keys, n = language_id.summed(*(lambda k, l: (k, np.ones(len(k))))(*language_id.grams(["abba", "cab", "bac", "aab"])))
-    model = language_id.build(["x"], [(keys, n)])
+    key = language_id.grams([b"abba cab bac aab"])[0]
+    model = language_id.build(["x"], [language_id.summed(key, np.ones(len(key)))])
     alphabet = [2, *map(ord, "abcz")]  # z stands for all unseen characters
     for ctx in ([1, 1, 1], [1, 1, ord("a")], [ord("a"), ord("b"), ord("b")], [ord("c"), ord("c"), ord("c")]):
         key = np.array([(ctx[0] << 48) | (ctx[1] << 32) | (ctx[2] << 16) | c for c in alphabet], np.uint64)
         assert np.exp(model.log_p(key)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_ties_repeats_and_clashing_names(spark):
+    rows = [(1, "abc abc", "b", 5), (1, "abc abc", "b", 5), (2, "abc abc", "a", 6), (3, "zzz", None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int").withColumnRenamed("lang", "lang")
+    got = language_id.identify(df, language_id.train(df)).collect()
+    assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
+    even = spark.createDataFrame([(1, "abc", "b"), (2, "abc", "a")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.identify(even, language_id.train(even)).collect()} == {"a"}
+
+
 def test_language_model_counts_and_gain(spark):
     docs = documents(spark, 300, 4).drop("lang").unionByName(spark.createDataFrame([(1000, None), (1001, ""), (1002, "zzqx Zzqx neverseen")], "doc_id long, text string"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
