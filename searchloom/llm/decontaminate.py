@@ -8,6 +8,7 @@ a look.  There, Myers' bit-parallel algorithm gives the edit distance.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import materialize, resident, text_slices
 
 #: Edits allowed for each character of an item; characters of items that are sent to
 #: the workers at once (larger benchmarks are taken block by block).
@@ -119,30 +120,43 @@ class Matcher:
         return best
 
 
+def blocks_of(benchmark: DataFrame, errors: float) -> Iterator:
+    """Broadcast (key, items, errors) for each BLOCK_CHARS characters of items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-total // BLOCK_CHARS) or 1
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
+        rows = [(i.as_py(), normalized(t.as_py().encode())) for i, t in zip(own["item_id"], own["text"], strict=True)]
+        yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows, errors))
+
+
+def opened(shared) -> Matcher:
+    """One automaton for each worker process, however many tasks it runs."""
+    key, items, errors = shared.value
+    return resident(("matcher", key), lambda: Matcher(items, errors))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
     """(doc_id, item_id, distance, start, stop, item_chars): for each document and
     test item within the error budget, the best occurrence, in positions of the
     normalised text.  Documents without one give no row.
 
     Null or empty texts and items (also of punctuation alone) match nothing; repeated
-    rows give repeated rows; an item repeated under several ids matches under each.
+    rows give repeated rows; an item repeated under several ids matches under each; of
+    equally distant occurrences the first is given.  Texts are searched whole.  Other
+    columns are not looked at.  A benchmark of several blocks takes a pass for each.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // BLOCK_CHARS) or 1
     found = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
-        rows = [(i.as_py(), normalized(t.as_py().encode())) for i, t in zip(own["item_id"], own["text"], strict=True)]
-        part = search(docs, spark.sparkContext.broadcast((rows, errors)))
+    for shared in blocks_of(benchmark, errors):
+        part = search(docs, shared)
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def search(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*shared.value)
+        matcher = opened(shared)
         for batch in batches:
             rows: list[tuple] = []
             ids = batch.column(0)
@@ -160,6 +174,22 @@ def search(docs: DataFrame, shared) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no match; rows without one are kept."""
-    dirty = matches(docs, benchmark, errors).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("dirty_id")).distinct()
-    return docs.join(dirty, docs.doc_id == dirty.dirty_id, "left_anti")
+    """The rows of ``docs`` whose text holds no item within the error budget.
+
+    Each row is judged by its own text, also where a doc_id repeats, so no row is moved.
+    Rows with null or empty texts stay; all columns do.
+    """
+
+    def cleaned(docs: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = opened(shared)
+            for batch in batches:
+                clean = [not matcher.find(normalized(t)) for _, texts in text_slices(batch, "text") for t in texts]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for i, shared in enumerate(blocks_of(benchmark, errors)):
+        # One block at a time, so that a worker holds one automaton.
+        docs = cleaned(materialize(docs, "decontamination") if i else docs, shared)
+    return docs
