@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, discard, materialize, resident, text_slices
+from .common import discard, materialize, text_slices
 
 #: Chance that a pair just at the threshold shares no table.
 MISSED = 5e-5
 #: Bins of a sketch, of four bits each, and the 64-bit numbers that hold it.
 BINS, LONGS = 512, 32
-#: Words whose hashes a worker remembers, and words handled at once.
-WORDS, RUN = 200_000, 150_000
+#: Words handled at once.
+RUN = 150_000
 
 FEATURES = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
-    + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("a", "b", "sketch", "set")]
+    + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("a", "b", "sketch")]
 )
 
 
@@ -58,14 +59,6 @@ def sketch_bound(percent: int) -> int:
     return math.ceil(BINS * (1 - j) + 4.5 * math.sqrt(BINS * j * (1 - j)))
 
 
-def word_hashes() -> BoundedCache:
-    return resident(("shingles",), lambda: BoundedCache(WORDS))
-
-
-def hash_words(words: list[bytes]) -> list[int]:
-    return list(map(xxhash.xxh3_64_intdigest, words))
-
-
 def runs_of(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
     """The words of the texts, ASCII lower case, RUN words or one text at once."""
     run, size = [], 0
@@ -83,10 +76,8 @@ def shingle_sets(docs: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndarra
     """(sets laid end to end, where each ends): of each document the sorted distinct
     64-bit hashes of its k-word shingles; of the whole sequence as one shingle if there
     are fewer words; none without words."""
-    cache = word_hashes()
-    cache.fill(set().union(*docs), hash_words)
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-    h = np.fromiter((cache[w] for d in docs for w in d), np.uint64, int(sizes.sum()))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(docs)), np.uint64, int(sizes.sum()))
     n = max(len(h) - k + 1, 0)
     out = np.zeros(n, np.uint64)
     for i in range(k):
@@ -148,29 +139,47 @@ def lists(rows: np.ndarray, full: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).ravel()), mask=pa.array(~full))
 
 
+def sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]]:
+    """(doc_ids, sets laid end to end, where each ends, digests) of a batch (doc_id,
+    text), in runs of bounded size."""
+    ids = batch.column(0).cast(pa.int64())
+    for start, texts in text_slices(batch, "text"):
+        for own in runs_of(texts):
+            flat, ends = shingle_sets(own, k)
+            digest = [xxhash.xxh3_128_digest(flat[i:j].tobytes()) if j > i else b"" for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            yield ids.slice(start, len(own)), flat, ends, pa.array(digest, pa.binary())
+            start += len(own)
+
+
 def features(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """Per document: set size, a 128-bit digest of the set, sub-hashes, sketch, set."""
+    """Per document: set size, a 128-bit digest of the set, sub-hashes and sketch."""
     xor, odd = seeds(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
-            for start, texts in text_slices(batch, "text"):
-                for own in runs_of(texts):
-                    flat, ends = shingle_sets(own, k)
-                    starts = np.append(0, ends[:-1])
-                    full = ends > starts
-                    some = starts[full]
-                    a, b = combined(minhashes(flat, some, xor, odd), m)
-                    digest = [xxhash.xxh3_128_digest(flat[i:j].tobytes()) if j > i else b"" for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    columns = [lists(x, full) for x in (a, b, bin_sketches(flat, some))]
-                    sets = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(start, len(own)), pa.array(ends - starts), pa.array(digest, pa.binary()), *columns, sets], names=FEATURES.names)
-                    start += len(own)
+            for ids, flat, ends, digest in sets_of(batch, k):
+                starts = np.append(0, ends[:-1])
+                full = ends > starts
+                some = starts[full]
+                a, b = combined(minhashes(flat, some, xor, odd), m)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(ends - starts), digest, *(lists(x, full) for x in (a, b, bin_sketches(flat, some)))], names=FEATURES.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
 
 
+def full_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, digest, set) of all rows."""
+    schema = T.StructType([FEATURES["doc_id"], FEATURES["digest"], T.StructField("set", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, flat, ends, digest in sets_of(batch, k):
+                sets = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, digest, sets], names=schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of ``edges`` (x, y) reaches.
 
@@ -317,7 +326,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     the set whose digest is smallest; each keeps its own n_shingles.  Other columns of
     ``docs`` are not looked at.
     """
-    feats = materialize(features(docs, k, tables_for(percent)), "near-dup-features", plain=True)
+    feats = materialize(features(docs, k, tables_for(percent)), "near-dup-features")
     own, alone = representatives(feats)
     of_alone = ["doc_id", "digest"]
     reps = feats.select(*of_alone, "n", "a", "b", *(F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS))).join(alone, of_alone)
@@ -327,24 +336,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = materialize(multi.select("doc_id").distinct(), "near-dup-members")
     star, first_of = stars(multi)
     discard(multi)
-    sets = feats.select(*of_alone, "set").join(alone, of_alone).select("doc_id", "set")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose sets are linked; only sets of pairs that pass the
-        bounds are read on."""
-        near = pairs.join(short.alias("p"), F.col("x") == F.col("p.doc_id")).join(short.alias("q"), F.col("y") == F.col("q.doc_id")).where(may_link(percent, "p", "q"))
-        near = materialize(near.select("x", "y"), "near-dup-near")
-        named = near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-        needed = materialize(sets.join(named, "doc_id").dropDuplicates(["doc_id"]), "near-dup-needed", plain=True)
-        found = materialize(verified(near, needed, percent), "near-dup-verified")
-        discard(near, needed)
-        return found
-
-    labels = components(links(first_of))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that pass the bounds."""
+        both = pairs.join(short.alias("p"), F.col("x") == F.col("p.doc_id")).join(short.alias("q"), F.col("y") == F.col("q.doc_id"))
+        return materialize(both.where(may_link(percent, "p", "q")).select("x", "y"), "near-dup-near")
+
+    def needed_sets(pairs: DataFrame) -> DataFrame:
+        """The sets of the documents in pairs, made again from their texts: all sets
+        together are larger than the texts."""
+        named = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct().join(alone, "doc_id").select("doc_id", F.col("digest").alias("own"))
+        named = materialize(named, "near-dup-named")
+        texts = docs.select("doc_id", "text").join(named.select("doc_id"), "doc_id")
+        found = full_sets(texts, k).join(named, "doc_id").where("digest = own").dropDuplicates(["doc_id"])
+        return materialize(found.select("doc_id", "set"), "near-dup-full", plain=True)
+
+    star = near(star)
+    sets = needed_sets(star)
+    labels = components(verified(star.join(first_of, ["x", "y"], "left_semi"), sets, percent))
     others = apart(star.join(first_of, ["x", "y"], "left_anti"), labels)
-    labels = joined(labels, links(others))
+    labels = joined(labels, verified(others, sets, percent))
+    discard(sets)
     across = candidates_across(reps, members, labels, percent)
-    labels = joined(labels, links(across))
+    sets = needed_sets(across)
+    labels = joined(labels, verified(across, sets, percent))
+    discard(sets)
 
     of_set = reps.select("doc_id", "digest").join(labels, F.col("doc_id") == labels.node, "left").select("digest", F.coalesce("label", "doc_id").alias("component"))
     of_doc = materialize(own.join(of_set, "digest").select("doc_id", "component"), "near-dup-components")
