@@ -1,9 +1,13 @@
 """License scans, in DataFrame functions only (operator 4).
 
-Header lines and licence files are compared with templates by the cosine of sparse
-TF-IDF vectors; document frequencies count all documents.  What a document does not say
-itself it takes from the licence file of its nearest ancestor directory, by joins on
-paths.
+Headers (lines, and paragraphs for those that are wrapped) and licence files are
+compared with templates by the cosine of sparse TF-IDF vectors; document frequencies
+count all documents.  What a document does not say itself it takes from the licence file
+of its nearest ancestor directory, by joins on paths.
+
+The texts are read twice: for the frequencies of the templates' terms, and for the few
+units that hold one of the terms without which no cosine reaches the threshold.  From
+there on only units, folders and ids are moved.
 """
 
 from __future__ import annotations
@@ -13,28 +17,42 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Cosine from which a line or file counts as a template's.
 THRESHOLD = 0.6
 #: Names of licence files.
 FILES = r"(?i)^(licen[cs]e|copying|unlicense)([.].*)?$"
-#: Texts that state each licence.
+#: What stands between paragraphs.
+BLANK = "\n[ \t\r]*\n"
+#: Texts that state each licence, in one line, as notices at the head of a
+#: file, or as the main paragraphs of the licence itself.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("BSD-2-Clause", "Use of this source code is governed by a BSD 2-Clause license"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD 3-Clause license"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 
@@ -107,48 +125,66 @@ def best_of(units: DataFrame, vectors, idf: dict[str, float], unseen: float, thr
     return top.select("unit", F.col("m.k.license").alias("license"), F.col("m.similarity").alias("similarity"))
 
 
-def scan(docs: DataFrame, path: str = "path", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, and a path): doc_id, path, license,
-    similarity, origin (``file``, ``header``, ``inherited`` or null), inherited_from.
-
-    A document's own licence is that of its line, or for licence files also whole text,
-    of highest cosine; of equals the last by name.  Without one it is inherited from
-    the licence file nearest above it.  Null texts have no licence of their own, null
-    paths no ancestors.  Rows of one doc_id and path count as one.
-    """
-    docs = docs.select("doc_id", F.col(path).alias("path"), "text")
+def own_licenses(docs: DataFrame, templates, threshold: float) -> DataFrame:
+    """(doc_id, path, license, similarity, is_file) of the documents that state one."""
     idf, unseen = inverse_frequencies(docs, templates)
     vectors = weighted(templates, idf)
     has_anchor = r"(?i)(?<![a-z0-9])(" + "|".join(anchors(vectors, threshold)) + r")(?![a-z0-9])"
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    is_file = F.coalesce(name.rlike(FILES), F.lit(False))
-    told = docs.where(F.col("text").rlike(has_anchor)).select("doc_id", "path", is_file.alias("is_file"), F.split("text", "\n").alias("lines"), "text")
-    every = F.when(F.col("is_file"), F.array_append("lines", F.col("text"))).otherwise(F.col("lines"))
+    is_file = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILES), F.lit(False))
+    told = docs.where(F.col("text").rlike(has_anchor)).select("doc_id", "path", is_file.alias("is_file"), F.concat(F.split("text", "\n"), F.split("text", BLANK)).alias("parts"), "text")
+    every = F.when(F.col("is_file"), F.array_append("parts", F.col("text"))).otherwise(F.col("parts"))
     units = told.select("doc_id", "path", "is_file", F.explode(F.array_distinct(every)).alias("unit")).where(F.col("unit").rlike(has_anchor))
+    units = materialize(units, "license-units")
     best = best_of(units.select("unit").distinct(), vectors, idf, unseen, threshold)
     own = units.join(best, "unit").groupBy("doc_id", "path").agg(F.max(F.struct("similarity", F.struct("license").alias("k"))).alias("m"), F.max("is_file").alias("is_file"))
-    own = own.select("doc_id", "path", F.col("m.k.license").alias("license"), F.col("m.similarity").alias("similarity"), "is_file")
-
-    folder = F.regexp_replace("path", r"/?[^/]*$", "")
-    of_folder = own.where("is_file").groupBy(folder.alias("folder")).agg(F.max(F.struct("similarity", "path", "license")).alias("m"))
-    parts = F.split("path", "/")
-    above = F.expr("transform(sequence(0, size(parts) - 1), i -> named_struct('depth', i, 'folder', array_join(slice(parts, 1, i), '/')))")
-    rows = docs.select("doc_id", "path").distinct()
-    steps = rows.where("path IS NOT NULL").withColumn("parts", parts).select("doc_id", "path", F.explode(above).alias("s")).select("doc_id", "path", "s.depth", "s.folder")
-    nearest = steps.join(of_folder, "folder").groupBy("doc_id", "path").agg(F.max(F.struct("depth", "m")).alias("n"))
-    nearest = nearest.select("doc_id", "path", F.col("n.m").alias("n"))
-
-    both = lambda a, b: (a.doc_id.eqNullSafe(b.doc_id)) & (a.path.eqNullSafe(b.path))
-    done = rows.join(own, both(rows, own), "left").select(rows.doc_id, rows.path, "license", "similarity", "is_file")
-    done = done.join(nearest, both(done, nearest), "left").select(done.doc_id, done.path, "license", "similarity", "is_file", "n")
+    return materialize(own.select("doc_id", "path", F.col("m.k.license").alias("license"), F.col("m.similarity").alias("similarity"), "is_file"), "license-own")
+
+
+def folder_of(path: str) -> Column:
+    return F.regexp_replace(path, r"/?[^/]*$", "")
+
+
+def nearest_licenses(folders: DataFrame, own: DataFrame) -> DataFrame:
+    """(folder, license, similarity, path) of the distinct ``folders`` with a licence
+    file in them or in an ancestor: of the nearest such folder the file of highest
+    similarity, of equals the last by path."""
+    best = own.where("is_file").groupBy(folder_of("path").alias("above")).agg(F.max(F.struct("similarity", "path", "license")).alias("m"))
+    best = materialize(best.select("above", "m.license", "m.similarity", "m.path"), "license-folders")
+    prefix = lambda depth: f"array_join(slice(split(folder, '/'), 1, {depth}), '/')"
+    # The folder '' has no parts; of any other all prefixes, itself included.
+    depth = F.sequence(F.lit(0), F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/"))))
+    steps = folders.select("folder", F.explode(depth).alias("depth")).withColumn("above", F.expr(prefix("depth")))
+    # Only numbers are aggregated; the folder found is a prefix again.
+    found = steps.join(best.select("above"), "above").groupBy("folder").agg(F.max("depth").alias("depth"))
+    return materialize(found.withColumn("above", F.expr(prefix("depth"))).join(best, "above").select("folder", "license", "similarity", "path"), "license-nearest")
+
+
+def scan(docs: DataFrame, path: str = "path", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, and a path): doc_id, path, license,
+    similarity, origin (``file``, ``header``, ``inherited`` or null), inherited_from.
+
+    A document's own licence is that of its line or paragraph, or for licence files also
+    whole text, of highest cosine; of equals the last by name.  Without one it is
+    inherited from the licence file nearest above it.  Null and empty texts have no
+    licence of their own, null paths no ancestors.  Rows of one doc_id and path are one
+    document, whose licence each of them gets.  Other columns are not looked at.
+    """
+    docs = docs.select("doc_id", F.col(path).alias("path"), "text")
+    own = own_licenses(docs, templates, threshold)
+    rows = docs.select("doc_id", "path", folder_of("path").alias("folder"))
+    nearest = nearest_licenses(rows.where("folder IS NOT NULL").select("folder").distinct(), own)
+    mine = own.select(F.col("doc_id").alias("own_id"), F.col("path").alias("own_path"), "license", "similarity", "is_file")
+    done = rows.join(mine, rows.doc_id.eqNullSafe(mine.own_id) & rows.path.eqNullSafe(mine.own_path), "left")
+    above = nearest.select(F.col("folder").alias("of"), F.col("license").alias("near_license"), F.col("similarity").alias("near_similarity"), F.col("path").alias("near_path"))
+    done = done.join(above, done.folder == above.of, "left")
     has = F.col("license").isNotNull()
     return done.select(
         "doc_id",
         "path",
-        F.coalesce("license", "n.license").alias("license"),
-        F.when(has, F.col("similarity")).otherwise(F.col("n.similarity")).alias("similarity"),
-        F.when(has & F.col("is_file"), "file").when(has, "header").when(F.col("n").isNotNull(), "inherited").alias("origin"),
-        F.when(~has, F.col("n.path")).alias("inherited_from"),
+        F.coalesce("license", "near_license").alias("license"),
+        F.when(has, F.col("similarity")).otherwise(F.col("near_similarity")).alias("similarity"),
+        F.when(has & F.col("is_file"), "file").when(has, "header").when(F.col("near_license").isNotNull(), "inherited").alias("origin"),
+        F.when(~has, F.col("near_path")).alias("inherited_from"),
     )
 
 
@@ -161,14 +197,14 @@ def scan_sql() -> str:
     values = ", ".join(f"({i}, '{name}', '{term}', {n})" for i, (name, text) in enumerate(TEMPLATES) for term, n in template_terms(text).items())
     return rf"""
 WITH t(template, license, term, n) AS (VALUES {values}),
-d AS (SELECT doc_id, {PATH_SQL} AS path, text FROM documents),
-dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM d),
+d AS (SELECT row_number() OVER () AS r, doc_id, {PATH_SQL} AS path, text FROM documents),
+dt AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM d),
 total AS (SELECT count(*) AS n FROM d),
-idf AS (SELECT v.term, ln((total.n + 1) / (count(dt.doc_id) + 1)) + 1 AS idf
+idf AS (SELECT v.term, ln((total.n + 1) / (count(dt.r) + 1)) + 1 AS idf
         FROM (SELECT DISTINCT term FROM t) v CROSS JOIN total LEFT JOIN dt ON dt.term = v.term GROUP BY v.term, total.n),
 tw AS (SELECT template, license, t.term, t.n * idf AS w, sqrt(sum(t.n * idf * t.n * idf) OVER (PARTITION BY template)) AS norm FROM t JOIN idf ON t.term = idf.term),
 f AS (SELECT doc_id, path, text, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '(?i)^(licen[cs]e|copying|unlicense)([.].*)?$') AS is_file FROM d),
-u AS (SELECT doc_id, path, is_file, unnest(string_split(text, chr(10))) AS unit FROM f UNION SELECT doc_id, path, is_file, text FROM f WHERE is_file),
+u AS (SELECT doc_id, path, is_file, unnest(string_split(text, chr(10))) AS unit FROM f UNION SELECT doc_id, path, is_file, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM f UNION SELECT doc_id, path, is_file, text FROM f WHERE is_file),
 ut AS (SELECT unit, term, count(*) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT unit FROM u)) GROUP BY ALL),
 uw AS (SELECT unit, ut.term, tf * coalesce(idf, (SELECT ln(n + 1) + 1 FROM total)) AS w FROM ut LEFT JOIN idf ON ut.term = idf.term),
 un AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY unit),
@@ -178,13 +214,13 @@ own AS (SELECT doc_id, path, is_file, license, similarity FROM u JOIN c ON u.uni
         QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY similarity DESC, license DESC) = 1),
 folder AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, path, license, similarity FROM own WHERE is_file
            QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY similarity DESC, path DESC) = 1),
-step AS (SELECT doc_id, path, i AS depth, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') AS folder
-         FROM d, unnest(range(0, len(string_split(path, '/')))) AS x(i)),
-near AS (SELECT step.doc_id, step.path, folder.path AS from_path, license, similarity FROM step JOIN folder ON step.folder = folder.folder
-         QUALIFY row_number() OVER (PARTITION BY step.doc_id, step.path ORDER BY depth DESC) = 1)
+step AS (SELECT p.path, i AS depth, array_to_string(list_slice(string_split(p.path, '/'), 1, i), '/') AS folder
+         FROM (SELECT DISTINCT path FROM d WHERE path IS NOT NULL) p, unnest(range(0, len(string_split(p.path, '/')))) AS x(i)),
+near AS (SELECT step.path, folder.path AS from_path, license, similarity FROM step JOIN folder ON step.folder = folder.folder
+         QUALIFY row_number() OVER (PARTITION BY step.path ORDER BY depth DESC) = 1)
 SELECT d.doc_id, d.path, coalesce(own.license, near.license) AS license,
        CASE WHEN own.license IS NOT NULL THEN own.similarity ELSE near.similarity END AS similarity,
        CASE WHEN own.license IS NOT NULL AND own.is_file THEN 'file' WHEN own.license IS NOT NULL THEN 'header' WHEN near.license IS NOT NULL THEN 'inherited' END AS origin,
        CASE WHEN own.license IS NULL THEN near.from_path END AS inherited_from
-FROM d LEFT JOIN own ON d.doc_id = own.doc_id LEFT JOIN near ON d.doc_id = near.doc_id
+FROM d LEFT JOIN own ON d.doc_id IS NOT DISTINCT FROM own.doc_id AND d.path IS NOT DISTINCT FROM own.path LEFT JOIN near ON d.path = near.path
 """

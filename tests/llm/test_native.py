@@ -97,3 +97,26 @@ def test_licenses_and_inheritance(spark):
         8: (None, None, None),
     }
     assert license_scan.scan(df.limit(0)).isEmpty()
+
+
+def test_licenses_of_wrapped_headers_repeats_ties_and_long_texts(spark):
+    notice = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and\nassociated documentation files"
+    rows = [
+        (1, "p/a.txt", f"prose before\n\n{notice}\n \nprose after"),
+        (2, "p/b.txt", "Released under the MIT License"),
+        (2, "p/b.txt", "Licensed under the Apache License, Version 2.0"),
+        (2, "p/b.txt", "Licensed under the Apache License, Version 2.0"),
+        (3, "q/LICENSE", "word " * 30_000 + "\nLicensed under CC BY 4.0"),
+        (4, "q/r/s/t.txt", "no mark"),
+        (5, "q/LICENSE.txt", "Licensed under CC BY 4.0"),
+        (None, "q/u.txt", "Released under the MIT License"),
+        (7, "", None),
+        (8, "/v.txt", ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = sorted(((r["doc_id"] or 0, r["license"], r["origin"], r["inherited_from"]) for r in license_scan.scan(df).collect()), key=str)
+    # Both licences of document 2 have similarity 1: the last by name; so have both files of folder q.
+    assert got == sorted(
+        [(0, "MIT", "header", None), (1, "MIT", "header", None), *[(2, "MIT", "header", None)] * 3, (3, "CC-BY-4.0", "file", None), (4, "CC-BY-4.0", "inherited", "q/LICENSE.txt"), (5, "CC-BY-4.0", "file", None), (7, None, None, None), (8, None, None, None)],
+        key=str,
+    )
