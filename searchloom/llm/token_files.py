@@ -3,7 +3,7 @@
 Documents are dealt by ranges of ``doc_id``, so the order of the partitions is the
 order of the ids.  Each task encodes its documents, cuts the stream of ids into
 shards and compresses each shard by Re-Pair: frequent pairs of neighbouring symbols
-are replaced by nonterminals, round by round.  A shard is one row of a Parquet
+are replaced by nonterminals, until no pair is frequent.  A shard is one row of a Parquet
 table; Spark's writer commits it, so a lost executor costs a rerun task and no more.
 
 File format, one row per shard: ``part``, ``shard`` (order inside the part),
@@ -11,7 +11,8 @@ File format, one row per shard: ``part``, ``shard`` (order inside the part),
 zstandard over little-endian numbers: ``rules`` (uint32 pairs; rule k makes symbol
 ``terminals + k``), ``lengths`` (uint32, the ids that each rule expands to),
 ``symbols`` (the compressed sequence: all low 16-bit halves, then all high ones),
-``doc_ids`` (int64) and ``doc_ends`` (uint32: where each document ends in the shard).
+``doc_ids`` (int64), ``doc_known`` (uint8: 0 for documents without an id) and
+``doc_ends`` (uint32: where each document ends in the shard).
 """
 
 from __future__ import annotations
@@ -23,41 +24,82 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, resident, scratch, text_slices
+from .common import resident, scratch, text_slices
 
-#: Ids of a shard (a document is never split, so one may have more), rounds of
-#: replacement, the fewest occurrences of a pair, and bins looked at in a round.
-SHARD_IDS, ROUNDS, LEAST, BINS, BIN_BITS = 1 << 20, 5, 16, 384, 18
-CHUNKS = 400_000
+#: Ids of a shard (a document is never split, so one may have more), the fewest
+#: occurrences of a pair that is replaced, and bits of the bins that pairs are counted in.
+SHARD_IDS, LEAST, BIN_BITS = 1 << 20, 16, 18
+#: Distinct pieces whose ids a worker remembers.
+PIECES = 600_000
 
 SHARDS = T.StructType(
     [T.StructField(k, T.LongType()) for k in ("part", "shard", "first_id", "n_ids")]
-    + [T.StructField(k, T.BinaryType()) for k in ("rules", "lengths", "symbols", "doc_ids", "doc_ends")]
+    + [T.StructField(k, T.BinaryType()) for k in ("rules", "lengths", "symbols", "doc_ids", "doc_known", "doc_ends")]
 )
 
 
+def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Pieces of ``flat`` one after another, given where each begins and its size."""
+    ends = np.cumsum(size)
+    if not len(size):
+        return flat[:0]
+    return flat[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
+
+
+class PieceIds:
+    """The ids of distinct pieces, laid end to end; at most ``limit`` pieces, and what
+    one slice of texts needs.  The first stands for a line end."""
+
+    def __init__(self, limit: int, line: int):
+        self.limit, self.line = limit, line
+        self.clear()
+
+    def clear(self) -> None:
+        self.index = {"\n": 0}
+        self.flat, self.ends = [np.array([self.line], "<u4")], [np.array([1])]
+
+    def add(self, pieces: set[str], encode) -> None:
+        missing = [p for p in pieces if p not in self.index]
+        if len(self.index) + len(missing) > self.limit:
+            self.clear()
+            missing = [p for p in pieces if p != "\n"]
+        if missing:
+            missing, flat, size = encode(missing)
+            self.index.update(zip(missing, range(len(self.index), len(self.index) + len(missing)), strict=True))
+            self.flat = [np.concatenate([*self.flat, flat])]
+            self.ends = [np.concatenate([*self.ends, self.ends[-1][-1] + np.cumsum(size)])]
+
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces laid end to end, the number of each piece)."""
+        rows = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        ends = self.ends[-1]
+        begin = np.concatenate([[0], ends[:-1]])
+        return gathered(self.flat[-1], begin[rows], (ends - begin)[rows]), rows
+
+
 class ByteTokenizer:
     """Ids of whole texts under a byte-level BPE file of the tokenizers library.
 
-    The file's pattern never joins what stands before a single space or newline
-    with what stands after it, so texts are cut there and each distinct chunk is
-    encoded once.  Texts with other or doubled white space go through whole.
+    Texts are cut to pieces as the file's pattern does it, and the library encodes each
+    distinct piece once.  Texts with white space beyond single spaces and newlines, with
+    characters beyond the first scripts, or with the strings of special tokens go
+    through the library whole.
     """
 
-    #: White space and separators of chunks that the fast way does not take.
-    ODD = bytes([9, 11, 12, 13, 0, *range(0x1C, 0x20)])
-    WIDE = re.compile(rb"\xc2[\xa0\x85]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+    #: Runs of white space that pieces are not cut at here, bytes of such white space
+    #: and of no character at all, and the lead bytes of characters from U+0250 on.
+    RUNS, ODD, LEADS = (b"  ", b"\n\n", b" \n", b"\n "), bytes([0, 9, 11, 12, 13, *range(28, 32)]), bytes(range(0xC9, 0x100))
+    SPACES = re.compile(rb"\xc2[\xa0\x85]|\xc9[\x90-\xbf]|[\xca-\xff]")
     LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-    PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\n")
+    PIECE = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|\n| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+")
     #: What a line end among pieces stands for; no id is as large.
-    LINE = b"\xff\xff\xff\xff"
+    LINE = 0xFFFFFFFF
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -69,97 +111,70 @@ class ByteTokenizer:
         self.of_pieces = Tokenizer(self.library.model)
         self.of_pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         spec = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
-        #: Characters and strings of which the library has to see the whole chunk.
-        self.beyond = re.compile("|".join(["[^\\x00-ɏ]", *(re.escape(a["content"]) for a in spec["added_tokens"])]))
+        #: Strings for which the library has to see the whole text.
+        self.special = [a["content"].encode() for a in spec["added_tokens"]]
         self.terminals = 1 + max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec["added_tokens"])])
-        self.alphabet = byte_alphabet() | {0: " "}  # a chunk has no null byte
+        self.alphabet = byte_alphabet() | {0: " "}  # a piece has no null byte
         vocab = spec["model"]["vocab"]
         self.newline = vocab[self.alphabet[10]]
         self.leads = np.zeros(self.terminals, bool)
         self.leads[[i for t, i in vocab.items() if t[0] == self.alphabet[32]]] = True
-        self.chunks, self.pieces = BoundedCache(CHUNKS), BoundedCache(CHUNKS)
+        self.pieces = PieceIds(PIECES, self.LINE)
 
     def whole(self, text: bytes) -> bool:
-        """Whether a text has white space beyond single spaces and newlines."""
-        return (
-            b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text
-            or text[:1].isspace() or text[-1:].isspace()
-            or len(text.translate(None, self.ODD)) < len(text)
-            or not text.isascii() and self.WIDE.search(text) is not None
-        )
-
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Many pieces in one call of the library.  A piece that begins with a space has
-        it nowhere else, so tokens that begin with one tell where pieces do; after the
-        others a newline is put, which none of them holds."""
-        spaced = [p for p in pieces if p[0] == " "]
-        other = [p for p in pieces if p[0] != " "]
-        found: dict[str, bytes] = {}
-        for own, mark in ((spaced, ""), (other, "\n")):
+        """Whether only the library can cut a text."""
+        if text[:1].isspace() or text[-1:].isspace() or any(r in text for r in (*self.RUNS, *self.special)):
+            return True
+        if len(text.translate(None, self.ODD)) < len(text):
+            return True
+        return (b"\xc2" in text or len(text.translate(None, self.LEADS)) < len(text)) and self.SPACES.search(text) is not None
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(pieces in another order, their ids end to end, number of each piece), many in
+        one call of the library.  A piece that begins with a space has it nowhere else,
+        so tokens that begin with one tell where pieces do; after the others a newline is
+        put, which none of them holds."""
+        spaced, other = [p for p in pieces if p[0] == " "], [p for p in pieces if p[0] != " "]
+        flat, size = [], []
+        for own, mark in ((spaced, "\0"), (other, "\0\n\0")):
             for at in range(0, len(own), 512):
-                some = own[at : at + 512]
                 # In the byte alphabet no byte stands for a space; pieces have no null byte.
-                text = ("\0\n\0" if mark else "\0").join(some).encode().decode("latin-1").translate(self.alphabet)
+                text = mark.join(own[at : at + 512]).encode().decode("latin-1").translate(self.alphabet)
                 ids = np.array(self.of_pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-                if mark:
-                    ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
-                    starts = np.append(0, ends[:-1] + 1)
-                else:
-                    starts = np.flatnonzero(self.leads[ids])
-                    ends = np.append(starts[1:], len(ids))
-                raw = ids.tobytes()
-                found.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
-        return [found[p] for p in pieces]
-
-    def ids_of(self, chunks: list[bytes]) -> list[bytes]:
-        """Chunks are laid out one to a line and cut to pieces in one pass."""
-        out: dict[bytes, bytes] = {b"\n": np.array([self.newline], "<u4").tobytes()}
-        own = [c for c in chunks if c != b"\n"]
-        text = b"\n".join(own).decode("utf-8", "replace")
-        if self.beyond.search(text):
-            rest = []
-            for c in own:
-                t = c.decode("utf-8", "replace")
-                if self.beyond.search(t):
-                    out[c] = self.library_ids(t)
+                if own is spaced:
+                    size.append(np.diff(np.flatnonzero(self.leads[ids]), append=len(ids)))
                 else:
-                    rest.append(c)
-            own, text = rest, b"\n".join(rest).decode("utf-8", "replace")
-        if own:
-            pieces = self.PIECE.findall(text)
-            self.pieces.fill(set(pieces) - {"\n"}, self.encode_pieces)
-            self.pieces["\n"] = self.LINE
-            raw = b"".join(map(self.pieces.__getitem__, pieces))
-            ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF)).tolist() + [len(raw)]
-            out.update(zip(own, [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)], strict=True))
-        return [out[c] for c in chunks]
-
-    def library_ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        out: list[bytes] = [b""] * len(texts)
-        plain = []
-        for i, t in enumerate(texts):
-            if t and self.whole(t):
-                out[i] = self.library_ids(t.decode("utf-8", "replace"))
-            elif t:
-                plain.append(i)
-        if not plain:
-            return out
-        # All chunks of all texts as one column, of which each distinct value is looked up once.
-        cut = b"\0".join(texts[i].replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ") for i in plain)
-        column = pc.split_pattern(pa.array([cut], pa.large_binary()), pattern=b"\0").values.dictionary_encode()
-        keys, at = column.dictionary.to_pylist(), column.indices.to_numpy()
-        self.chunks.fill(set(keys), self.ids_of)
-        values = [self.chunks[k] for k in keys]
-        raw = b"".join(map(values.__getitem__, at.tolist()))
-        ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values))[at])
-        chunks = np.cumsum([1 + texts[i].count(b" ") + 2 * texts[i].count(b"\n") for i in plain])
-        stops, start = ends[chunks - 1].tolist(), 0
-        for i, stop in zip(plain, stops, strict=True):
-            out[i], start = raw[start:stop], stop
+                    ends = ids == self.newline
+                    size.append(np.diff(np.flatnonzero(ends), prepend=-1, append=len(ids)) - 1)
+                    ids = ids[~ends]
+                flat.append(ids)
+        return spaced + other, np.concatenate(flat), np.concatenate(size)
+
+    def library_ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t]
+        joined = b"\n".join([texts[i] for i in plain])
+        if self.whole(joined):
+            odd = [i for i in plain if self.whole(texts[i])]
+            for i in odd:
+                out[i] = self.library_ids(texts[i])
+            plain = sorted(set(plain).difference(odd))
+            joined = b"\n".join([texts[i] for i in plain])
+        if plain:
+            pieces = self.PIECE.findall(joined.decode("utf-8", "replace"))
+            self.pieces.add(set(pieces), self.encode_pieces)
+            ids, rows = self.pieces.ids(pieces)
+            # Line ends between texts are dropped, those of a text get their id.
+            lines = np.flatnonzero(ids == self.LINE)
+            between = lines[np.cumsum([texts[i].count(b"\n") + 1 for i in plain])[:-1] - 1]
+            ids[lines] = self.newline
+            starts = np.append(0, between + 1).tolist()
+            for i, start, stop in zip(plain, starts, [*between.tolist(), len(ids)], strict=True):
+                out[i] = ids[start:stop]
         return out
 
 
@@ -171,73 +186,99 @@ def opened(path: str) -> ByteTokenizer:
 # Re-Pair ---------------------------------------------------------------------
 
 
-def bins_of(seq: np.ndarray) -> np.ndarray:
-    """A bin for each pair of neighbours; equal pairs share one."""
-    return ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))) >> np.uint32(32 - BIN_BITS)
+def bins_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A bin for each pair; equal pairs share one."""
+    return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - BIN_BITS)
 
 
-def replace_round(seq: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Replaces frequent pairs, pair k of the returned by symbol ``size + k``.
+def frequent_pairs(seq: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(those of ``places`` where a pair stands that has LEAST of them, the pairs, their
+    numbers of places, which pair stands at each of these places).
 
-    The pairs are counted in bins, and exactly in the fullest bins.  Those of one
-    round can be replaced together: no symbol is the left half of one pair and the
-    right half of another, so no two occurrences overlap but those of one symbol
-    repeated, which are taken from the left end of the run on.
+    A bin of LEAST places gets one of its pairs, counted without a sort; the places of
+    other pairs in such bins, a few, are sorted.
     """
-    if len(seq) < 2:
-        return seq, []
-    bin_of = bins_of(seq)
-    count = np.bincount(bin_of, minlength=1 << BIN_BITS)
-    top = np.argpartition(count, -BINS)[-BINS:]
-    hot = np.zeros(1 << BIN_BITS, bool)
-    hot[top[count[top] >= LEAST]] = True
-    where = np.flatnonzero(hot[bin_of])
-    key = seq[where].astype(np.uint64) << np.uint64(32) | seq[where + 1]
-    pairs, of, n = np.unique(key, return_inverse=True, return_counts=True)
-    side: dict[int, str] = {}
+    bin_of = bins_of(seq[places], seq[places + 1])
+    hot = np.bincount(bin_of, minlength=1 << BIN_BITS)[bin_of] >= LEAST
+    places, bin_of = places[hot], bin_of[hot]
+    key = seq[places].astype(np.uint64) << np.uint64(32) | seq[places + 1]
+    of_bin = np.zeros(1 << BIN_BITS, np.uint64)
+    of_bin[bin_of] = key
+    own = of_bin[bin_of] == key
+    count = np.bincount(bin_of[own], minlength=1 << BIN_BITS)
+    bins = np.flatnonzero(count >= LEAST)
+    number = np.full(1 << BIN_BITS, -1)
+    number[bins] = np.arange(len(bins))
+    of = np.where(own, number[bin_of], -1)
+    pairs, back, n = np.unique(key[~own], return_inverse=True, return_counts=True)
+    often = n >= LEAST
+    of[~own] = np.where(often, len(bins) + np.cumsum(often) - 1, -1)[back]
+    found = of >= 0
+    return places[found], np.concatenate([of_bin[bins], pairs[often]]), np.concatenate([count[bins], n[often]]), of[found]
+
+
+def chosen_pairs(pairs: np.ndarray, n: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(pairs to replace together, the number of each of ``pairs`` among them or -1).
+
+    The most frequent first, of equals the smaller.  No symbol is the left half of one
+    and the right half of another, so no two occurrences overlap but those of one
+    symbol repeated.
+    """
+    side: dict[int, int] = {}
     chosen: list[tuple[int, int]] = []
     rule_of = np.full(len(pairs), -1)
-    for i in np.lexsort((pairs, -n)):
-        if n[i] < LEAST:
-            break
-        a, b = int(pairs[i]) >> 32, int(pairs[i]) & 0xFFFFFFFF
+    order = np.lexsort((pairs, -n))
+    left, right = (pairs[order] >> np.uint64(32)).tolist(), (pairs[order] & np.uint64(0xFFFFFFFF)).tolist()
+    for i, a, b in zip(order.tolist(), left, right, strict=True):
         if a == b:
             if a in side:
                 continue
-            side[a] = "both"
-        elif side.get(a, "left") != "left" or side.get(b, "right") != "right":
+            side[a] = 3
+        elif side.get(a, 1) != 1 or side.get(b, 2) != 2:
             continue
         else:
-            side[a], side[b] = "left", "right"
+            side[a], side[b] = 1, 2
         rule_of[i] = len(chosen)
         chosen.append((a, b))
-    if not chosen:
-        return seq, []
-    rule = rule_of[of]
-    where, rule = where[rule >= 0], rule[rule >= 0]
-    own = np.flatnonzero(seq[where] == seq[where + 1])
-    if len(own):
-        new_run = np.ones(len(own), bool)
-        new_run[1:] = np.diff(where[own]) != 1
-        start = np.maximum.accumulate(np.where(new_run, np.arange(len(own)), 0))
-        keep = np.ones(len(where), bool)
-        keep[own[(np.arange(len(own)) - start) % 2 == 1]] = False
-        where, rule = where[keep], rule[keep]
-    out = seq.copy()
-    out[where] = size + rule
-    left = np.ones(len(seq), bool)
-    left[where + 1] = False
-    return out[left], chosen
+    return chosen, rule_of
 
 
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, expansion lengths, symbols)."""
+    """(rules, expansion lengths, symbols): pairs are replaced until none occurs LEAST
+    times.
+
+    Each round counts the pairs at the places that are still of interest: those of
+    frequent pairs that had to wait, and those beside a new symbol; others cannot have
+    become frequent.  Bins rule out most rare pairs before the exact count.
+    """
     seq, size = ids.astype(np.uint32), max(terminals, int(ids.max(initial=0)) + 1)
     base, rules, length = size, [], {}
-    for _ in range(ROUNDS):
-        seq, chosen = replace_round(seq, size)
+    places = np.arange(max(0, len(seq) - 1))
+    while len(places):
+        places, pairs, n, of = frequent_pairs(seq, places)
+        chosen, rule_of = chosen_pairs(pairs, n)
         if not chosen:
             break
+        rule = rule_of[of]
+        where, rule = places[rule >= 0], rule[rule >= 0]
+        own = np.flatnonzero(seq[where] == seq[where + 1])
+        if len(own):  # of a run of one symbol every second place, from its left end on
+            new_run = np.ones(len(own), bool)
+            new_run[1:] = np.diff(where[own]) != 1
+            start = np.maximum.accumulate(np.where(new_run, np.arange(len(own)), 0))
+            keep = np.ones(len(where), bool)
+            keep[own[(np.arange(len(own)) - start) % 2 == 1]] = False
+            where, rule = where[keep], rule[keep]
+        seq[where] = size + rule
+        left = np.ones(len(seq), bool)
+        left[where + 1] = False
+        again = np.zeros(len(seq), bool)
+        again[places] = True
+        seq, again = seq[left], again[left]
+        new = where - np.arange(len(where))  # each replacement moves the later ones down
+        again[new] = True
+        again[np.maximum(new - 1, 0)] = True
+        places = np.flatnonzero(again[:-1])
         for k, (a, b) in enumerate(chosen):
             length[size + k] = length.get(a, 1) + length.get(b, 1)
         rules += chosen
@@ -260,11 +301,7 @@ class Grammar:
         self.ends = np.cumsum(self.length[self.symbols])
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        size = self.length[seq]
-        ends = np.cumsum(size)
-        if not len(seq):
-            return np.zeros(0, "<u4")
-        return self.flat[np.repeat(self.begin[seq] - ends + size, size) + np.arange(ends[-1])]
+        return gathered(self.flat, self.begin[seq], self.length[seq])
 
     def ids(self) -> np.ndarray:
         return self.expand(self.symbols)
@@ -303,30 +340,30 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
     """Encodes ``docs`` (doc_id, text) and writes the shards to ``path``.
 
     Null and empty texts are the end id alone.  Rows with one doc_id stand in the
-    order of their texts; rows without a doc_id come first.
+    order of their texts, null texts first; rows without a doc_id come before all
+    others.  A document of any length stays in one shard.  Other columns are not looked at.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = opened(tokenizer), TaskContext.get().partitionId()
         held, names, ends, size, before, shard = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            rules, lengths, symbols = compress(np.frombuffer(b"".join(held), "<u4"), own.terminals)
-            row = [part, shard, before, size, packed(rules), packed(lengths), packed(halves(symbols)), packed(np.array(names, "<i8")), packed(np.array(ends, "<u4"))]
+            rules, lengths, symbols = compress(np.concatenate(held), own.terminals)
+            row = [part, shard, before, size, packed(rules), packed(lengths), packed(halves(symbols)), packed(np.array([n or 0 for n in names], "<i8")), packed(np.array([n is not None for n in names], "u1")), packed(np.array(ends, "<u4"))]
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 4 else pa.binary()) for i, v in enumerate(row)], names=SHARDS.names)
 
         for batch in batches:
             ids = batch.column(0)
             for start, texts in text_slices(batch, "text"):
                 for i, found in enumerate(own.encode(texts)):
-                    doc = ids[start + i].as_py()
                     held += [found, end]
-                    size += len(found) // 4 + 1
-                    names.append(-(1 << 63) if doc is None else doc)
+                    size += len(found) + 1
+                    names.append(ids[start + i].as_py())
                     ends.append(size)
                     if size >= shard_ids:
                         yield flush()
@@ -350,7 +387,7 @@ def read_documents(spark, path: str, tokenizer: str) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]])
                 docs = unpacked(row["doc_ids"], "<i8")
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
-                no_id = docs == -(1 << 63)
+                no_id = unpacked(row["doc_known"], "u1") == 0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(docs), row["part"])), pa.array(docs, mask=no_id), pa.array(starts + row["first_id"]), pa.array(ends - starts), pa.array(crc, pa.int64())],
                     names=made.names,
