@@ -1,9 +1,10 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only (operator 1).
 
-The nested field paths of a record, without their types, are hashed to a fingerprint.
-A fingerprint selects a declarative mapping: where the turns are, and where in a turn
-its role and text.  All layouts become canonical turns, an array of (role, text), which
-one template formats.
+The nested field paths of a record, or of a table's columns, are hashed to a
+fingerprint, after paths that no layout knows are left out; so further fields do not
+lose a record.  A registry from fingerprints to declarative mappings tells where the
+turns are, and where in a turn its role and text.  All layouts become canonical turns,
+an array of (role, text), which one template formats.
 
 The template writes a user's turn as ``[INST] text [/INST]``, an assistant's as
 ``text</s>`` and any other as ``[ROLE role]text[/ROLE]``.  Inside texts and roles ``\\``,
@@ -13,7 +14,9 @@ and what was written can be read back.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +31,12 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 
 @dataclass(frozen=True)
 class Mapping:
-    """``paths``: the field paths that a record of this layout has.  Either ``turns``
-    is the path of an array whose elements have ``role`` and ``text``, or ``fields``
-    lists (role, field) in the order of the turns; empty optional fields are left out
-    and ``joined`` fields are appended to the field before them."""
+    """``paths``: the field paths that a record of this layout has; ``optional``: those
+    that it may have besides.  Either ``turns`` is the path of an array whose elements
+    have ``role`` and ``text`` (it may be empty), or ``fields`` lists (role, field) in the
+    order of the turns: null or empty ``optional`` fields are left out, and ``joined``
+    fields are appended to the field before them.  A mapping with ``key`` and ``order``
+    is that of a table with a row for each turn."""
 
     name: str
     paths: tuple[str, ...]
@@ -40,22 +45,47 @@ class Mapping:
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
     joined: tuple[str, ...] = ()
+    optional: tuple[str, ...] = ()
+    key: str = ""
+    order: str = ""
 
 
-MAPPINGS = (
+RECORDS = (
     Mapping("messages", ("messages", "messages[].content", "messages[].role"), "messages", "role", "content"),
     Mapping("conversations", ("conversations", "conversations[].from", "conversations[].value"), "conversations", "from", "value"),
     Mapping("dialog", ("dialog", "dialog[].speaker", "dialog[].text"), "dialog", "speaker", "text"),
-    Mapping("instruction_input", ("input", "instruction", "output"), fields=(("user", "instruction"), ("user", "input"), ("assistant", "output")), joined=("input",)),
-    Mapping("instruction", ("instruction", "output"), fields=(("user", "instruction"), ("assistant", "output"))),
-    Mapping("system_instruction", ("question", "response", "system_prompt"), fields=(("system", "system_prompt"), ("user", "question"), ("assistant", "response"))),
-    Mapping("prompt_completion", ("completion", "prompt"), fields=(("user", "prompt"), ("assistant", "completion"))),
-    Mapping("prompt_response", ("prompt", "response"), fields=(("user", "prompt"), ("assistant", "response"))),
+    Mapping("instruction", ("instruction", "output"), fields=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), joined=("input",), optional=("input", "system")),
+    Mapping("system_instruction", ("question", "response"), fields=(("system", "system_prompt"), ("user", "question"), ("assistant", "response")), optional=("system_prompt",)),
+    Mapping("prompt_completion", ("completion", "prompt"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=("system",)),
+    Mapping("prompt_response", ("prompt", "response"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
     Mapping("question_answer", ("answer", "question"), fields=(("user", "question"), ("assistant", "answer"))),
 )
+TABLES = (Mapping("turn_rows", ("conv_id", "role", "text", "turn"), role="role", text="text", key="conv_id", order="turn"),)
 
-#: The layout of tables with a row for each turn.
-TURN_ROWS = ("conv_id", "role", "text", "turn")
+
+def hashed(paths) -> str:
+    """The fingerprint of field paths."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+
+
+def variants(m: Mapping) -> list[tuple[str, ...]]:
+    """The path sets of records of a layout: with any of the optional fields; an empty
+    array has no paths inside."""
+    chosen = [(*m.paths, *some) for n in range(len(m.optional) + 1) for some in combinations(m.optional, n)]
+    return chosen + [(m.turns,)] * bool(m.turns)
+
+
+def known_paths(mappings: tuple[Mapping, ...]) -> list[str]:
+    return sorted({p for m in mappings for p in (*m.paths, *m.optional)})
+
+
+def registry(mappings: tuple[Mapping, ...]) -> dict[str, Mapping]:
+    """Mappings by fingerprint; of two with the same the first."""
+    found: dict[str, Mapping] = {}
+    for m in mappings:
+        for paths in variants(m):
+            found.setdefault(hashed(paths), m)
+    return found
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -71,36 +101,29 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return sorted(found)
 
 
-def fingerprint_text(paths: tuple[str, ...] | list[str]) -> str:
-    """What is hashed: the paths as nested braces, so ``a, b[].c`` is ``{a,b[{c}]}``."""
-    tree: dict = {}
-    for p in sorted(paths):
-        node = tree
-        for part in p.replace("[]", ".[]").split("."):
-            node = node.setdefault(part, {})
-
-    def show(node: dict) -> str:
-        if set(node) == {"[]"}:
-            return f"[{show(node['[]'])}]"
-        return "{" + ",".join(k + show(v) for k, v in sorted(node.items())) + "}" if node else ""
-
-    return show(tree)
+def layout_of(kind: T.StructType, mappings: tuple[Mapping, ...] = TABLES) -> Mapping | None:
+    """The mapping of a table by the fingerprint of its columns."""
+    known = set(known_paths(mappings))
+    return registry(mappings).get(hashed(known.intersection(schema_paths(kind))))
 
 
-def fingerprint(record: Column) -> Column:
-    """The fingerprint of JSON text: its schema with scalar types removed, hashed.
-
-    Null or invalid JSON has none.
-    """
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    plain = F.regexp_replace(shape, r": (STRING|BIGINT|BOOLEAN|DOUBLE|VOID|DATE|TIMESTAMP_NTZ|TIMESTAMP|FLOAT|BINARY|UUID|VARIANT|DECIMAL\(\d+,\d+\))", "")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"(: )?OBJECT<", "{"), r"(: )?ARRAY<", "[")
-    # Closing brackets follow the opening ones, so one kind is enough for the hash.
-    return F.sha2(F.regexp_replace(F.regexp_replace(plain, r"[>]", ""), ", ", ","), 256)
+def record_paths(record: Column) -> Column:
+    """The field paths of JSON text: its keys, and those of objects and of the elements
+    of arrays below them, as deep as layouts go.  Null for anything but an object."""
+    fields = F.from_json(record, "map<string, string>")
+    inside = F.transform(
+        F.map_entries(fields),
+        lambda e: F.when(e["value"].startswith("["), F.transform(F.flatten(F.transform(F.coalesce(F.from_json(e["value"], "array<map<string, string>>"), F.array()), lambda x: F.coalesce(F.map_keys(x), F.array().cast("array<string>")))), lambda k: F.concat(e["key"], F.lit("[]."), k)))
+        .when(e["value"].startswith("{"), F.transform(F.map_keys(F.from_json(e["value"], "map<string, string>")), lambda k: F.concat(e["key"], F.lit("."), k)))
+        .otherwise(F.array().cast("array<string>")),
+    )
+    return F.array_distinct(F.concat(F.map_keys(fields), F.flatten(inside)))
 
 
-def fingerprint_of(paths: tuple[str, ...]) -> Column:
-    return F.sha2(F.lit(fingerprint_text(paths).replace("}", "").replace("]", "")), 256)
+def fingerprint(record: Column, mappings: tuple[Mapping, ...] = RECORDS) -> Column:
+    """The hash of the known field paths of JSON text; null or invalid JSON has none."""
+    known = F.array_intersect(record_paths(record), F.array(*map(F.lit, known_paths(mappings))))
+    return F.sha2(F.array_join(F.array_sort(known), "\n"), 256)
 
 
 def canonical_role(role: Column) -> Column:
@@ -126,33 +149,37 @@ def mapped(record: Column, m: Mapping) -> Column:
     return F.filter(every, lambda x: (x["role"] != "system") | (x["text"] != ""))
 
 
-def canonical_from_json(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+def canonical_from_json(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = RECORDS) -> DataFrame:
     """Adds ``layout`` (name of the mapping) and ``turns`` to rows of JSON text.
 
-    Records of no known layout, null or invalid ones, have null for both.
+    Fields that no layout knows are ignored.  Records of no known layout, null or
+    invalid ones, have null for both.
     """
-    key = fingerprint(F.col(record))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    by: dict[str, list[str]] = {}
+    for key, m in registry(mappings).items():
+        by.setdefault(m.name, []).append(key)
     for m in reversed(mappings):
-        is_own = F.col("_fingerprint") == fingerprint_of(m.paths)
+        is_own = F.col("_fingerprint").isin(by.get(m.name, []))
         layout = F.when(is_own, m.name).otherwise(layout)
         turns = F.when(is_own, mapped(F.col(record), m)).otherwise(turns)
-    return df.withColumn("_fingerprint", key).withColumn("layout", layout).withColumn("turns", turns).drop("_fingerprint")
+    return df.withColumn("_fingerprint", fingerprint(F.col(record), mappings)).withColumn("layout", layout).withColumn("turns", turns).drop("_fingerprint")
 
 
-def canonical_from_rows(df: DataFrame) -> DataFrame:
-    """(conv_id, turns) from a table with a row for each turn, in the order of turn,
-    then role and text; null roles and texts are empty; null turns come first.
+def canonical_from_table(df: DataFrame, mappings: tuple[Mapping, ...] = TABLES) -> DataFrame:
+    """(conv_id, turns) from a table with a row for each turn, whose mapping is found by
+    the fingerprint of its columns; other columns are ignored, an unknown layout raises.
 
-    Turns are gathered by blocks first, so a long conversation is sorted by many tasks
-    and only whole blocks meet.  A conversation ends as one row, which is its bound.
+    Turns come in their order, of equal ones by role and text; null roles and texts are
+    empty, null turns come first, repeated rows are repeated turns.  Turns are gathered
+    by blocks first, so a long conversation is sorted by many tasks and only whole
+    blocks meet.  A conversation ends as one row, which is its bound.
     """
-    paths = schema_paths(T.StructType([f for f in df.schema.fields if f.name in TURN_ROWS]))
-    if fingerprint_text(paths) != fingerprint_text(TURN_ROWS):
-        raise ValueError(f"not a layout with a row for each turn: {df.schema.simpleString()}")
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    block = F.floor(F.col("turn") / BLOCK).alias("block")
-    blocks = df.groupBy("conv_id", block).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    m = layout_of(df.schema, mappings)
+    if m is None:
+        raise ValueError(f"no layout is known with the columns {df.schema.simpleString()}")
+    row = F.struct(F.col(m.order).alias("turn"), F.coalesce(m.role, F.lit("")).alias("role"), F.coalesce(m.text, F.lit("")).alias("text"))
+    blocks = df.groupBy(F.col(m.key).alias("conv_id"), F.floor(F.col(m.order) / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     whole = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("block"), F.col("rows")))).alias("blocks"))
     return whole.select("conv_id", F.expr("transform(flatten(transform(blocks, b -> b.rows)), x -> struct(x.role AS role, x.text AS text))").alias("turns"))
 
@@ -236,7 +263,7 @@ def turns_text() -> Column:
 
 def digests(conversations: DataFrame) -> DataFrame:
     """The contract's columns of formatted conversations, read back from the output."""
-    done = format_chats(canonical_from_rows(conversations)).select("conv_id", "formatted", "loss_mask")
+    done = format_chats(canonical_from_table(conversations)).select("conv_id", "formatted", "loss_mask")
     back = done.withColumn("read", parsed(F.col("formatted"))).withColumn("loss_text", under_mask())
     return back.select(
         "conv_id",

@@ -4,6 +4,7 @@ import hashlib
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from searchloom.llm import chat_format, license_scan, quality_rules
@@ -18,24 +19,34 @@ def test_layouts_become_canonical_turns(spark):
         "conversations": {"conversations": [{"from": "human", "value": "q [x]"}, {"from": "gpt", "value": "a"}]},
         "dialog": {"dialog": [{"speaker": "user", "text": "q [x]"}, {"speaker": "bot", "text": "a"}]},
         "instruction": {"instruction": "q [x]", "output": "a"},
-        "instruction_input": {"instruction": "q [x]", "input": "", "output": "a"},
         "prompt_completion": {"prompt": "q [x]", "completion": "a"},
         "prompt_response": {"prompt": "q [x]", "response": "a"},
         "question_answer": {"question": "q [x]", "answer": "a"},
     }
-    rows = [(k, json.dumps(v)) for k, v in records.items()] + [("none", '{"z": 1}'), ("bad", "{"), ("null", None)]
+    records["system_instruction"] = {"system_prompt": "", "question": "q [x]", "response": "a"}
+    others = {
+        "messages extra": {"id": 3, "meta": {"a": [1, {"b": 2}]}, "messages": [{"role": "user", "content": "q [x]", "name": "n"}, {"role": "assistant", "content": "a"}]},
+        "instruction input": {"instruction": "q [x]", "input": None, "output": "a", "system": ""},
+        "prompt_response null": {"prompt": "q [x]", "response": "a", "tags": [], "system": None},
+    }
+    rows = [(k, json.dumps(v)) for k, v in (records | others).items()] + [("none", '{"z": 1}'), ("bad", "{"), ("null", None), ("array", "[1]"), ("both", '{"prompt": "a", "completion": "b", "response": "c"}')]
+    rows += [("empty", '{"messages": []}'), ("joined", json.dumps({"instruction": "do", "input": "this", "output": "a", "system": "s"}))]
     df = spark.createDataFrame(rows, "name string, record string")
     got = {r["name"]: r for r in chat_format.canonical_from_json(df, "record").collect()}
     for name in records:
         assert got[name]["layout"] == name
         assert [t.asDict() for t in got[name]["turns"]] == [user, bot]
-    assert all(got[n]["layout"] is None and got[n]["turns"] is None for n in ("none", "bad", "null"))
+    for name in others:
+        assert got[name]["layout"] == name.split()[0] and [t.asDict() for t in got[name]["turns"]] == [user, bot], name
+    assert all(got[n]["layout"] is None and got[n]["turns"] is None for n in ("none", "bad", "null", "array", "both"))
+    assert got["empty"]["turns"] == [] and [(t["role"], t["text"]) for t in got["joined"]["turns"]] == [("system", "s"), ("user", "do\n\nthis"), ("assistant", "a")]
+    assert chat_format.canonical_from_json(df.limit(0), "record").isEmpty()
 
 
 def test_format_reads_back(spark):
     rows = [(1, 0, "system", HARD), (1, 1, "user", HARD), (1, 2, "assistant", HARD), (1, 3, "odd]role[", ""), (1, 4, None, None), (1, 5, "assistant", ""), (1, 5, "assistant", "é🙂"), (2, None, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
-    done = chat_format.format_chats(chat_format.canonical_from_rows(df)).withColumn("read", chat_format.parsed(F.col("formatted"))).withColumn("loss", chat_format.under_mask())
+    done = chat_format.format_chats(chat_format.canonical_from_table(df)).withColumn("read", chat_format.parsed(F.col("formatted"))).withColumn("loss", chat_format.under_mask())
     got = {r["conv_id"]: r for r in done.collect()}
     assert got[1]["read"] == got[1]["turns"] and len(got[1]["read"]) == 7
     assert got[1]["loss"] == HARD + "é🙂" and got[2]["loss"] == ""
@@ -44,6 +55,18 @@ def test_format_reads_back(spark):
     assert chat_format.digests(df.limit(0)).isEmpty()
 
 
+def test_table_layouts_and_long_conversations(spark):
+    n = 3 * chat_format.BLOCK + 7
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(n)] + [(2, 0, "user", "x")] * 2 + [(3, 5, "assistant", "long " * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).withColumn("turns", F.lit(1)).withColumn("extra", F.struct(F.lit(1).alias("text")))
+    got = {r["conv_id"]: r["turns"] for r in chat_format.canonical_from_table(df).collect()}
+    assert [t["text"] for t in got[1]] == [f"t{i}" for i in range(n)] and len(got[2]) == 2
+    assert {r["conv_id"]: r["n_turns"] for r in chat_format.digests(df).collect()} == {1: n, 2: 2, 3: 1}
+    assert chat_format.layout_of(df.schema).name == "turn_rows" and chat_format.layout_of(df.drop("role").schema) is None
+    with pytest.raises(ValueError, match="layout"):
+        chat_format.canonical_from_table(df.drop("turn"))
+
+
 def brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     wins = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
