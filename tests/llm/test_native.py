@@ -96,6 +96,30 @@ def test_cascade_order_follows_rejections_per_cost(spark):
     assert [r.name for r in quality_rules.ordered(df, [never, dear, cheap])] == ["cheap", "dear", "never"]
 
 
+def test_rules_run_only_on_rows_that_those_before_left(spark):
+    """The dear rule raises on each row that the cheap one rejects."""
+    df = spark.createDataFrame([(i, ("bad" if i % 4 else "good") + str(i)) for i in range(400)], "doc_id long, text string")
+    cheap = quality_rules.Rule("cheap", F.col("_text").startswith("bad"), F.lit(1.0))
+    guarded = F.when(F.col("_text").startswith("bad"), F.raise_error(F.lit("evaluated"))).otherwise(F.lit(False))
+    dear = quality_rules.Rule("dear", guarded.cast("boolean"), F.lit(100.0))
+    done = quality_rules.prepare(df).withColumn("by", quality_rules.first_rejection([cheap, dear]))
+    assert done.where("by = 'cheap'").count() == 300 and done.where("by IS NULL").count() == 100
+    with pytest.raises(Exception, match="evaluated"):
+        quality_rules.prepare(df).withColumn("by", quality_rules.first_rejection([dear, cheap])).collect()
+
+
+def test_further_rules_and_clashing_columns(spark):
+    prose = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    texts = {"digits": " ".join(str(10**6 + i) for i in range(80)), "different_words": "some words " * 400 + prose, "bullets": "\n".join(f"- {prose}" for _ in range(1)), "ellipses": f"{prose}...", None: prose}
+    df = spark.createDataFrame([(1, v) for v in texts.values()], "doc_id long, text string").withColumn("rejected_by", F.lit(3)).withColumn("n_words", F.lit("x"))
+    by = {r["text"]: r["rejected_by"] for r in quality_rules.apply_rules(df, quality_rules.further_rules()).collect()}
+    assert by == {v: k for k, v in texts.items()}
+    kept = {r["kept"]: r["count"] for r in quality_rules.measured(df).groupBy("kept").count().collect()}
+    assert kept == {True: 1, False: 4}
+    again = quality_rules.measured(df.unionByName(df))
+    assert again.count() == 10 and again.distinct().count() <= 5
+
+
 def test_licenses_and_inheritance(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."),
