@@ -6,9 +6,12 @@ RARE classes of all other words by their last two bytes; inside a rare class a w
 its smoothed share of the class's count.  So every token, unseen ones too, has a
 probability, and those of one context sum to 1.
 
-Training is noise-contrastive estimation in numpy over all learning documents: each
-task runs over its own texts from the same start, and the parameters are averaged,
-weighted by tokens, in a tree of bounded groups.  For scores, two matrix products give
+Training is noise-contrastive estimation in numpy over all learning documents, by
+iterative parameter mixing: the documents are dealt to rounds and shards by their hash.
+In each round every shard learns its part from the last average, and the parameters and
+their Adagrad sums are averaged, weighted by tokens, in a tree of bounded groups.  The
+number of shards follows the tokens; how the input is partitioned, and how large the
+cluster is, changes nothing.  For scores, two matrix products give
 all class scores by context position, and a third, of their exponentials, the
 normaliser of every pair of context classes at once.
 """
@@ -29,15 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, resident, text_slices
+from .common import discard, materialize, resident, text_slices
 
 #: Classes, those for rare words, frequent words that workers hold with their counts
 #: (the rest are joined), and distinct words a task counts before it passes them on.
 CLASSES, RARE, HEAD, PARTIAL = 2048, 128, 200_000, 300_000
 #: Size of the vectors, tokens and shared noise samples of a step, learning rate.
-SIZE, STEP, NOISE, RATE = 32, 1024, 64, 0.08
+SIZE, STEP, NOISE, RATE = 32, 256, 64, 0.08
+#: Rounds of averaging, tokens of a shard in a round (about), tokens whose order is mixed.
+ROUNDS, SHARD, MIXED = 4, 1_000_000, 65_536
 #: Parameter sets averaged in one task.
-GROUP = 32
+GROUP = 16
 #: The end of a text; no word is empty.
 END = b""
 
@@ -121,25 +126,33 @@ class LogBilinear:
 
     SHAPES = (("R", (CLASSES, SIZE)), ("Q", (CLASSES, SIZE)), ("C1", (SIZE, SIZE)), ("C2", (SIZE, SIZE)), ("b", (CLASSES,)))
 
-    def __init__(self, tokens: np.ndarray):
+    def __init__(self, tokens: np.ndarray, seed: tuple[int, ...] = (5,)):
         rng = np.random.default_rng(5)
         self.noise = (tokens + 0.1) / (tokens.sum() + 0.1 * len(tokens))
+        self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
+        self.upto = np.cumsum(self.noise)
         self.R = rng.normal(0, 0.1, (CLASSES, SIZE)).astype(np.float32)
         self.Q = rng.normal(0, 0.1, (CLASSES, SIZE)).astype(np.float32)
         self.C1, self.C2 = (np.eye(SIZE, dtype=np.float32) * s for s in (1.0, 0.5))
         self.b = np.log(self.noise).astype(np.float32)
         self.past = {name: np.full(shape, 1e-4, np.float32) for name, shape in self.SHAPES}
-        self.rng = rng
+        self.rng = np.random.default_rng(seed)
 
-    def packed(self) -> bytes:
-        return np.concatenate([getattr(self, n).ravel() for n, _ in self.SHAPES]).tobytes()
+    def packed(self) -> np.ndarray:
+        """Parameters, then their sums of squared gradients."""
+        return np.concatenate([getattr(self, n).ravel() for n, _ in self.SHAPES] + [self.past[n].ravel() for n, _ in self.SHAPES])
 
     def unpack(self, flat: np.ndarray) -> LogBilinear:
         at = 0
-        for name, shape in self.SHAPES:
-            size = math.prod(shape)
-            setattr(self, name, flat[at : at + size].reshape(shape).astype(np.float32))
-            at += size
+        for past in (False, True):
+            for name, shape in self.SHAPES:
+                size = math.prod(shape)
+                own = flat[at : at + size].reshape(shape).astype(np.float32)
+                if past:
+                    self.past[name] = own
+                else:
+                    setattr(self, name, own)
+                at += size
         return self
 
     def update(self, name: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
@@ -158,10 +171,10 @@ class LogBilinear:
 
     def step(self, c2: np.ndarray, c1: np.ndarray, target: np.ndarray) -> None:
         """One step of noise-contrastive estimation; the noise is shared by the step."""
-        noise = self.rng.choice(CLASSES, NOISE, p=self.noise)
+        noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), CLASSES - 1)
         r1, r2 = self.R[c1], self.R[c2]
         q = r1 @ self.C1 + r2 @ self.C2
-        log_noise = np.log(NOISE * self.noise)
+        log_noise = self.log_noise
         of_target = np.einsum("ij,ij->i", q, self.Q[target]) + self.b[target] - log_noise[target]
         of_noise = q @ self.Q[noise].T + self.b[noise] - log_noise[noise]
         g_target = (-1 / (1 + np.exp(np.clip(of_target, -30, 30)))).astype(np.float32)
@@ -182,9 +195,8 @@ class LogBilinear:
         """Steps over texts laid end to end; ``starts``: where each begins."""
         c1, c2 = contexts(cls, starts)
         order = self.rng.permutation(len(cls))
-        size = max(64, min(STEP, len(cls) // 64))  # few tokens are worth as many steps
-        for at in range(0, len(cls), size):
-            i = order[at : at + size]
+        for at in range(0, len(cls), STEP):
+            i = order[at : at + STEP]
             self.step(c2[i], c1[i], cls[i])
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,50 +229,106 @@ def laid_out(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return words, np.array(starts, np.int64)
 
 
-def train(docs: DataFrame, vocab: Vocabulary) -> LogBilinear:
-    """A model of all texts of ``docs``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocab)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("tokens", T.DoubleType()), T.StructField("params", T.BinaryType())])
-
-    def rows(own: list[tuple[int, float, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own, strict=True), (pa.int64(), pa.float64(), pa.binary()), strict=True)], names=schema.names)
+def class_rows(docs: DataFrame, shared) -> DataFrame:
+    """(round, shard, place, classes) of all of ``docs`` (place, text): the token classes
+    of each text as 16-bit numbers, dealt by the hash ``place``."""
+    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("classes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = LogBilinear(shared.value.tokens), 0
         for batch in batches:
-            for _, texts in text_slices(batch, "text"):
+            for start, texts in text_slices(batch, "text"):
                 words, starts = laid_out(texts)
-                model.learn(shared.value.classes(words)[1], starts)
-                seen += len(words)
-        if seen:
-            yield rows([(TaskContext.get().partitionId(), float(seen), model.packed())])
+                cls = shared.value.classes(words)[1].astype("<u2")
+                found = [x.tobytes() for x in np.split(cls, starts[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(found, pa.binary())], names=schema.names)
+
+    shards = max(1, -(-int(shared.value.total) // (ROUNDS * SHARD)))
+    dealt = docs.select("place", "text").mapInArrow(run, schema)
+    return dealt.select(F.pmod("place", F.lit(ROUNDS)).cast("int").alias("round"), F.pmod(F.floor(F.col("place") / ROUNDS), F.lit(shards)).cast("int").alias("shard"), "place", "classes")
+
+
+def learned(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, start: np.ndarray, number: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(shard, tokens, parameters) of each shard in rows sorted by (shard, place).
+
+    Texts are gathered to MIXED tokens, wherever batches end.
+    """
+    model, shard, seen, held, size = None, None, 0, [], 0
+
+    def step() -> None:
+        cls = np.concatenate(held).astype(np.int64)
+        model.learn(cls, np.cumsum([0, *map(len, held[:-1])]))
+
+    for batch in batches:
+        for own, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if own != shard:
+                if held:
+                    step()
+                if model is not None:
+                    yield shard, seen, model.packed()
+                model, shard, seen, held, size = LogBilinear(tokens, (5, number, own)).unpack(start), own, 0, [], 0
+            held.append(np.frombuffer(raw.as_py(), "<u2"))
+            size += len(held[-1])
+            seen += len(held[-1])
+            if size >= MIXED:
+                step()
+                held, size = [], 0
+    if held:
+        step()
+    if model is not None:
+        yield shard, seen, model.packed()
+
+
+def average(found: DataFrame) -> np.ndarray | None:
+    """The mean of parameter rows (id, tokens, params), weighted by tokens."""
+    names = found.columns
 
     def mean(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = np.zeros(0), 0.0
-        for batch in batches:
-            for n, p in zip(batch.column("tokens"), batch.column("params"), strict=True):
-                part = np.frombuffer(p.as_py(), np.float32) * n.as_py()
-                total, weight = total + part if len(total) else part.astype(np.float64), weight + n.as_py()
-        yield rows([(key[0].as_py(), weight, (total / weight).astype(np.float32).tobytes())])
+        rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("id", "tokens", "params")), strict=True))
+        weight = sum(n for _, n, _ in rows)
+        total = sum(np.frombuffer(p, np.float32).astype(np.float64) * (n / weight) for _, n, p in rows)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([weight]), pa.array([total.astype(np.float32).tobytes()])], names=names)
 
-    found = materialize(docs.select("text").mapInArrow(run, schema), "lm-params")
     while (n := found.count()) > GROUP:
         # The ids of n rows lie close together, so groups stay near GROUP rows.
         groups = found.withColumn("group", F.col("id") % -(-n // GROUP)).groupBy("group")
-        found = materialize(groups.applyInArrow(mean, schema), "lm-params")
-    model = LogBilinear(vocab.tokens)
+        more = materialize(groups.applyInArrow(mean, found.schema), "lm-params", plain=True)
+        discard(found)
+        found = more
     parts = found.orderBy("id").collect()
-    if parts:
-        weight = sum(p.tokens for p in parts)
-        model.unpack(sum(np.frombuffer(p.params, np.float32).astype(np.float64) * (p.tokens / weight) for p in parts))
+    discard(found)
+    weight = sum(p.tokens for p in parts)
+    return sum(np.frombuffer(p.params, np.float32).astype(np.float64) * (p.tokens / weight) for p in parts) if parts else None
+
+
+def train(docs: DataFrame, vocab: Vocabulary) -> LogBilinear:
+    """A model of all texts of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(vocab)
+    rows = materialize(class_rows(docs.select(F.xxhash64("doc_id", "text").alias("place"), "text"), shared), "lm-classes", plain=True)
+    shared.unpersist()
+    shards = max(1, -(-int(vocab.total) // (ROUNDS * SHARD)))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("tokens", T.DoubleType()), T.StructField("params", T.BinaryType())])
+    model = LogBilinear(vocab.tokens)
+    for number in range(ROUNDS):
+        start = spark.sparkContext.broadcast((vocab.tokens, model.packed(), number))
+
+        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            for shard, seen, params in learned(batches, *start.value):
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([float(seen)]), pa.array([params.tobytes()], pa.binary())], names=schema.names)
+
+        own = rows.where(F.col("round") == number).select("shard", "place", "classes").repartitionById(shards, "shard").sortWithinPartitions("shard", "place")
+        flat = average(materialize(own.select("shard", "classes").mapInArrow(run, schema), "lm-params", plain=True))
+        start.unpersist()
+        if flat is not None:
+            model.unpack(flat)
+    discard(rows)
     return model
 
 
 class Scorer:
-    def __init__(self, vocab: Vocabulary, flat: bytes):
+    def __init__(self, vocab: Vocabulary, flat: np.ndarray):
         self.vocab = vocab
-        self.s1, self.s2, self.log_z = LogBilinear(vocab.tokens).unpack(np.frombuffer(flat, np.float32)).tables()
+        self.s1, self.s2, self.log_z = LogBilinear(vocab.tokens).unpack(flat).tables()
         self.base = np.log10((vocab.count + 1) / base_total(vocab))
         shares = np.log10((vocab.count + 1) / class_total(vocab)[vocab.cls])
         self.share = np.where(vocab.cls >= CLASSES - RARE, shares, 0.0)
@@ -298,8 +366,9 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model
     """Per row of ``docs`` (doc_id, text, held_out): doc_id, held_out, n_tokens,
     n_known, base_score, score (base 10 logarithms).
 
-    Null and empty texts are one end token.  Repeated rows are scored one by one.
-    Counts of words outside the table of frequent words come by a join.
+    Null and empty texts are one end token; texts of any length are scored whole.
+    Repeated rows are scored one by one, other columns are not looked at.  Counts of
+    words outside the table of frequent words come by a join.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast((vocab, model.packed())), uuid.uuid4().hex
     schema = T.StructType(
@@ -325,7 +394,9 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
-    cells = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(run, schema)
+    # Written, as rows are numbered in the order they come in: whatever is run again
+    # after this finds each cell under the number it had.
+    cells = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(run, schema), "lm-cells")
     totals = F.array(*(F.lit(float(x)) for x in class_total(vocab)[CLASSES - RARE :]))
     c, own = F.coalesce("n", F.lit(0)), F.col("cls").isNull()
     share = F.element_at(totals, F.col("cls") - (CLASSES - RARE) + 1)

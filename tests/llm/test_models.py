@@ -155,11 +155,57 @@ def test_log_bilinear_normaliser():
     assert np.exp(s1[3] + s2[7] - log_z[3, 7]).sum() == pytest.approx(1, rel=1e-3)
 
 
-def test_parameter_averaging_in_groups(spark, monkeypatch):
+def test_scores_do_not_depend_on_partitions_or_batches(spark, monkeypatch):
+    """Several shards a round and averaging in groups, from one partition and from many."""
     monkeypatch.setattr(language_model, "GROUP", 2)
-    docs = documents(spark, 60).select("text").repartition(7)
-    vocab = language_model.vocabulary(language_model.word_counts(docs))
-    assert np.isfinite(language_model.train(docs, vocab).R).all()
+    monkeypatch.setattr(language_model, "SHARD", 200)
+    docs = documents(spark, 200).select("doc_id", "text")
+    held = F.col("doc_id") % 5 == 0
+    results = []
+    for parts, rows in ((1, 10_000), (23, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        found = language_model.language_model_scores(docs.repartition(parts), held).collect()
+        results.append({r["doc_id"]: (r["score"], r["base_score"]) for r in found})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert results[0].keys() == results[1].keys()
+    assert all(np.allclose(results[0][i], results[1][i], rtol=1e-9) for i in results[0])
+
+
+def test_scores_equal_their_definition():
+    """log10 of the softmax over all classes, times a word's share of its class."""
+    rng = np.random.default_rng(1)
+    words = [b"", b"a", b"b", b"zz", b"rare"]
+    own = language_model.CLASSES - language_model.RARE
+    cls = np.array([0, 1, 2, language_model.rare_class(b"zz"), language_model.rare_class(b"rare")])
+    count = np.array([3, 9, 5, 2, 1])
+    tokens, kinds = np.bincount(cls, count, language_model.CLASSES), np.bincount(cls, minlength=language_model.CLASSES).astype(float)
+    vocab = language_model.Vocabulary({w: i for i, w in enumerate(words)}, count, cls, 20, 5, tokens, kinds)
+    model = language_model.LogBilinear(tokens)
+    model.R, model.Q = rng.normal(0, 0.5, model.R.shape).astype(np.float32), rng.normal(0, 0.5, model.Q.shape).astype(np.float32)
+    sums, tails = language_model.Scorer(vocab, model.packed()).score([b"A b  zz\nrare", b""])
+    for text, (n, known, base, score), tail in zip([[b"a", b"b", b"zz", b"rare", b""], [b""]], sums, tails, strict=True):
+        c1 = c2 = 0
+        want = 0.0
+        for w in text:
+            q = model.R[c1].astype(float) @ model.C1 + model.R[c2].astype(float) @ model.C2
+            z = q @ model.Q.T + model.b
+            c = cls[words.index(w)]
+            want += (z[c] - np.log(np.exp(z).sum())) / math.log(10)
+            if c >= own:
+                want += math.log10((count[words.index(w)] + 1) / (tokens[c] + kinds[c] + 1))
+            c1, c2 = c, c1
+        assert (n, known) == (len(text), len(text)) and score == pytest.approx(want, rel=1e-4) and not tail
+        assert base == pytest.approx(sum(math.log10((count[words.index(w)] + 1) / 26) for w in text))
+
+
+def test_language_model_on_empty_repeated_and_long_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, None), (3, "word " * 50_000), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    found = language_model.language_model_scores(df, F.lit(False)).collect()
+    assert sorted(r["n_tokens"] for r in found) == [1, 2, 3, 3, 50_001] and all(np.isfinite(r["score"]) for r in found)
+    assert language_model.language_model_scores(df.limit(0), F.lit(False)).isEmpty()
+    unseen = language_model.language_model_scores(df, F.lit(True)).collect()
+    assert len(unseen) == 5 and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in unseen)
 
 
 @pytest.fixture(scope="module")
