@@ -1,7 +1,7 @@
 """License scans, in DataFrame functions only (operator 4).
 
-Headers (lines, and paragraphs for those that are wrapped) and licence files are
-compared with templates by the cosine of sparse TF-IDF vectors; document frequencies
+Headers (lines, and up to three lines in a row, over which a sentence may be wrapped)
+and licence files are compared with templates by the cosine of sparse TF-IDF vectors; document frequencies
 count all documents.  What a document does not say itself it takes from the licence file
 of its nearest ancestor directory, by joins on paths.
 
@@ -23,36 +23,28 @@ from .common import materialize
 THRESHOLD = 0.6
 #: Names of licence files.
 FILES = r"(?i)^(licen[cs]e|copying|unlicense)([.].*)?$"
-#: What stands between paragraphs.
-BLANK = "\n[ \t\r]*\n"
-#: Texts that state each licence, in one line, as notices at the head of a
-#: file, or as the main paragraphs of the licence itself.
+#: Lines that a sentence may be wrapped over.
+WRAPPED = 3
+#: Sentences that state each licence, in notices or in its own text.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("BSD-2-Clause", "Use of this source code is governed by a BSD 2-Clause license"),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD 3-Clause license"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 
@@ -131,8 +123,10 @@ def own_licenses(docs: DataFrame, templates, threshold: float) -> DataFrame:
     vectors = weighted(templates, idf)
     has_anchor = r"(?i)(?<![a-z0-9])(" + "|".join(anchors(vectors, threshold)) + r")(?![a-z0-9])"
     is_file = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILES), F.lit(False))
-    told = docs.where(F.col("text").rlike(has_anchor)).select("doc_id", "path", is_file.alias("is_file"), F.concat(F.split("text", "\n"), F.split("text", BLANK)).alias("parts"), "text")
-    every = F.when(F.col("is_file"), F.array_append("parts", F.col("text"))).otherwise(F.col("parts"))
+    told = docs.where(F.col("text").rlike(has_anchor)).select("doc_id", "path", is_file.alias("is_file"), F.split("text", "\n").alias("lines"), "text")
+    rows = lambda n: f"transform(sequence(1, greatest(size(lines) - {n - 1}, 1)), i -> array_join(slice(lines, i, {n}), '\n'))"
+    parts = F.flatten(F.array(*(F.expr(rows(n)) for n in range(1, WRAPPED + 1))))
+    every = F.when(F.col("is_file"), F.array_append(parts, F.col("text"))).otherwise(parts)
     units = told.select("doc_id", "path", "is_file", F.explode(F.array_distinct(every)).alias("unit")).where(F.col("unit").rlike(has_anchor))
     units = materialize(units, "license-units")
     best = best_of(units.select("unit").distinct(), vectors, idf, unseen, threshold)
@@ -163,8 +157,8 @@ def scan(docs: DataFrame, path: str = "path", templates=TEMPLATES, threshold: fl
     """Per row of ``docs`` (doc_id, text, and a path): doc_id, path, license,
     similarity, origin (``file``, ``header``, ``inherited`` or null), inherited_from.
 
-    A document's own licence is that of its line or paragraph, or for licence files also
-    whole text, of highest cosine; of equals the last by name.  Without one it is
+    A document's own licence is that of its line, or lines in a row, or for licence files
+    also whole text, of highest cosine; of equals the last by name.  Without one it is
     inherited from the licence file nearest above it.  Null and empty texts have no
     licence of their own, null paths no ancestors.  Rows of one doc_id and path are one
     document, whose licence each of them gets.  Other columns are not looked at.
@@ -204,7 +198,9 @@ idf AS (SELECT v.term, ln((total.n + 1) / (count(dt.r) + 1)) + 1 AS idf
         FROM (SELECT DISTINCT term FROM t) v CROSS JOIN total LEFT JOIN dt ON dt.term = v.term GROUP BY v.term, total.n),
 tw AS (SELECT template, license, t.term, t.n * idf AS w, sqrt(sum(t.n * idf * t.n * idf) OVER (PARTITION BY template)) AS norm FROM t JOIN idf ON t.term = idf.term),
 f AS (SELECT doc_id, path, text, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '(?i)^(licen[cs]e|copying|unlicense)([.].*)?$') AS is_file FROM d),
-u AS (SELECT doc_id, path, is_file, unnest(string_split(text, chr(10))) AS unit FROM f UNION SELECT doc_id, path, is_file, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM f UNION SELECT doc_id, path, is_file, text FROM f WHERE is_file),
+l AS (SELECT doc_id, path, is_file, string_split(text, chr(10)) AS lines FROM f),
+u AS (SELECT doc_id, path, is_file, unnest(list_transform(range(1, greatest(len(lines) - n + 1, 1) + 1), lambda i: array_to_string(list_slice(lines, i, i + n - 1), chr(10)))) AS unit
+      FROM l, (SELECT unnest([{', '.join(map(str, range(1, WRAPPED + 1)))}]) AS n) UNION SELECT doc_id, path, is_file, text FROM f WHERE is_file),
 ut AS (SELECT unit, term, count(*) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT unit FROM u)) GROUP BY ALL),
 uw AS (SELECT unit, ut.term, tf * coalesce(idf, (SELECT ln(n + 1) + 1 FROM total)) AS w FROM ut LEFT JOIN idf ON ut.term = idf.term),
 un AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY unit),

@@ -149,7 +149,7 @@ def test_licenses_and_inheritance(spark):
 def test_licenses_of_wrapped_headers_repeats_ties_and_long_texts(spark):
     notice = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and\nassociated documentation files"
     rows = [
-        (1, "p/a.txt", f"prose before\n\n{notice}\n \nprose after"),
+        (1, "p/a.txt", f"prose before\n{notice}\nprose after"),
         (2, "p/b.txt", "Released under the MIT License"),
         (2, "p/b.txt", "Licensed under the Apache License, Version 2.0"),
         (2, "p/b.txt", "Licensed under the Apache License, Version 2.0"),
