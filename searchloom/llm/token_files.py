@@ -21,6 +21,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from .common import resident, scratch, text_slices
 #: occurrences of a pair that is replaced, and bits of the bins that pairs are counted in.
 SHARD_IDS, LEAST, BIN_BITS = 1 << 20, 16, 18
 #: Distinct pieces whose ids a worker remembers.
-PIECES = 600_000
+PIECES = 1_200_000
 
 SHARDS = T.StructType(
     [T.StructField(k, T.LongType()) for k in ("part", "shard", "first_id", "n_ids")]
@@ -62,25 +63,32 @@ class PieceIds:
 
     def clear(self) -> None:
         self.index = {"\n": 0}
-        self.flat, self.ends = [np.array([self.line], "<u4")], [np.array([1])]
-
-    def add(self, pieces: set[str], encode) -> None:
-        missing = [p for p in pieces if p not in self.index]
-        if len(self.index) + len(missing) > self.limit:
-            self.clear()
-            missing = [p for p in pieces if p != "\n"]
-        if missing:
-            missing, flat, size = encode(missing)
-            self.index.update(zip(missing, range(len(self.index), len(self.index) + len(missing)), strict=True))
-            self.flat = [np.concatenate([*self.flat, flat])]
-            self.ends = [np.concatenate([*self.ends, self.ends[-1][-1] + np.cumsum(size)])]
-
-    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the pieces laid end to end, the number of each piece)."""
-        rows = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        ends = self.ends[-1]
-        begin = np.concatenate([[0], ends[:-1]])
-        return gathered(self.flat[-1], begin[rows], (ends - begin)[rows]), rows
+        self.flat, self.ends = np.array([self.line], "<u4"), np.array([1])
+
+    def add(self, missing: list[str], encode) -> None:
+        missing, flat, size = encode(missing)
+        self.index.update(zip(missing, range(len(self.index), len(self.index) + len(missing)), strict=True))
+        self.flat = np.concatenate([self.flat, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+
+    def rows(self, pieces: list[str]) -> np.ndarray:
+        """Where each piece stands, -1 for those that are not known."""
+        return np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def ids(self, pieces: list[str], encode) -> np.ndarray:
+        """The ids of all pieces, laid end to end."""
+        rows = self.rows(pieces)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = list({pieces[i] for i in missing.tolist()})
+            if len(self.index) + len(new) > self.limit:
+                self.clear()
+                new, missing = list(set(pieces) - {"\n"}), np.arange(len(pieces))
+            if new:
+                self.add(new, encode)
+            rows[missing] = self.rows([pieces[i] for i in missing.tolist()])
+        begin = np.concatenate([[0], self.ends[:-1]])
+        return gathered(self.flat, begin[rows], (self.ends - begin)[rows])
 
 
 class ByteTokenizer:
@@ -166,8 +174,7 @@ class ByteTokenizer:
             joined = b"\n".join([texts[i] for i in plain])
         if plain:
             pieces = self.PIECE.findall(joined.decode("utf-8", "replace"))
-            self.pieces.add(set(pieces), self.encode_pieces)
-            ids, rows = self.pieces.ids(pieces)
+            ids = self.pieces.ids(pieces, self.encode_pieces)
             # Line ends between texts are dropped, those of a text get their id.
             lines = np.flatnonzero(ids == self.LINE)
             between = lines[np.cumsum([texts[i].count(b"\n") + 1 for i in plain])[:-1] - 1]
