@@ -9,6 +9,7 @@ from ..config import CONFIG, CURATED_URLS, SEED_URLS
 from ..functions.html import parse_pages
 from ..functions.text import is_allowed_language, media_card_text, normalize_text, script_profile, short_hash, site_card_text
 from ..functions.urls import hostname, normalize_url
+from ..scratch import cut_lineage
 from .quality import is_junk_url, is_low_quality, word_count
 
 C, Q = CONFIG.crawl, CONFIG.quality
@@ -16,10 +17,15 @@ C, Q = CONFIG.crawl, CONFIG.quality
 
 def numbered(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
     """A rank by a unique column without moving all rows to one task: the ranks inside
-    each range of the order, after the sizes of the ranges before it."""
+    each range of the order, after the sizes of the ranges before it.
+
+    The bounds of the ranges are drawn from a sample each time that a plan runs, so the
+    rows are written with their range, and sizes and ranks both come from that table.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_part").orderBy(order)
+    # One row for each range.
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
     return ranged.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_rank") - 1).drop("_part", "_rank", "_before")

@@ -466,11 +466,12 @@ def extractive_answer(spark, sf):
 # Link graph ------------------------------------------------------------------------
 
 LINKS_SQL = """li AS (SELECT cn.n_name AS src, sn.n_name AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey
-WHERE cn.n_nationkey <> sn.n_nationkey AND (cn.n_nationkey + 2 * sn.n_nationkey) % 7 = 0 AND cn.n_nationkey % 5 <> 0 GROUP BY ALL),
+JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE cn.n_nationkey <> sn.n_nationkey GROUP BY ALL),
 nd AS (SELECT n_name AS host, coalesce((SELECT sum(n) FROM li WHERE dst = n_name), 0) AS inlinks FROM nation),
 dg AS (SELECT src, count(*) AS degree FROM li GROUP BY src),
 r0 AS (SELECT host, (1 + inlinks) / (SELECT sum(1 + inlinks) FROM nd) AS rank FROM nd)"""
+
+
 _RANKS = ", ".join(
     f"r{i} AS MATERIALIZED (SELECT nd.host, 0.15 / 25 + 0.85 * (coalesce(g.got, 0.0) + (SELECT coalesce(sum(rank), 0.0) FROM r{i - 1} WHERE host NOT IN (SELECT src FROM dg)) / 25) AS rank FROM nd LEFT JOIN (SELECT dst, sum(rank / degree) AS got FROM li JOIN r{i - 1} ON src = host JOIN dg ON li.src = dg.src GROUP BY dst) g ON nd.host = g.dst)"
     for i in range(1, 26)
@@ -479,35 +480,14 @@ _RANKS = ", ".join(
 
 @registered(f"WITH {LINKS_SQL}, {_RANKS} SELECT r25.host, {q('least(1.0, rank / (SELECT max(rank) FROM r25) * 0.75 + sqrt(inlinks / (SELECT greatest(1, max(inlinks)) FROM nd)) * 0.25)')} AS score, inlinks::BIGINT AS inlinks FROM r25 JOIN nd ON r25.host = nd.host")
 def host_pagerank(spark, sf):
-    """Authority on a sparse part of the graph of nations: 68 of its 600 possible links,
-    with dangling nations, as its SQL has it.  ``host_authority`` has the whole graph."""
-    return nation_authority(spark, sf, ((F.col("ck") + 2 * F.col("sk")) % 7 == 0) & (F.col("ck") % 5 != 0))
-
-
-ALL_LINKS_SQL = """li AS (SELECT cn.n_name AS src, sn.n_name AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE cn.n_nationkey <> sn.n_nationkey GROUP BY ALL),
-nd AS (SELECT n_name AS host, coalesce((SELECT sum(n) FROM li WHERE dst = n_name), 0) AS inlinks FROM nation),
-dg AS (SELECT src, count(*) AS degree FROM li GROUP BY src),
-r0 AS (SELECT host, (1 + inlinks) / (SELECT sum(1 + inlinks) FROM nd) AS rank FROM nd)"""
-
-
-@registered(f"WITH {ALL_LINKS_SQL}, {_RANKS} SELECT r25.host, {q('least(1.0, rank / (SELECT max(rank) FROM r25) * 0.75 + sqrt(inlinks / (SELECT greatest(1, max(inlinks)) FROM nd)) * 0.25)')} AS score, inlinks::BIGINT AS inlinks FROM r25 JOIN nd ON r25.host = nd.host")
-def host_authority(spark, sf):
-    """Authority on the whole graph of nations: customers link to the nations of suppliers."""
-    return nation_authority(spark, sf, F.lit(True))
-
-
-def nation_authority(spark, sf, kept):
-    """Authority over the links between different nations (customer's key ck, supplier's
-    key sk) for which ``kept`` holds."""
+    """Authority on the graph of nations: customers link to the nations of suppliers."""
     t = lambda n: table(spark, sf, n)
     nation = t("nation").select("n_nationkey", "n_name")
     cn, sn = nation.select(F.col("n_nationkey").alias("ck"), F.col("n_name").alias("src")), nation.select(F.col("n_nationkey").alias("sk"), F.col("n_name").alias("dst"))
     lines = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     keys = lines.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     counted = keys.groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("n"))
-    linked = (F.col("ck") != F.col("sk")) & kept
-    links = counted.join(cn, F.col("c_nationkey") == F.col("ck")).join(sn, F.col("s_nationkey") == F.col("sk")).where(linked).select("src", "dst", "n")
+    links = counted.join(cn, F.col("c_nationkey") == F.col("ck")).join(sn, F.col("s_nationkey") == F.col("sk")).where("ck <> sk").select("src", "dst", "n")
     ranked = graph.page_rank(links, nation.select(F.col("n_name").alias("host")))
     return ranked.select("host", q6(F.col("score")).alias("score"), "inlinks")
 
@@ -646,17 +626,18 @@ def host_cap(spark, sf):
     return corpus.per_host_cap(p, "host", "page_id")
 
 
-@registered("WITH p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS pos, count(*) OVER () AS n FROM pages) SELECT page_id FROM p WHERE n <= 20 OR (pos % 12 = 0 AND pos // 12 < 20)")
+@registered("WITH p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS pos, count(*) OVER () AS n FROM pages) SELECT page_id FROM p WHERE n <= 20 OR (pos % (n // 20) = 0 AND pos // (n // 20) < 20)")
 def stride_sample(spark, sf):
-    """Twenty pages of a file of 250 lines; the stride follows from the lines."""
-    return corpus.stride_sample(table(spark, sf, "pages").select("page_id"), "page_id", 20, 250)
+    """Twenty pages from all of the table; the stride follows from its own count."""
+    p = table(spark, sf, "pages").select("page_id", "url")
+    return corpus.stride_sample(p, "page_id", 20, p.count()).select("page_id")
 
 
-@registered("WITH p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS pos, count(*) OVER () AS n FROM pages) SELECT page_id FROM p WHERE n <= 20 OR (pos % (n // 20) = 0 AND pos // (n // 20) < 20)")
-def stride_sample_counted(spark, sf):
-    """Twenty pages from all of the table; the stride follows from its own count."""
-    p = table(spark, sf, "pages").select("page_id")
-    return corpus.stride_sample(p, "page_id", 20, p.count())
+@registered("SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders")
+def row_ordinals(spark, sf):
+    """The ordinals of all orders by key."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return corpus.numbered(orders, "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @registered(rf"""WITH k AS (SELECT page_id, {_NORM} AS url, {_HOSTS} AS host FROM pages), o AS (SELECT url, host, min(page_id) AS pos FROM k GROUP BY ALL),

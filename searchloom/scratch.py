@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is unset, as in tests, a
-    temporary folder is made and set for the session."""
+    """A new path under ``spark.checkpoint.dir``.  Where that is unset, a ``local[n]``
+    master, as in tests, gets a temporary folder, set for the session; a cluster raises,
+    as its machines do not see each other's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="searchloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -22,7 +27,17 @@ def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as a table and read back."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut_lineage`` wrote and nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held(df: DataFrame, bound: int) -> DataFrame:

@@ -175,3 +175,24 @@ def test_answers_and_api(spark):
     assert api.handle("/api/v1/search")[0] == 400 and api.handle("/api/v1/none")[0] == 404
     assert "[Crawler guide](https://a.test/p)" in api.handle("/api/v1/overview?q=what+is+a+crawler")[1]["answer"]
     assert "No indexed pages" in api.handle("/api/v1/overview?q=zzqx")[1]["answer"]
+
+
+def test_ordinals_of_a_million_rows_with_a_payload(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    found = corpus.numbered(rows, "k")
+    assert found.where("ordinal <> k").isEmpty() and found.select("ordinal").distinct().count() == n
+
+
+def test_dangling_hosts_and_sparse_links(spark):
+    links = spark.createDataFrame([("a", "b", 1), ("c", "b", 2), ("b", "d", 1)], "src string, dst string, n long")
+    hosts = spark.createDataFrame([("e",)], "host string")
+    got = {r["host"]: (r["score"], r["inlinks"]) for r in graph.page_rank(links, hosts).collect()}
+    names, out = "abcde", {"a": ["b"], "c": ["b"], "b": ["d"]}
+    inlinks = {"b": 3, "d": 1}
+    rank = {h: (1 + inlinks.get(h, 0)) / 9 for h in names}
+    for _ in range(25):
+        loose = sum(rank[h] for h in names if h not in out)
+        rank = {h: 0.15 / 5 + 0.85 * (sum(rank[s] / len(d) for s, d in out.items() if h in d) + loose / 5) for h in names}
+    want = {h: (min(1.0, rank[h] / max(rank.values()) * 0.75 + math.sqrt(inlinks.get(h, 0) / 3) * 0.25), inlinks.get(h, 0)) for h in names}
+    assert got.keys() == want.keys() and all(got[h] == pytest.approx(want[h]) for h in names)
