@@ -11,6 +11,7 @@ from ..config import CONFIG
 from ..functions.ranking import idf
 from ..functions.text import normalize_phrase, tokenize
 from ..functions.urls import domain, host_labels
+from ..scratch import cut_lineage
 
 
 def with_tokens(docs: DataFrame) -> DataFrame:
@@ -32,14 +33,17 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame) -> Index:
         """From docs with doc_id, ordinal, url, title and text.  Documents without terms
-        are left out, as they can never be found."""
-        tokens = with_tokens(docs).withColumn("doc_len", F.size("tokens")).where("doc_len > 0")
+        are left out, as they can never be found.
+
+        Texts are cut to terms once: what the three tables are made from is written.
+        """
         host = domain("url")
-        own = tokens.withColumn("host", host).withColumn("host_terms", host_labels(host)).withColumn("title_terms", F.array_distinct(tokenize("title")))
+        tokens = with_tokens(docs).withColumn("doc_len", F.size("tokens")).where("doc_len > 0").withColumn("host", host).withColumn("host_terms", host_labels(host)).withColumn("title_terms", F.array_distinct(tokenize("title")))
+        tokens = cut_lineage(tokens, "tokens")
         # Words are counted before they are shuffled.
         postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
-        stats = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
-        return cls(own.drop("tokens"), postings, stats)
+        stats = tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
+        return cls(tokens.drop("tokens"), postings, stats)
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Postings are sorted by term, so a query's terms prune files and row groups."""

@@ -38,9 +38,11 @@ class TermStats:
 
 
 def term_stats(index: Index, terms) -> TermStats:
-    s = index.stats.first()
-    rows = index.postings.where(F.col("term").isin(list(terms))).groupBy("term").agg(F.count("*").alias("df")).collect() if terms else []
-    return TermStats(s["n"] or 0, s["total_len"] or 0, {r["term"]: r["df"] for r in rows})
+    """Corpus and term statistics of a query, in one job."""
+    found = index.postings.where(F.col("term").isin(list(terms))).groupBy("term").agg(F.count("*").alias("n")).select("term", "n", F.lit(0).cast("long").alias("total_len"))
+    rows = found.unionByName(index.stats.select(F.lit(None).cast("string").alias("term"), F.col("n").cast("long").alias("n"), F.col("total_len").cast("long").alias("total_len"))).collect()
+    s = next((r for r in rows if r["term"] is None), None)
+    return TermStats(s["n"] or 0 if s else 0, s["total_len"] or 0 if s else 0, {r["term"]: r["n"] for r in rows if r["term"] is not None})
 
 
 def matches(index: Index, terms) -> DataFrame:
@@ -78,26 +80,58 @@ def first_matched(plan: QueryPlan) -> Column:
 
 
 def field_factors(plan: QueryPlan) -> Column:
-    """Title, host and phrase factors multiplied."""
+    """Title and host factors multiplied."""
     n = len(plan.terms)
     terms = F.array(*map(F.lit, plan.terms))
     title = 1 + F.size(F.array_intersect("title_terms", terms)) / n * B.title
     exact = sum((F.when(is_exact_host(F.col("host"), t), 1).otherwise(0) for t in plan.terms), F.lit(0))
     host = 1 + exact / n * B.host + F.size(F.array_intersect("host_terms", terms)) / n * B.subdomain_host
+    return title * host
+
+
+def phrase_factor(plan: QueryPlan) -> Column:
+    """What the whole query in the title or the text adds."""
     phrase = plan.phrase
-    factor = F.lit(1.0)
-    if len(phrase) > 3:
-        factor = F.when(normalize_phrase("title").contains(phrase), 1 + B.phrase).when(normalize_phrase("text").contains(phrase), 1 + B.body_phrase).otherwise(1.0)
-    return title * host * factor
+    if len(phrase) <= 3:
+        return F.lit(1.0)
+    return F.when(normalize_phrase("title").contains(phrase), 1 + B.phrase).when(normalize_phrase("text").contains(phrase), 1 + B.body_phrase).otherwise(1.0)
+
+
+def without_phrase(index: Index, plan: QueryPlan, stats: TermStats) -> DataFrame:
+    """All documents with any term: doc_id, ordinal, ``plain`` (the score but for the
+    phrase), matched_terms, first_term.  Titles and texts are not read."""
+    rows = matches(index, plan.terms).join(index.docs.select("doc_id", "ordinal", "doc_len", "host", "host_terms", "title_terms"), "doc_id")
+    plain = bm25(plan, stats) * coordination(plan, stats) * field_factors(plan)
+    return rows.withColumn("plain", plain).withColumn("matched_terms", matched_terms(plan)).withColumn("first_term", first_matched(plan))
 
 
 def scored(index: Index, plan: QueryPlan, stats: TermStats) -> DataFrame:
     """All documents with any term: docs' columns, score, matched_terms, first_term."""
     rows = matches(index, plan.terms).join(index.docs, "doc_id")
-    score = bm25(plan, stats) * coordination(plan, stats) * field_factors(plan)
+    score = bm25(plan, stats) * coordination(plan, stats) * field_factors(plan) * phrase_factor(plan)
     return rows.withColumn("score", score).withColumn("matched_terms", matched_terms(plan)).withColumn("first_term", first_matched(plan))
 
 
+def best_rows(index: Index, plan: QueryPlan, stats: TermStats, k: int) -> DataFrame:
+    """The best ``k`` of ``scored``.
+
+    The phrase raises a score by a bounded factor.  A few of the best without it give a
+    score that the k-th reaches at least; what cannot reach that with the factor is out,
+    and texts are looked at for the rest alone.
+    """
+    order = [F.desc("score"), F.desc("matched_terms"), "first_term", "ordinal"]
+    narrow = ("ordinal", "doc_len", "host", "host_terms", "title_terms")
+    rows, texts = without_phrase(index, plan, stats), index.docs.drop(*narrow)
+    if len(plan.phrase) <= 3:
+        return rows.withColumn("score", F.col("plain") * 1.0).orderBy(*order).limit(k).join(texts, "doc_id")
+    most = float(max(1 + B.phrase, 1 + B.body_phrase, 1.0))
+    score = (F.col("plain") * phrase_factor(plan)).alias("score")
+    some = rows.select("doc_id", "plain").orderBy(F.desc("plain")).limit(4 * k).join(texts, "doc_id").select(score)
+    kth = some.orderBy(F.desc("score")).limit(k).agg(F.min("score"), F.count("*")).first()
+    least = kth[0] / most * (1 - 1e-9) if kth[1] == k else float("-inf")
+    return rows.where(F.col("plain") >= F.lit(least)).join(texts, "doc_id").withColumn("score", score).orderBy(*order).limit(k)
+
+
 def no_hits(index: Index) -> DataFrame:
     empty = index.docs.limit(0)
     return empty.select("doc_id", "ordinal", "url", "title", F.lit("").alias("snippet"), F.lit(0.0).alias("score"), F.lit(0).alias("matched_terms"), F.lit(0).alias("query_terms"), F.lit("").alias("lang"), F.lit(0).alias("rank"))
@@ -110,8 +144,7 @@ def search(index: Index, query: str, k: int = 10, with_snippets: bool = True) ->
     stats = term_stats(index, plan.terms)
     if not plan.terms or not stats.n:
         return no_hits(index)
-    rows = scored(index, plan, stats)
-    top = rows.orderBy(F.desc("score"), F.desc("matched_terms"), "first_term", "ordinal").limit(k)
+    top = best_rows(index, plan, stats, k)
     rank = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("matched_terms"), "first_term", "ordinal"))
     lang = F.coalesce("lang", F.lit("")) if "lang" in index.docs.columns else F.lit("")
     return top.select(

@@ -110,7 +110,7 @@ def test_index_write_read_remove(spark, tmp_path):
 @pytest.mark.parametrize(("n", "want"), [(7, range(7)), (20, range(20)), (250, range(0, 240, 12)), (2500, range(0, 2500, 125))])
 def test_counted_stride_walks_the_whole_table(spark, tmp_path, n, want):
     spark.range(n).select(F.col("id").alias("page_id")).write.parquet(str(tmp_path / "pages.parquet"))
-    assert sorted(r["page_id"] for r in queries.QUERIES["stride_sample_counted"](spark, str(tmp_path)).collect()) == list(want)
+    assert sorted(r["page_id"] for r in queries.QUERIES["stride_sample"](spark, str(tmp_path)).collect()) == list(want)
 
 
 def power_iteration(links, hosts, rounds=25):
@@ -136,7 +136,7 @@ def test_host_authority_ranks_all_links(spark, tmp_path, links):
     write("orders", [(300 + k, 100 + k) for k in keys], "o_orderkey long, o_custkey long")
     lines = [(300 + s, 200 + d) for (s, d), n in {**links, (3, 3): 2}.items() for _ in range(n)]
     write("lineitem", lines, "l_orderkey long, l_suppkey long")
-    got = {r["host"]: (r["score"], r["inlinks"]) for r in queries.QUERIES["host_authority"](spark, str(tmp_path)).collect()}
+    got = {r["host"]: (r["score"], r["inlinks"]) for r in queries.QUERIES["host_pagerank"](spark, str(tmp_path)).collect()}
     want = power_iteration({(f"n{s}", f"n{d}"): n for (s, d), n in links.items()}, [f"n{k}" for k in keys])
     assert got.keys() == want.keys()
     for h, (score, inlinks) in want.items():
@@ -196,3 +196,15 @@ def test_dangling_hosts_and_sparse_links(spark):
         rank = {h: 0.15 / 5 + 0.85 * (sum(rank[s] / len(d) for s, d in out.items() if h in d) + loose / 5) for h in names}
     want = {h: (min(1.0, rank[h] / max(rank.values()) * 0.75 + math.sqrt(inlinks.get(h, 0) / 3) * 0.25), inlinks.get(h, 0)) for h in names}
     assert got.keys() == want.keys() and all(got[h] == pytest.approx(want[h]) for h in names)
+
+
+def test_best_rows_are_those_of_all_scores(spark):
+    rows = [(f"https://h{i}.test/", f"title {i}", f"{'alpha ' * (i % 7 + 1)} beta {'alpha beta gamma' if i % 5 == 0 else 'gamma'} {PROSE}") for i in range(60)]
+    index = Index.build(docs(spark, rows))
+    for q in ("alpha beta gamma", "alpha", "beta gamma", "zq alpha"):
+        plan = query.analyze(q)
+        stats = search.term_stats(index, plan.terms)
+        key = lambda r: (-r["score"], -r["matched_terms"], r["first_term"], r["ordinal"])
+        want = sorted(search.scored(index, plan, stats).collect(), key=key)[:7]
+        got = sorted(search.best_rows(index, plan, stats, 7).collect(), key=key)
+        assert [(r["doc_id"], round(r["score"], 9)) for r in got] == [(r["doc_id"], round(r["score"], 9)) for r in want], q
