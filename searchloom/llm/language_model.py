@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,13 @@ GROUP = 16
 END = b""
 
 
+@cache
+def suffix_class(suffix: bytes) -> int:
+    return CLASSES - RARE + zlib.crc32(suffix) % RARE
+
+
 def rare_class(word: bytes) -> int:
-    return CLASSES - RARE + zlib.crc32(word[-2:]) % RARE
+    return suffix_class(word[-2:])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -92,8 +98,8 @@ class Vocabulary:
         get = self.index.get
         at = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
         cls = self.cls[at]
-        for i in np.flatnonzero(at < 0):
-            cls[i] = rare_class(words[i])
+        missing = np.flatnonzero(at < 0)
+        cls[missing] = [rare_class(words[i]) for i in missing.tolist()]
         return at, cls
 
 
@@ -122,9 +128,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 class LogBilinear:
-    """score(w | c1, c2) = (R[c1] @ C1 + R[c2] @ C2) . Q[w] + b[w]."""
+    """score(w | c1, c2) = ([R[c1], R[c2]] @ C) . Q[w, :-1] + Q[w, -1]; c1 is the nearer
+    context class."""
 
-    SHAPES = (("R", (CLASSES, SIZE)), ("Q", (CLASSES, SIZE)), ("C1", (SIZE, SIZE)), ("C2", (SIZE, SIZE)), ("b", (CLASSES,)))
+    SHAPES = (("R", (CLASSES, SIZE)), ("C", (2 * SIZE, SIZE)), ("Q", (CLASSES, SIZE + 1)))
 
     def __init__(self, tokens: np.ndarray, seed: tuple[int, ...] = (5,)):
         rng = np.random.default_rng(5)
@@ -132,9 +139,9 @@ class LogBilinear:
         self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
         self.upto = np.cumsum(self.noise)
         self.R = rng.normal(0, 0.1, (CLASSES, SIZE)).astype(np.float32)
-        self.Q = rng.normal(0, 0.1, (CLASSES, SIZE)).astype(np.float32)
-        self.C1, self.C2 = (np.eye(SIZE, dtype=np.float32) * s for s in (1.0, 0.5))
-        self.b = np.log(self.noise).astype(np.float32)
+        self.Q = rng.normal(0, 0.1, (CLASSES, SIZE + 1)).astype(np.float32)
+        self.Q[:, -1] = np.log(self.noise)
+        self.C = np.concatenate([np.eye(SIZE, dtype=np.float32), 0.5 * np.eye(SIZE, dtype=np.float32)])
         self.past = {name: np.full(shape, 1e-4, np.float32) for name, shape in self.SHAPES}
         self.rng = np.random.default_rng(seed)
 
@@ -164,36 +171,44 @@ class LogBilinear:
             return
         order = np.argsort(rows, kind="stable")
         own = rows[order]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        new = np.empty(len(own), bool)
+        new[0] = True
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        first = np.flatnonzero(new)
         grad, own = np.add.reduceat(grad[order], first, axis=0), own[first]
-        past[own] += grad * grad
-        param[own] -= RATE * grad / np.sqrt(past[own])
+        sums = past[own] + grad * grad
+        past[own] = sums
+        grad /= np.sqrt(sums)
+        grad *= RATE
+        param[own] -= grad
 
     def step(self, c2: np.ndarray, c1: np.ndarray, target: np.ndarray) -> None:
         """One step of noise-contrastive estimation; the noise is shared by the step."""
-        noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), CLASSES - 1)
-        r1, r2 = self.R[c1], self.R[c2]
-        q = r1 @ self.C1 + r2 @ self.C2
-        log_noise = self.log_noise
-        of_target = np.einsum("ij,ij->i", q, self.Q[target]) + self.b[target] - log_noise[target]
-        of_noise = q @ self.Q[noise].T + self.b[noise] - log_noise[noise]
-        g_target = (-1 / (1 + np.exp(np.clip(of_target, -30, 30)))).astype(np.float32)
-        g_noise = (1 / (1 + np.exp(np.clip(-of_noise, -30, 30)))).astype(np.float32)
-        scale = np.float32(1 / len(target))
-        g_target *= scale
-        g_noise *= scale
-        dq = g_target[:, None] * self.Q[target] + g_noise @ self.Q[noise]
-        d1, d2 = dq @ self.C1.T, dq @ self.C2.T
-        rows = np.concatenate([target, noise])
-        self.update("Q", np.concatenate([g_target[:, None] * q, g_noise.T @ q]), rows)
-        self.update("b", np.concatenate([g_target, g_noise.sum(0)]), rows)
-        self.update("C1", r1.T @ dq)
-        self.update("C2", r2.T @ dq)
-        self.update("R", np.concatenate([d1, d2]), np.concatenate([c1, c2]))
+        noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), CLASSES - 1).astype(np.uint16)
+        n = len(target)
+        context = np.concatenate([self.R[c1], self.R[c2]], axis=1)
+        q = np.ones((n, SIZE + 1), np.float32)
+        q[:, :-1] = context @ self.C
+        of_target, of_noise = self.Q[target], self.Q[noise]
+        # The gradient of each score: how far the odds against the noise are from right.
+        g_target = np.einsum("ij,ij->i", q, of_target) - self.log_noise[target]
+        g_noise = q @ of_noise.T - self.log_noise[noise]
+        g_target, g_noise = -1 / (1 + np.exp(np.minimum(g_target, 30))), 1 / (1 + np.exp(np.minimum(-g_noise, 30)))
+        g_target /= np.float32(n)
+        g_noise /= np.float32(n)
+        dq = g_target[:, None] * of_target[:, :-1] + g_noise @ of_noise[:, :-1]
+        of_context = dq @ self.C.T
+        of_q = np.empty((n + NOISE, SIZE + 1), np.float32)
+        np.multiply(q, g_target[:, None], out=of_q[:n])
+        np.matmul(g_noise.T, q, out=of_q[n:])
+        self.update("C", context.T @ dq)
+        self.update("Q", of_q, np.concatenate([target, noise]))
+        self.update("R", np.concatenate([of_context[:, :SIZE], of_context[:, SIZE:]]), np.concatenate([c1, c2]))
 
     def learn(self, cls: np.ndarray, starts: np.ndarray) -> None:
         """Steps over texts laid end to end; ``starts``: where each begins."""
-        c1, c2 = contexts(cls, starts)
+        c1, c2 = contexts(cls.astype(np.uint16), starts)
+        cls = cls.astype(np.uint16)
         order = self.rng.permutation(len(cls))
         for at in range(0, len(cls), STEP):
             i = order[at : at + STEP]
@@ -202,8 +217,8 @@ class LogBilinear:
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(S1, S2, log Z): scores by the nearer and the farther context class, and the
         normaliser of every (nearer, farther) pair."""
-        s1 = (self.R @ self.C1) @ self.Q.T
-        s2 = (self.R @ self.C2) @ self.Q.T + self.b
+        s1 = (self.R @ self.C[:SIZE]) @ self.Q[:, :-1].T
+        s2 = (self.R @ self.C[SIZE:]) @ self.Q[:, :-1].T + self.Q[:, -1]
         top1, top2 = s1.max(1, keepdims=True), s2.max(1, keepdims=True)
         z = np.exp(s1 - top1) @ np.exp(s2 - top2).T
         return s1, s2, np.log(np.maximum(z, 1e-37)) + top1 + top2.T
@@ -255,7 +270,7 @@ def learned(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, start: np.nda
     model, shard, seen, held, size = None, None, 0, [], 0
 
     def step() -> None:
-        cls = np.concatenate(held).astype(np.int64)
+        cls = np.concatenate(held)
         model.learn(cls, np.cumsum([0, *map(len, held[:-1])]))
 
     for batch in batches:
@@ -333,9 +348,9 @@ class Scorer:
         shares = np.log10((vocab.count + 1) / class_total(vocab)[vocab.cls])
         self.share = np.where(vocab.cls >= CLASSES - RARE, shares, 0.0)
 
-    def score(self, texts: list[bytes]) -> tuple[list[list], list[Counter]]:
-        """Of each text: [tokens, known, base, score] without its words outside the
-        table of frequent words, and those words."""
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], tuple[np.ndarray, pa.DictionaryArray, np.ndarray]]:
+        """(tokens, [known, base, score]) of each text without its words outside the
+        table of frequent words, and (text, word, number) of those."""
         words, starts = laid_out(texts)
         at, cls = self.vocab.classes(words)
         c1, c2 = contexts(cls, starts)
@@ -344,13 +359,14 @@ class Scorer:
         base = np.where(known, self.base[at], 0.0)
         log_p += np.where(known, self.share[at], 0.0)
         known &= self.vocab.count[at] > 0
-        ends = np.r_[starts[1:], len(words)]
-        sums = [np.add.reduceat(x, starts).tolist() for x in (known.astype(np.int64), base, log_p)]
-        tail = [Counter() for _ in texts]
-        of = np.searchsorted(starts, missing := np.flatnonzero(at < 0), side="right") - 1
-        for t, i in zip(of.tolist(), missing.tolist(), strict=True):
-            tail[t][words[i]] += 1
-        return [list(x) for x in zip((ends - starts).tolist(), *sums, strict=True)], tail
+        sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, log_p)]
+        missing = np.flatnonzero(at < 0)
+        of = np.searchsorted(starts, missing, side="right") - 1
+        coded = pa.array([words[i] for i in missing.tolist()], pa.binary()).dictionary_encode()
+        kinds = max(1, len(coded.dictionary))
+        pair, n = np.unique(of * kinds + coded.indices.to_numpy(), return_counts=True)
+        tail = pa.DictionaryArray.from_arrays(pa.array((pair % kinds).astype(np.int32)), coded.dictionary)
+        return np.append(starts[1:], len(words)) - starts, sums, (pair // kinds, tail, n)
 
 
 def base_total(vocab: Vocabulary) -> float:
@@ -381,18 +397,27 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = resident(("scorer", key), lambda: Scorer(*shared.value))
         row = TaskContext.get().partitionId() << 33
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32())
         for batch in batches:
-            ids, held = batch.column(0), batch.column(2)
             for start, texts in text_slices(batch, "text"):
-                sums, tails = own.score(texts)
-                rows = []
-                for i, (own_sums, tail) in enumerate(zip(sums, tails, strict=True)):
-                    # A key that no word has, and no other row: the join leaves it alone.
-                    rows.append((row, ids[start + i].as_py(), held[start + i].as_py(), *own_sums, b" %d" % row, None))
-                    rows += [(row, None, None, n, None, None, None, w, rare_class(w)) for w, n in tail.items()]
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
+                n, (known, base, score), (of, words, times) = own.score(texts)
+                rows, rest = row + np.arange(len(texts)), len(of)
+                # A key that no word has, and no other row: the join leaves it alone.
+                keys = pa.array([b" %d" % r for r in rows.tolist()], pa.binary())
+                cls = np.array([rare_class(w) for w in words.dictionary.to_pylist()], np.int32)[words.indices.to_numpy()]
+                none = lambda kind, k=rest: pa.nulls(k, kind)
+                columns = [
+                    (pa.array(rows), pa.array(row + of)),
+                    (batch.column(0).slice(start, len(texts)), none(pa.int64())),
+                    (batch.column(2).slice(start, len(texts)), none(pa.bool_())),
+                    (pa.array(n), pa.array(times)),
+                    (pa.array(known), none(pa.int64())),
+                    (pa.array(base), none(pa.float64())),
+                    (pa.array(score), none(pa.float64())),
+                    (keys, words.cast(pa.binary())),
+                    (pa.nulls(len(texts), pa.int32()), pa.array(cls, pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=schema.names)
+                row += len(texts)
 
     # Written, as rows are numbered in the order they come in: whatever is run again
     # after this finds each cell under the number it had.

@@ -171,6 +171,37 @@ def test_scores_do_not_depend_on_partitions_or_batches(spark, monkeypatch):
     assert all(np.allclose(results[0][i], results[1][i], rtol=1e-9) for i in results[0])
 
 
+def test_a_step_follows_the_gradient_of_noise_contrastive_estimation(monkeypatch):
+    """Against differences of the objective, with the noise that the step draws."""
+    rng = np.random.default_rng(2)
+    tokens = rng.integers(1, 50, language_model.CLASSES).astype(float)
+    model = language_model.LogBilinear(tokens)
+    model.Q = rng.normal(0, 0.5, model.Q.shape).astype(np.float32)
+    c2, c1, target = (rng.integers(0, language_model.CLASSES, 6).astype(np.uint16) for _ in range(3))
+    noise = np.minimum(np.searchsorted(model.upto, np.random.default_rng(9).random(language_model.NOISE)), language_model.CLASSES - 1)
+    got = {}
+    monkeypatch.setattr(language_model.LogBilinear, "update", lambda self, name, grad, rows=None: got.update({name: (grad, rows)}))
+    model.rng = np.random.default_rng(9)
+    model.step(c2, c1, target)
+
+    def objective(p):
+        q = np.concatenate([p["R"][c1], p["R"][c2]], 1) @ p["C"]
+        z = q @ p["Q"][:, :-1].T + p["Q"][:, -1] - np.log(language_model.NOISE * model.noise)
+        return (np.log1p(np.exp(-z[np.arange(6), target])).sum() + np.log1p(np.exp(z[:, noise])).sum()) / 6
+
+    params = {k: getattr(model, k).astype(float) for k in ("R", "C", "Q")}
+    for name, places in (("C", [(3, 4), (40, 2)]), ("Q", [(int(target[0]), 5), (int(noise[0]), 32), (int(noise[1]), 0)]), ("R", [(int(c1[0]), 7), (int(c2[1]), 1)])):
+        grad, rows = got[name]
+        for i, j in places:
+            at = {k: v.copy() for k, v in params.items()}
+            at[name][i, j] += 1e-5
+            up = objective(at)
+            at[name][i, j] -= 2e-5
+            slope = (up - objective(at)) / 2e-5
+            own = grad[i, j] if rows is None else grad[rows == i, j].sum()
+            assert own == pytest.approx(slope, rel=2e-3, abs=1e-6)
+
+
 def test_scores_equal_their_definition():
     """log10 of the softmax over all classes, times a word's share of its class."""
     rng = np.random.default_rng(1)
@@ -182,20 +213,23 @@ def test_scores_equal_their_definition():
     vocab = language_model.Vocabulary({w: i for i, w in enumerate(words)}, count, cls, 20, 5, tokens, kinds)
     model = language_model.LogBilinear(tokens)
     model.R, model.Q = rng.normal(0, 0.5, model.R.shape).astype(np.float32), rng.normal(0, 0.5, model.Q.shape).astype(np.float32)
-    sums, tails = language_model.Scorer(vocab, model.packed()).score([b"A b  zz\nrare", b""])
-    for text, (n, known, base, score), tail in zip([[b"a", b"b", b"zz", b"rare", b""], [b""]], sums, tails, strict=True):
+    sizes, sums, tail = language_model.Scorer(vocab, model.packed()).score([b"A b  zz\nrare", b""])
+    assert not len(tail[0])
+    for text, n, known, base, score in zip([[b"a", b"b", b"zz", b"rare", b""], [b""]], sizes, *sums, strict=True):
         c1 = c2 = 0
         want = 0.0
         for w in text:
-            q = model.R[c1].astype(float) @ model.C1 + model.R[c2].astype(float) @ model.C2
-            z = q @ model.Q.T + model.b
+            q = model.R[c1].astype(float) @ model.C[: language_model.SIZE] + model.R[c2].astype(float) @ model.C[language_model.SIZE :]
+            z = q @ model.Q[:, :-1].T + model.Q[:, -1]
             c = cls[words.index(w)]
             want += (z[c] - np.log(np.exp(z).sum())) / math.log(10)
             if c >= own:
                 want += math.log10((count[words.index(w)] + 1) / (tokens[c] + kinds[c] + 1))
             c1, c2 = c, c1
-        assert (n, known) == (len(text), len(text)) and score == pytest.approx(want, rel=1e-4) and not tail
+        assert (n, known) == (len(text), len(text)) and score == pytest.approx(want, rel=1e-4)
         assert base == pytest.approx(sum(math.log10((count[words.index(w)] + 1) / 26) for w in text))
+    _, _, (of, found, times) = language_model.Scorer(vocab, model.packed()).score([b"new a NEW", b"", b"new other"])
+    assert list(zip(of.tolist(), found.to_pylist(), times.tolist(), strict=True)) == [(0, b"new", 2), (2, b"new", 1), (2, b"other", 1)]
 
 
 def test_language_model_on_empty_repeated_and_long_rows(spark):
