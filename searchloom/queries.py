@@ -138,13 +138,38 @@ QUESTION_TERMS = ["how", "does", "nder", "ingth", "zzqx", "work", "src3"]
 FOCUS = ["nder", "ingth", "zzqx", "src3"]
 
 
-def coord_sql() -> str:
-    at = {t: i for i, t in enumerate(QUESTION_TERMS)}
-    w = {t: f"(CASE WHEN df_{at[t]} > 0 THEN 1.0 ELSE 0.35 END)" for t in FOCUS}
-    got = " + ".join(f"(CASE WHEN tf_{at[t]} > 0 THEN {w[t]} ELSE 0.0 END)" for t in FOCUS)
+def coord_sql(terms: list[str] = QUESTION_TERMS, focus: list[str] = FOCUS) -> str:
+    at = {t: i for i, t in enumerate(terms)}
+    w = {t: f"(CASE WHEN df_{at[t]} > 0 THEN 1.0 ELSE 0.35 END)" for t in focus}
+    got = " + ".join(f"(CASE WHEN tf_{at[t]} > 0 THEN {w[t]} ELSE 0.0 END)" for t in focus)
     return f"pow(({got})::DOUBLE / ({' + '.join(w.values())})::DOUBLE, 1.6)"
 
 
+def search_sql(terms: list[str], focus: list[str], subject: str, k: int) -> str:
+    """CTEs up to ``hits``: the rows of one search."""
+    plain = "regexp_replace(lower(v), '[^a-z0-9à-ÿ]', '', 'g')"
+    hit = " OR ".join(f"{plain} = '{t}'" + (f" OR starts_with({plain}, '{t}')" if len(t) >= 4 else "") for t in terms)
+    some = " + ".join(f"(CASE WHEN tf_{i} > 0 THEN 1 ELSE 0 END)" for i in range(len(terms)))
+    first = "CASE " + " ".join(f"WHEN tf_{i} > 0 THEN {i}" for i in range(len(terms))) + " END"
+    return f"""{bm25_sql(terms)},
+sc AS (SELECT doc_id, url, title, text, lang, {full_sql(terms, coord_sql(terms, focus), subject)} AS raw, {some} AS matched, {first} AS ft FROM m),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY raw DESC, matched DESC, ft, doc_id) AS rank FROM sc) WHERE rank <= {k}),
+w AS (SELECT doc_id, {wrds("text")} AS words FROM top),
+x AS (SELECT doc_id, words, len(words) AS n, list_transform(words, lambda v: CASE WHEN {hit} THEN 1 ELSE 0 END) AS hits FROM w),
+p AS (SELECT doc_id, i - 1 AS start, list_sum(list_slice(hits, i, i + 33)) AS s FROM x, unnest(range(1, n - 34 + 2)) AS t(i) WHERE n >= 34),
+b AS (SELECT doc_id, CASE WHEN max(s) = 0 THEN 0 ELSE arg_min(start, (-s, start)) END AS start FROM p GROUP BY doc_id),
+sn AS (SELECT x.doc_id, CASE WHEN n = 0 THEN '' ELSE (CASE WHEN coalesce(start, 0) > 0 THEN '…' ELSE '' END) || array_to_string(list_slice(words, coalesce(start, 0) + 1, coalesce(start, 0) + 34), ' ') || (CASE WHEN coalesce(start, 0) + 34 < n THEN '…' ELSE '' END) END AS snippet FROM x LEFT JOIN b ON x.doc_id = b.doc_id),
+hits AS (SELECT top.doc_id, top.doc_id AS ordinal, url, CASE WHEN title = '' THEN url ELSE title END AS title, snippet, {q("raw", 3)} AS score, matched::INTEGER AS matched_terms, {len(terms)}::INTEGER AS query_terms, coalesce(lang, '') AS lang, rank::INTEGER AS rank
+         FROM top JOIN sn ON top.doc_id = sn.doc_id)"""
+
+
+def sources_sql(terms: list[str], focus: list[str], subject: str, limit: int) -> str:
+    """CTEs up to ``sources``: the best of 25 hits with trust in those of ``src1``."""
+    return f"""{search_sql(terms, focus, subject, 25)},
+trusting AS (SELECT *, {q("(score * 1.0 * CASE WHEN contains(url, 'src1') THEN 1.2 ELSE 0.3 END)", 3)} AS trusted FROM hits),
+sources AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY trusted DESC, rank) AS position FROM trusting) WHERE position <= {limit})"""
+
+
 @registered(f"WITH {bm25_sql(QUESTION_TERMS)} SELECT doc_id, {q(coord_sql())} AS coordination FROM m")
 def coordination(spark, sf):
     index, plan = doc_index(spark, sf), query.analyze(QUESTION)
@@ -436,7 +461,7 @@ def expansion_weights(spark, sf):
     return counts.join(df, "term").groupBy("term").agg(q6(F.sum(F.col("n") * F.ln(1 + F.col("n_docs") / F.col("df")))).alias("weight"))
 
 
-@registered()
+@registered(f"WITH {search_sql(QUESTION_TERMS, FOCUS, QUESTION, 20)} SELECT * FROM hits")
 def search_hits(spark, sf):
     return search.search(doc_index(spark, sf), QUESTION, 20)
 
@@ -452,13 +477,18 @@ def run_search(spark, sf):
     return search.api_rows(found)
 
 
-@registered()
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(snippet, '^…', ''), '…$', ''), '\s+', ' ', 'g'))"
+
+
+@registered(f"""WITH {sources_sql(["what", "nder", "ingth"], ["nder", "ingth"], "what is nder ingth", 6)}
+SELECT trim('From the pages we crawled: ' || string_agg({_CLEAN} || ' [' || CASE WHEN length(title) > 48 THEN substring(title, 1, 47) || '…' ELSE title END || '](' || url || ')', ' ' ORDER BY position)) AS text FROM sources WHERE position <= 3""")
 def overview(spark, sf):
     hits = answers.sources(doc_index(spark, sf), "what is nder ingth", 6, trusted=F.col("url").contains("src1"))
     return answers.extractive_overview(hits, "what")
 
 
-@registered()
+@registered(f"""WITH {sources_sql(["nder", "ingth"], ["nder", "ingth"], "nder ingth", 5)}
+SELECT string_agg(position || '. [' || title || '](' || url || ') — ' || snippet, chr(10) ORDER BY position) AS text FROM sources""")
 def extractive_answer(spark, sf):
     return answers.extractive_answer(answers.sources(doc_index(spark, sf), "nder ingth", 5, trusted=F.col("url").contains("src1")))
 
