@@ -65,7 +65,7 @@ def test_vectors_and_countries_of_tables(spark):
     asked = spark.createDataFrame([("1.1.1.1",), ("2.2.2.2",), (None,)], "ip string")
     known = spark.createDataFrame([("1.1.1.1", "it"), ("1.1.1.1", "it")], "ip string, country string")
     assert sorted(r["country"] for r in vectors.with_country(asked, known).collect()) == ["IT", "XX", "XX"]
-    with pytest.raises(ValueError, match="shared"):
+    with pytest.raises(ValueError, match="share"):
         from searchloom import scratch
 
         class Cluster:
