@@ -20,7 +20,7 @@ from searchloom.functions.html import parse_pages
 from searchloom.operators.index import Index
 from searchloom.plans import search
 
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
 
 def main() -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .config import BLOCKED_HOST_PREFIXES, BLOCKED_HOSTS, BLOCKED_PATH_PATTERNS, BLOCKED_PATH_SEGMENTS, CONFIG, COUNTRY_LANGS, COUNTRY_TLDS, CURATED_HOSTS, INTENTS, LATIN, QUESTION_NOISE, SCRIPTS, STOPWORDS
+from .config import BLOCKED_HOST_PREFIXES, BLOCKED_HOSTS, BLOCKED_PATH_PATTERNS, BLOCKED_PATH_SEGMENTS, CONFIG, COUNTRY_LANGS, COUNTRY_TLDS, CURATED_HOSTS, INTENTS, LATIN, QUESTION_NOISE, SCRIPTS, STOPWORDS, TRUSTED_HOSTS
 from .functions import html, ranking, text, urls
 from .operators import corpus, graph, quality, reports
 from .operators.index import Index
@@ -581,6 +581,56 @@ def domain_facets(spark, sf):
     return reports.facet_counts(p)
 
 
+_UNDER = "EXISTS (SELECT 1 FROM {0} WHERE host = name OR ends_with(host, '.' || name))"
+
+
+def listed_sql(hosts) -> str:
+    return "(SELECT unnest([" + text.sql_list(hosts) + "]) AS name)"
+
+
+@registered(f"""WITH h AS (SELECT DISTINCT {DOMAIN.format("url")} AS host FROM pages UNION SELECT unnest([{text.sql_list(TRUSTED_HOSTS)}]) UNION SELECT 'sub.' || name FROM {listed_sql(TRUSTED_HOSTS)} UNION SELECT 'not' || name FROM {listed_sql(TRUSTED_HOSTS)})
+SELECT host, {_UNDER.format(listed_sql(TRUSTED_HOSTS))} AS trusted, {_UNDER.format(listed_sql(CURATED_HOSTS))} AS curated FROM h""")
+def host_trust(spark, sf):
+    """The real host lists, on the hosts of the pages, the listed ones, hosts under them
+    and hosts that only end alike."""
+    listed = spark.createDataFrame([(h,) for h in TRUSTED_HOSTS], "host string")
+    hosts = table(spark, sf, "pages").select(urls.domain("url").alias("host")).unionByName(listed)
+    for lead in ("sub.", "not"):
+        hosts = hosts.unionByName(listed.select(F.concat(F.lit(lead), "host").alias("host")))
+    return hosts.distinct().select("host", urls.is_trusted(F.col("host")).alias("trusted"), urls.is_curated(F.col("host")).alias("curated"))
+
+
+_IPS = "(user_id * 7 % 256) || '.' || (event_id % 256) || '.1.' || (user_id % 256)"
+
+
+@registered(rf"""WITH a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' ' || {_IPS} || ', 9.9.9.9' WHEN 1 THEN '' END AS forwarded, CASE WHEN event_id % 4 < 3 THEN ' ' || {_IPS} || ' ' END AS real FROM events),
+c AS (SELECT event_id, coalesce(nullif(trim(split_part(forwarded, ',', 1)), ''), nullif(trim(real), ''), '127.0.0.1') AS ip FROM a)
+SELECT event_id, ip, regexp_matches(ip, '^(127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)') AS is_local FROM c""")
+def client_addresses(spark, sf):
+    """The address of each request, of its proxy's header or its own, and whether it is a
+    local one."""
+    own = F.expr("concat(user_id * 7 % 256, '.', event_id % 256, '.1.', user_id % 256)")
+    kind = F.col("event_id") % 4
+    forwarded = F.when(kind == 0, F.concat(F.lit(" "), own, F.lit(", 9.9.9.9"))).when(kind == 1, "")
+    ip = urls.client_ip(forwarded, F.when(kind < 3, F.concat(F.lit(" "), own, F.lit(" "))))
+    return table(spark, sf, "events").select("event_id", ip.alias("ip")).select("event_id", "ip", urls.is_local_ip(F.col("ip")).alias("is_local"))
+
+
+@registered(r"""SELECT doc_id, regexp_replace(text, '(?i)\b(nder|ingth|the)\b', '<mark>\1</mark>', 'g') AS marked, substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 4000) AS sent FROM documents""")
+def marked_and_sent(spark, sf):
+    """Texts with a query's words marked, and as an embedding service is sent them."""
+    return table(spark, sf, "documents").select("doc_id", text.marked("text", ["nder", "ingth", "the"]).alias("marked"), text.truncated("text").alias("sent"))
+
+
+@registered(f"""WITH l AS (SELECT {DOMAIN.format("a.url")} AS src, {DOMAIN.format("b.url")} AS dst FROM pages a JOIN pages b ON b.page_id IN (a.page_id + 1, a.page_id + 7))
+SELECT src, dst, count(*)::BIGINT AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL""")
+def host_links(spark, sf):
+    """Links between the hosts of documents; each page links to two later ones."""
+    p = table(spark, sf, "pages").select("page_id", "url")
+    ahead = p.select(F.explode(F.array(F.col("page_id") - 1, F.col("page_id") - 7)).alias("page_id"), F.col("url").alias("link"))
+    return graph.host_links(p.join(ahead.groupBy("page_id").agg(F.collect_list("link").alias("outlinks")), "page_id"))
+
+
 _FINAL = f"""fr AS (SELECT page_id, url, lang, length(text) / 1000.0 AS score, {_KIND} AS type, {DOMAIN.format("url")} AS domain, {_TRUSTED} AS trusted FROM pg),
 fs AS (SELECT page_id, domain, type, {q(f"score * 1.0 * ({_LANG}) * (1 + 1.8 * sqrt(CASE WHEN trusted THEN 0.55 ELSE 0.0 END)) * (CASE WHEN trusted THEN 1.2 ELSE 0.3 END) * (CASE WHEN type = 'image' THEN 1.9 ELSE 1 / 3.0 END)", 3)} AS score FROM fr)"""
 
@@ -642,6 +692,17 @@ def semantic_lift(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(lift, "doc_id", "left").select("doc_id", q6(1 + CONFIG.ranking.semantic * F.coalesce("lift", F.lit(0.0))).alias("factor"))
 
 
+@registered(f"""WITH {VEC_SQL}, b AS (SELECT vec_id, list_transform(q, lambda x: x * scale) AS s FROM qv),
+l AS (SELECT b.vec_id, greatest({_COS}, 0.0) AS lift FROM b, (SELECT e FROM qv WHERE vec_id = 0) a)
+SELECT doc_id, {q("(1 + 0.6 * coalesce(lift, 0.0))")} AS factor FROM documents LEFT JOIN (SELECT * FROM l WHERE lift > 0) l ON doc_id = vec_id""")
+def semantic_lift_all(spark, sf):
+    """``semantic_lift`` with every vector as a candidate."""
+    v = quantized(spark, sf).select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("ordinal"), "embedding", "vec")
+    first = [float(x) for x in v.where("doc_id = 0").first()["embedding"]]
+    lift = search.semantic_lift(v, first, None)
+    return table(spark, sf, "documents").select("doc_id").join(lift, "doc_id", "left").select("doc_id", q6(1 + CONFIG.ranking.semantic * F.coalesce("lift", F.lit(0.0))).alias("factor"))
+
+
 @registered("SELECT count(*)::BIGINT AS total, count(CASE WHEN label <> 0 THEN 1 END)::BIGINT AS embedded, floor(count(CASE WHEN label <> 0 THEN 1 END) / count(*) * 100 + 0.5)::BIGINT AS percent FROM embeddings")
 def embedding_coverage(spark, sf):
     return reports.embedding_coverage(table(spark, sf, "embeddings").select(F.when(F.col("label") != 0, F.col("embedding")).alias("vec")))
