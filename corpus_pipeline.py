@@ -16,13 +16,22 @@ from searchloom.llm.common import materialize, read_table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """The columns of documents, and ``lang_score`` once the language stage has added it."""
+    return docs.select(*COLUMNS, *(c for c in docs.columns if c == "lang_score"))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language the models reject: texts that are null, empty,
-    without letters, or unlike every language learned.  Learns from the labelled rows;
-    without any, every text with letters is ``und`` and stays.  Repeated rows are
-    judged alike, columns beside those of documents are left out."""
+    """Puts the language found in place of the label, with its probability as
+    ``lang_score``; both go on to the result.  Drops documents whose language the models
+    reject (texts that are null, empty, without letters, or unlike every language
+    learned; no learned text is unlike all) or leave open: no language more probable than
+    all others together.  Learns from the labelled rows; without any, every text with
+    letters is ``und`` and stays.  Repeated rows are judged alike, columns beside those of
+    documents are left out."""
     model = language_id.train(docs.select("doc_id", "text", "lang"))
-    return language_id.identify(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
+    found = language_id.identify(docs.select(*COLUMNS), model).where(~F.col("rejected") & (F.col("score") > 0.5))
+    return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars", F.col("score").alias("lang_score"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,28 +40,28 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     together; rows without one, and texts without words, stay."""
     groups = near_dup.near_duplicates(docs.select("doc_id", "text"))
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti").select(*COLUMNS)
+    return carried(docs.join(gone, docs.doc_id == gone.gone_id, "left_anti"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of ``benchmark``, each row by its own text;
     null and empty texts stay."""
-    return decontaminate.decontaminated(docs, read_table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return carried(decontaminate.decontaminated(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts by a mark and counts their characters again; every
     row stays, null and empty texts as they are."""
     forest = secrets_scan.train(secrets_scan.labelled_findings())
-    clean = secrets_scan.redacted(docs.select(*COLUMNS), forest)
+    clean = secrets_scan.redacted(carried(docs), forest)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per row the ids of its text, their number and the digests of ids and of the text
-    that they decode to; null and empty texts have no ids."""
+    """Per row, in place of its text, the ids of the text, their number and the digests of
+    ids and of the text that they decode to; null and empty texts have no ids."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.encode_documents(docs.select("doc_id", "text"), path).drop("text")
+    return bpe.encode_documents(carried(docs), path).drop("text")
 
 
 STAGES = [

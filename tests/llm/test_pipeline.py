@@ -29,3 +29,25 @@ def test_empty_table_and_extra_columns(spark, tmp_path):
         found = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         assert [r["doc_id"] for r in found] == [r[0] for r in rows if r[1]]
         assert all(r["n_tokens"] > 0 for r in found)
+
+
+def test_language_stage_tells_what_follows(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    kinds = {"en": BASE.split(), "fr": "eau oux ment ait que les des une éch tré pour vie lle ois".split(), "xx": "zok vub kij wug yaz pok juv".split()}
+    text = lambda lang: " ".join(rng.choice(kinds[lang]) + rng.choice(kinds[lang]) for _ in range(60))
+    texts = [("en", text("en")) for _ in range(40)] + [("fr", text("fr")) for _ in range(40)]
+    rows = [(i, t, lang, "src1") for i, (lang, t) in enumerate(texts)]
+    rows += [(100, text("fr"), "en", "src1"), (101, text("en"), None, "src1")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(*r, len(r[1])) for r in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a passage of some words that nothing holds")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {i: r["lang"] for i, r in found.items()} == {**{i: lang for i, (lang, _) in enumerate(texts)}, 100: "fr", 101: "en"}
+    assert all(0.5 < r["lang_score"] <= 1 and r["source"] == "src1" and r["n_chars"] == len(dict((x[0], x[1]) for x in rows)[i]) for i, r in found.items())
+    # Texts that have two labels equally often have neither.
+    both = [(i, t, lang, "src1", len(t)) for i, t in enumerate(text("xx") for _ in range(20)) for lang in ("a", "b")]
+    docs = spark.createDataFrame([*both, *((*r, len(r[1])) for r in rows[:80])], schema)
+    kept = corpus_pipeline.language_stage(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(80)) and {r["lang"] for r in kept} == {"en", "fr"}
