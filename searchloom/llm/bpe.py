@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -220,7 +221,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
     for, ``token_ids``; columns of these names in ``docs`` are replaced.
 
     Null and empty texts have no tokens.  Every text is encoded whole.  Memory is
-    bounded by the caches and by one slice of texts; no row leaves its partition.
+    bounded by the caches, one batch of rows and the ids of one slice of its texts; no
+    row leaves its partition.
     """
     made = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     if ids:
@@ -232,8 +234,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = opened(path)
         for batch in batches:
-            n, sha, back, lists = [], [], [], []
-            for _, texts in text_slices(batch, text):
+            for start, texts in text_slices(batch, text):
+                n, sha, back, lists = [], [], [], []
                 words = [t.split() for t in texts]
                 tokenizer.chunks.fill(set().union(*words), tokenizer.strings)
                 cache = tokenizer.chunks
@@ -243,13 +245,15 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
                     n.append(sum(x[0] for x in found))
                     sha.append(hashlib.sha256(joined).hexdigest())
                     back.append(hashlib.sha256(b" ".join([x[2] for x in found])).hexdigest())
-                    if ids:
-                        lists.append([int(i) for i in joined.split()])
-            columns = [batch.column(batch.schema.get_field_index(k)) for k in names]
-            columns += [pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
-            if ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *made])
+                    if ids and joined:
+                        lists.append(np.fromstring(joined, np.int32, sep=" "))
+                part = batch.slice(start, len(texts))
+                columns = [part.column(part.schema.get_field_index(k)) for k in names]
+                columns += [pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
+                if ids:
+                    ends = np.cumsum([0, *n], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *lists])))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *made])
 
     return docs.mapInArrow(run, schema)
 

@@ -53,3 +53,27 @@ def test_documents(spark):
     assert bpe.encode_documents(df.limit(0), PATH).isEmpty()
     clash = df.withColumn("n_tokens", df.doc_id).withColumn("extra", df.doc_id)
     assert "extra" in bpe.encode_documents(clash, PATH).columns and bpe.encode_documents(clash, PATH).columns.count("n_tokens") == 1
+
+
+def test_ids_leave_slice_by_slice():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from searchloom.llm.common import SLICE_BYTES
+
+    class Rows:
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [*("word of a slice " * (SLICE_BYTES // 64) for _ in range(10)), None, "", "last"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(13)), pa.array(texts)], names=["doc_id", "text"])
+    found = list(bpe.encode_documents(Rows(), PATH)(iter([batch.slice(0, 0), batch])))
+    assert [len(b) for b in found] == [4, 4, 5]
+    rows = pa.Table.from_batches(found).to_pylist()
+    library = Tokenizer.from_file(PATH)
+    assert [r["doc_id"] for r in rows] == list(range(13))
+    for r in (rows[0], rows[9], *rows[10:]):
+        assert r["token_ids"] == library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(r["token_ids"])
