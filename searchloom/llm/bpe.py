@@ -29,6 +29,8 @@ from .common import BoundedCache, resident, text_slices
 
 #: Distinct whitespace-free chunks and token pairs that one worker remembers.
 CHUNKS, PAIRS = 500_000, 1_000_000
+#: Chunks that it remembers where ids are asked for.
+CHUNKS_WITH_IDS = 100_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -167,7 +169,7 @@ class WordTokenizer:
     #: Pre-tokens of a lower-cased ASCII chunk; beyond ASCII the library splits.
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CHUNKS):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
@@ -177,7 +179,7 @@ class WordTokenizer:
         self.around = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.encoder = TrieEncoder(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
         self.token = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        self.chunks = BoundedCache(CHUNKS)
+        self.chunks = BoundedCache(remembered)
 
     def pieces(self, chunk: bytes) -> list[str | int]:
         """Pre-tokens of a chunk without ASCII white space; special tokens as ids."""
@@ -211,9 +213,9 @@ class WordTokenizer:
         return [i for c in self.encode_chunks(text.encode().split()) for i in c]
 
 
-def opened(path: str) -> WordTokenizer:
+def opened(path: str, remembered: int = CHUNKS) -> WordTokenizer:
     """One tokenizer for each worker process."""
-    return resident(("words", path), lambda: WordTokenizer(path))
+    return resident(("words", path, remembered), lambda: WordTokenizer(path, remembered))
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool = True) -> DataFrame:
@@ -232,7 +234,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = opened(path)
+        tokenizer = opened(path, CHUNKS_WITH_IDS if ids else CHUNKS)
         for batch in batches:
             for start, texts in text_slices(batch, text):
                 n, sha, back, lists = [], [], [], []
