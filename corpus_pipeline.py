@@ -6,12 +6,15 @@ Parquet to the shared folder and reads again as the next stage's documents.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.llm import bpe, decontaminate, language_id, near_dup, secrets_scan
-from searchloom.llm.common import materialize, read_table
+from searchloom.llm.common import bound_batches, materialize, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,6 +24,18 @@ def carried(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS, *(c for c in docs.columns if c == "lang_score"))
 
 
+def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` with batches to Python workers that are bounded in bytes."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@bounded
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the language found in place of the label, with its probability as
     ``lang_score``; both go on to the result.  Drops documents whose language the models
@@ -34,6 +49,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars", F.col("score").alias("lang_score"))
 
 
+@bounded
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the smallest doc_id (five-word shingles,
     similarity 0.8).  Rows that repeat a doc_id are one document: they stay or go
@@ -43,12 +59,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return carried(docs.join(gone, docs.doc_id == gone.gone_id, "left_anti"))
 
 
+@bounded
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of ``benchmark``, each row by its own text;
     null and empty texts stay."""
     return carried(decontaminate.decontaminated(docs, read_table(spark, sf_dir, "benchmark")))
 
 
+@bounded
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts by a mark and counts their characters again; every
     row stays, null and empty texts as they are."""
@@ -57,6 +75,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
+@bounded
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row, in place of its text, the ids of the text, their number and the digests of
     ids and of the text that they decode to; null and empty texts have no ids."""

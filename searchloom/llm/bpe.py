@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, resident, text_slices
+from .common import BoundedCache, resident, text_slices, trim
 
 #: Distinct whitespace-free chunks and token pairs that one worker remembers.
 CHUNKS, PAIRS = 500_000, 1_000_000
@@ -58,7 +58,10 @@ class TrieEncoder:
         for t, i in self.final.items():
             self.symbols[i] = (*t[:-1], t[-1] + end)
         self.longest = max(map(len, self.symbols.values()))
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: Whether two tokens may stand together, by ``left * width + right``; tokens that
+        #: merging their own symbols gives, by ``-1 - token``.
+        self.fits: dict[int, bool] = {}
+        self.width = 1 + max(vocab.values())
         self.halves = {"".join(p): p for p in reversed(pairs)}
         self.spines: tuple[dict, dict] = ({}, {})
 
@@ -102,12 +105,12 @@ class TrieEncoder:
                     known = False
         if len(self.fits) >= PAIRS:
             self.fits.clear()
-        self.fits[left, right] = known
+        self.fits[left * self.width + right] = known
         return known
 
     def last_token(self, word: str, upto: int, states: list, table: dict[str, int]) -> tuple[int, int] | None:
         """(token, its length) that ends the encoding of ``word[:upto]``."""
-        fits, get = self.fits, table.get
+        fits, width, get = self.fits, self.width, table.get
         for start in range(upto - self.longest if upto > self.longest else 0, upto):
             token = get(word[start:upto])
             if token is None:
@@ -116,7 +119,7 @@ class TrieEncoder:
                 before = states[start]
                 if before is None:
                     continue
-                ok = fits.get((before[0], token))
+                ok = fits.get(before[0] * width + token)
                 if not (self.may_follow(before[0], token) if ok is None else ok):
                     continue
             elif upto > 1 and not self.is_whole(token):
@@ -126,7 +129,7 @@ class TrieEncoder:
 
     def is_whole(self, token: int) -> bool:
         """Whether merging the token's own symbols gives the token."""
-        key = (token, -1)
+        key = -1 - token
         known = self.fits.get(key)
         if known is None:
             symbols = self.symbols[token]
@@ -173,7 +176,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
-        self.library = Tokenizer.from_file(path)
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer  # its model is not kept
         model = spec["model"]
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.around = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -191,8 +195,8 @@ class WordTokenizer:
             if part in self.special:
                 found.append(self.special[part])
             elif part:
-                normal = self.library.normalizer.normalize_str(part)
-                found += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+                normal = self.normalizer.normalize_str(part)
+                found += [p for p, _ in self.pre_tokenizer.pre_tokenize_str(normal)]
         return found
 
     def encode_chunks(self, chunks: list[bytes]) -> list[list[int]]:
@@ -256,6 +260,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
                     ends = np.cumsum([0, *n], dtype=np.int32)
                     columns.append(pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *lists])))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *made])
+                trim()  # pieces and strings of a slice come and go
 
     return docs.mapInArrow(run, schema)
 

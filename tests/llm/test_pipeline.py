@@ -51,3 +51,24 @@ def test_language_stage_tells_what_follows(spark, tmp_path):
     docs = spark.createDataFrame([*both, *((*r, len(r[1])) for r in rows[:80])], schema)
     kept = corpus_pipeline.language_stage(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in kept) == list(range(80)) and {r["lang"] for r in kept} == {"en", "fr"}
+
+
+def test_batches_to_workers_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    from searchloom.llm.common import BATCH_BYTES
+
+    text = "some words of a text that is long " * 1000
+    docs = spark.range(400).selectExpr("id AS doc_id", f"'{text}' AS text", "'en' AS lang", "'s' AS source", f"{len(text)}L AS n_chars").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for _, stage in [s for s in corpus_pipeline.STAGES if s[0] in ("language_id", "near_dup", "secret_scan", "bpe")]:
+        spark.conf.unset(key)
+        stage(spark, docs.limit(3), "")
+        found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) >= 400 * len(text) and max(found) < BATCH_BYTES + 2 * len(text)
+    spark.conf.unset(key)
