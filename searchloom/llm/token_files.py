@@ -21,7 +21,8 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import resident, scratch, text_slices
+from .common import BATCH_BYTES, bound_batches, resident, scratch, text_slices
 
 #: Ids of a shard (a document is never split, so one may have more), the fewest
 #: occurrences of a pair that is replaced, and bits of the bins that pairs are counted in.
@@ -50,52 +51,67 @@ def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
     ends = np.cumsum(size)
     if not len(size):
         return flat[:0]
-    return flat[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
+    at = np.repeat(begin - ends + size, size)
+    at += np.arange(ends[-1])
+    return flat.take(at)
 
 
-class PieceIds:
-    """The ids of distinct pieces, laid end to end; at most ``limit`` pieces, and what
-    one slice of texts needs.  The first stands for a line end."""
+class KnownIds:
+    """The ids of distinct strings, laid end to end; at most ``limit`` strings, and what
+    one slice of texts needs.  ``encode`` tells those of others: (strings in any order,
+    their ids end to end, number of each)."""
 
-    def __init__(self, limit: int, line: int):
-        self.limit, self.line = limit, line
+    def __init__(self, limit: int, encode):
+        self.limit, self.encode = limit, encode
         self.clear()
 
     def clear(self) -> None:
-        self.index = {"\n": 0}
-        self.flat, self.ends = np.array([self.line], "<u4"), np.array([1])
-
-    def add(self, missing: list[str], encode) -> None:
-        missing, flat, size = encode(missing)
-        self.index.update(zip(missing, range(len(self.index), len(self.index) + len(missing)), strict=True))
-        self.flat = np.concatenate([self.flat, flat])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
-
-    def rows(self, pieces: list[str]) -> np.ndarray:
-        """Where each piece stands, -1 for those that are not known."""
-        return np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
-
-    def ids(self, pieces: list[str], encode) -> np.ndarray:
-        """The ids of all pieces, laid end to end."""
-        rows = self.rows(pieces)
-        missing = np.flatnonzero(rows < 0)
-        if len(missing):
-            new = list({pieces[i] for i in missing.tolist()})
+        self.index: dict[str, int] = {}
+        self.used = 0
+        # Grown by halves, so that little is copied for each slice.
+        self.flat, self.begin, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def add(self, missing: list[str]) -> None:
+        missing, flat, size = self.encode(missing)
+        at, stop, used = len(self.index), len(self.index) + len(missing), self.used + len(flat)
+        self.index.update(zip(missing, range(at, stop), strict=True))
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(used + used // 2 - self.used, "<u4")])
+        if stop > len(self.size):
+            more = stop + stop // 2 - at
+            self.begin, self.size = np.concatenate([self.begin[:at], np.zeros(more, np.int64)]), np.concatenate([self.size[:at], np.zeros(more, np.int32)])
+        self.flat[self.used : used] = flat
+        self.size[at:stop] = size
+        self.begin[at:stop] = self.used + np.cumsum(size) - size
+        self.used = used
+
+    def rows(self, strings: list[str]) -> np.ndarray:
+        """Where each string stands, -1 for those that are not known."""
+        return np.fromiter(map(self.index.get, strings, repeat(-1)), np.int64, len(strings))
+
+    def ids(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all strings, laid end to end, the number of each)."""
+        rows = self.rows(strings)
+        missing = np.flatnonzero(rows < 0).tolist()
+        if missing:
+            new = list({strings[i] for i in missing})
             if len(self.index) + len(new) > self.limit:
                 self.clear()
-                new, missing = list(set(pieces) - {"\n"}), np.arange(len(pieces))
-            if new:
-                self.add(new, encode)
-            rows[missing] = self.rows([pieces[i] for i in missing.tolist()])
-        begin = np.concatenate([[0], self.ends[:-1]])
-        return gathered(self.flat, begin[rows], (self.ends - begin)[rows])
+                self.add(list(set(strings)))
+                rows = self.rows(strings)
+            else:
+                self.add(new)
+                rows[missing] = self.rows([strings[i] for i in missing])
+        size = self.size.take(rows)
+        return gathered(self.flat, self.begin.take(rows), size), size
 
 
 class ByteTokenizer:
     """Ids of whole texts under a byte-level BPE file of the tokenizers library.
 
-    Texts are cut to pieces as the file's pattern does it, and the library encodes each
-    distinct piece once.  Texts with white space beyond single spaces and newlines, with
+    Texts are cut to words at single spaces and newlines, which pieces of the file's
+    pattern do not cross; distinct words are cut to pieces as the pattern does it, and
+    the library encodes each distinct piece once.  Texts with white space beyond single spaces and newlines, with
     characters beyond the first scripts, or with the strings of special tokens go
     through the library whole.
     """
@@ -127,7 +143,7 @@ class ByteTokenizer:
         self.newline = vocab[self.alphabet[10]]
         self.leads = np.zeros(self.terminals, bool)
         self.leads[[i for t, i in vocab.items() if t[0] == self.alphabet[32]]] = True
-        self.pieces = PieceIds(PIECES, self.LINE)
+        self.pieces = KnownIds(PIECES, self.encode_pieces)
 
     def whole(self, text: bytes) -> bool:
         """Whether only the library can cut a text."""
@@ -141,9 +157,10 @@ class ByteTokenizer:
         """(pieces in another order, their ids end to end, number of each piece), many in
         one call of the library.  A piece that begins with a space has it nowhere else,
         so tokens that begin with one tell where pieces do; after the others a newline is
-        put, which none of them holds."""
-        spaced, other = [p for p in pieces if p[0] == " "], [p for p in pieces if p[0] != " "]
-        flat, size = [], []
+        put, which none of them holds.  A newline itself is LINE."""
+        spaced, other = [p for p in pieces if p[0] == " "], [p for p in pieces if p[0] not in " \n"]
+        lines = ["\n"] * (len(pieces) - len(spaced) - len(other))
+        flat, size = [np.full(len(lines), self.LINE, "<u4")], [np.ones(len(lines), np.int64)]
         for own, mark in ((spaced, "\0"), (other, "\0\n\0")):
             for at in range(0, len(own), 512):
                 # In the byte alphabet no byte stands for a space; pieces have no null byte.
@@ -156,7 +173,27 @@ class ByteTokenizer:
                     size.append(np.diff(np.flatnonzero(ends), prepend=-1, append=len(ids)) - 1)
                     ids = ids[~ends]
                 flat.append(ids)
-        return spaced + other, np.concatenate(flat), np.concatenate(size)
+        return lines + spaced + other, np.concatenate(flat), np.concatenate(size)
+
+    def word_ids(self, text: bytes) -> np.ndarray:
+        """The ids of a text that begins with a newline; LINE stands for newlines.
+
+        A word begins with the space or newline before it, and no piece crosses such a
+        place; only the distinct words of the text are cut to pieces.
+        """
+        flat = np.frombuffer(text, "u1")
+        ends = np.append(np.flatnonzero((flat == 32) | (flat == 10)), len(flat))
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)])
+        words = cut.dictionary_encode()
+        _, ends, kinds = words.dictionary.buffers()
+        kinds = kinds.slice(0, np.frombuffer(ends, np.int64)[len(words.dictionary)]).to_pybytes()
+        pieces = self.PIECE.findall(kinds.decode("utf-8", "replace"))
+        ids, size = self.pieces.ids(pieces)
+        # The first piece of a word has its space or newline, no other piece has one.
+        first = np.flatnonzero(np.fromiter(map(" \n".__contains__, map(itemgetter(0), pieces)), bool, len(pieces)))
+        size = np.add.reduceat(size, first, dtype=np.int64)
+        of = words.indices.to_numpy()
+        return gathered(ids, (np.cumsum(size) - size).take(of), size.take(of))
 
     def library_ids(self, text: bytes) -> np.ndarray:
         return np.array(self.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
@@ -173,14 +210,13 @@ class ByteTokenizer:
             plain = sorted(set(plain).difference(odd))
             joined = b"\n".join([texts[i] for i in plain])
         if plain:
-            pieces = self.PIECE.findall(joined.decode("utf-8", "replace"))
-            ids = self.pieces.ids(pieces, self.encode_pieces)
-            # Line ends between texts are dropped, those of a text get their id.
+            ids = self.word_ids(b"\n" + joined)
+            # Line ends before texts are dropped, those of a text get their id.
             lines = np.flatnonzero(ids == self.LINE)
-            between = lines[np.cumsum([texts[i].count(b"\n") + 1 for i in plain])[:-1] - 1]
+            own = np.cumsum([0, *(texts[i].count(b"\n") + 1 for i in plain)])
+            before = lines[own[:-1]]
             ids[lines] = self.newline
-            starts = np.append(0, between + 1).tolist()
-            for i, start, stop in zip(plain, starts, [*between.tolist(), len(ids)], strict=True):
+            for i, start, stop in zip(plain, (before + 1).tolist(), [*before[1:].tolist(), len(ids)], strict=True):
                 out[i] = ids[start:stop]
         return out
 
@@ -195,7 +231,10 @@ def opened(path: str) -> ByteTokenizer:
 
 def bins_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A bin for each pair; equal pairs share one."""
-    return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - BIN_BITS)
+    mixed = left * np.uint32(0x9E3779B1)
+    mixed ^= right * np.uint32(0x85EBCA77)
+    mixed >>= np.uint32(32 - BIN_BITS)
+    return mixed.astype(np.intp)
 
 
 def frequent_pairs(seq: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,23 +244,30 @@ def frequent_pairs(seq: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.
     A bin of LEAST places gets one of its pairs, counted without a sort; the places of
     other pairs in such bins, a few, are sorted.
     """
-    bin_of = bins_of(seq[places], seq[places + 1])
-    hot = np.bincount(bin_of, minlength=1 << BIN_BITS)[bin_of] >= LEAST
-    places, bin_of = places[hot], bin_of[hot]
-    key = seq[places].astype(np.uint64) << np.uint64(32) | seq[places + 1]
+    if len(places) == len(seq) - 1:
+        left, right = seq[:-1], seq[1:]
+    else:
+        left, right = seq.take(places), seq.take(places + 1)
+    bin_of = bins_of(left, right)
+    hot = np.flatnonzero((np.bincount(bin_of, minlength=1 << BIN_BITS) >= LEAST).take(bin_of))
+    places, bin_of = places.take(hot), bin_of.take(hot)
+    key = left.take(hot).astype(np.uint64)
+    key <<= np.uint64(32)
+    key |= right.take(hot)
     of_bin = np.zeros(1 << BIN_BITS, np.uint64)
     of_bin[bin_of] = key
-    own = of_bin[bin_of] == key
-    count = np.bincount(bin_of[own], minlength=1 << BIN_BITS)
+    own = of_bin.take(bin_of) == key
+    other = np.flatnonzero(~own)
+    count = np.bincount(bin_of, minlength=1 << BIN_BITS) - np.bincount(bin_of.take(other), minlength=1 << BIN_BITS)
     bins = np.flatnonzero(count >= LEAST)
-    number = np.full(1 << BIN_BITS, -1)
+    number = np.full(1 << BIN_BITS, -1, np.int32)
     number[bins] = np.arange(len(bins))
-    of = np.where(own, number[bin_of], -1)
-    pairs, back, n = np.unique(key[~own], return_inverse=True, return_counts=True)
+    of = number.take(bin_of)
+    pairs, back, n = np.unique(key.take(other), return_inverse=True, return_counts=True)
     often = n >= LEAST
-    of[~own] = np.where(often, len(bins) + np.cumsum(often) - 1, -1)[back]
-    found = of >= 0
-    return places[found], np.concatenate([of_bin[bins], pairs[often]]), np.concatenate([count[bins], n[often]]), of[found]
+    of[other] = np.where(often, len(bins) + np.cumsum(often) - 1, -1)[back]
+    found = np.flatnonzero(of >= 0)
+    return places.take(found), np.concatenate([of_bin[bins], pairs[often]]), np.concatenate([count[bins], n[often]]), of.take(found)
 
 
 def chosen_pairs(pairs: np.ndarray, n: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -266,9 +312,10 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, n
         chosen, rule_of = chosen_pairs(pairs, n)
         if not chosen:
             break
-        rule = rule_of[of]
-        where, rule = places[rule >= 0], rule[rule >= 0]
-        own = np.flatnonzero(seq[where] == seq[where + 1])
+        rule = rule_of.take(of)
+        ruled = np.flatnonzero(rule >= 0)
+        where, rule = places.take(ruled), rule.take(ruled)
+        own = np.flatnonzero(seq.take(where) == seq.take(where + 1))
         if len(own):  # of a run of one symbol every second place, from its left end on
             new_run = np.ones(len(own), bool)
             new_run[1:] = np.diff(where[own]) != 1
@@ -281,7 +328,8 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, n
         left[where + 1] = False
         again = np.zeros(len(seq), bool)
         again[places] = True
-        seq, again = seq[left], again[left]
+        left = np.flatnonzero(left)
+        seq, again = seq.take(left), again.take(left)
         new = where - np.arange(len(where))  # each replacement moves the later ones down
         again[new] = True
         again[np.maximum(new - 1, 0)] = True
@@ -303,12 +351,12 @@ class Grammar:
         own: list[list[int]] = []
         for a, b in rules.tolist():
             own.append([*(own[a - terminals] if a >= terminals else [a]), *(own[b - terminals] if b >= terminals else [b])])
-        self.flat = np.concatenate([np.arange(terminals), *own]).astype("<u4")
+        self.flat = np.concatenate([np.arange(terminals, dtype="<u4"), np.fromiter(chain.from_iterable(own), "<u4")])
         self.begin = np.cumsum(self.length) - self.length
-        self.ends = np.cumsum(self.length[self.symbols])
+        self.ends: np.ndarray | None = None  # of the symbols, for windows
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        return gathered(self.flat, self.begin[seq], self.length[seq])
+        return gathered(self.flat, self.begin.take(seq), self.length.take(seq))
 
     def ids(self) -> np.ndarray:
         return self.expand(self.symbols)
@@ -318,6 +366,8 @@ class Grammar:
         hold them."""
         if stop <= start:
             return np.zeros(0, "<u4")
+        if self.ends is None:
+            self.ends = np.cumsum(self.length[self.symbols])
         a, b = np.searchsorted(self.ends, [start, stop - 1], side="right")
         before = int(self.ends[a] - self.length[self.symbols[a]])
         return self.expand(self.symbols[a : b + 1])[start - before : stop - before]
@@ -351,6 +401,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
     others.  A document of any length stays in one shard.  Other columns are not looked at.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4")
@@ -366,7 +417,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
 
         for batch in batches:
             ids = batch.column(0)
-            for start, texts in text_slices(batch, "text"):
+            for start, texts in text_slices(batch, "text", BATCH_BYTES):
                 for i, found in enumerate(own.encode(texts)):
                     held += [found, end]
                     size += len(found) + 1
@@ -393,7 +444,7 @@ def read_documents(spark, path: str, tokenizer: str) -> DataFrame:
                 ends = unpacked(row["doc_ends"], "<u4").astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 docs = unpacked(row["doc_ids"], "<i8")
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 no_id = unpacked(row["doc_known"], "u1") == 0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(docs), row["part"])), pa.array(docs, mask=no_id), pa.array(starts + row["first_id"]), pa.array(ends - starts), pa.array(crc, pa.int64())],

@@ -20,6 +20,17 @@ def test_same_ids_as_the_library():
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_repeated_words_are_looked_up_once():
+    own, library = token_files.ByteTokenizer(PATH), Tokenizer.from_file(PATH)
+    looked, rows = [], own.pieces.rows
+    own.pieces.rows = lambda pieces: looked.append(len(pieces)) or rows(pieces)
+    line = "some words, that's 12 é's of a line"
+    texts = [" ".join([line] * 300), "\n".join([line] * 300), "", "line", line]
+    for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(looked) < 100
+
+
 def test_grammars_expand_to_what_was_compressed():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 50, 5000):
