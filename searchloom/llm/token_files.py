@@ -116,9 +116,9 @@ class ByteTokenizer:
     through the library whole.
     """
 
-    #: Runs of white space that pieces are not cut at here, bytes of such white space
-    #: and of no character at all, and the lead bytes of characters from U+0250 on.
-    RUNS, ODD, LEADS = (b"  ", b"\n\n", b" \n", b"\n "), bytes([0, 9, 11, 12, 13, *range(28, 32)]), bytes(range(0xC9, 0x100))
+    #: Bytes of white space that pieces are not cut at here and of no character at all,
+    #: and the lead bytes of characters from U+0250 on.
+    ODD, LEADS = bytes([0, 9, 11, 12, 13, *range(28, 32)]), bytes(range(0xC9, 0x100))
     SPACES = re.compile(rb"\xc2[\xa0\x85]|\xc9[\x90-\xbf]|[\xca-\xff]")
     LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
     PIECE = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|\n| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+")
@@ -145,9 +145,16 @@ class ByteTokenizer:
         self.leads[[i for t, i in vocab.items() if t[0] == self.alphabet[32]]] = True
         self.pieces = KnownIds(PIECES, self.encode_pieces)
 
-    def whole(self, text: bytes) -> bool:
-        """Whether only the library can cut a text."""
-        if text[:1].isspace() or text[-1:].isspace() or any(r in text for r in (*self.RUNS, *self.special)):
+    @staticmethod
+    def word_ends(text: bytes) -> np.ndarray:
+        """Where spaces and newlines stand, and the end of the text."""
+        flat = np.frombuffer(text, "u1")
+        return np.append(np.flatnonzero((flat == 32) | (flat == 10)), len(flat))
+
+    def whole(self, text: bytes, ends: np.ndarray) -> bool:
+        """Whether only the library can cut a text, to which a newline was put in front;
+        spaces and newlines that follow each other, or end the text, make empty words."""
+        if (np.diff(ends) == 1).any() or any(x in text for x in self.special):
             return True
         if len(text.translate(None, self.ODD)) < len(text):
             return True
@@ -175,14 +182,13 @@ class ByteTokenizer:
                 flat.append(ids)
         return lines + spaced + other, np.concatenate(flat), np.concatenate(size)
 
-    def word_ids(self, text: bytes) -> np.ndarray:
-        """The ids of a text that begins with a newline; LINE stands for newlines.
+    def word_ids(self, text: bytes, ends: np.ndarray) -> np.ndarray:
+        """The ids of a text that begins with a newline, given its ``word_ends``; LINE
+        stands for newlines.
 
         A word begins with the space or newline before it, and no piece crosses such a
         place; only the distinct words of the text are cut to pieces.
         """
-        flat = np.frombuffer(text, "u1")
-        ends = np.append(np.flatnonzero((flat == 32) | (flat == 10)), len(flat))
         cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)])
         words = cut.dictionary_encode()
         _, ends, kinds = words.dictionary.buffers()
@@ -202,15 +208,17 @@ class ByteTokenizer:
         """The ids of each text."""
         out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
         plain = [i for i, t in enumerate(texts) if t]
-        joined = b"\n".join([texts[i] for i in plain])
-        if self.whole(joined):
-            odd = [i for i in plain if self.whole(texts[i])]
+        joined = b"\n".join([b"", *(texts[i] for i in plain)])
+        ends = self.word_ends(joined)
+        if self.whole(joined, ends):
+            odd = [i for i in plain if self.whole(b"\n" + texts[i], self.word_ends(b"\n" + texts[i]))]
             for i in odd:
                 out[i] = self.library_ids(texts[i])
             plain = sorted(set(plain).difference(odd))
-            joined = b"\n".join([texts[i] for i in plain])
+            joined = b"\n".join([b"", *(texts[i] for i in plain)])
+            ends = self.word_ends(joined)
         if plain:
-            ids = self.word_ids(b"\n" + joined)
+            ids = self.word_ids(joined, ends)
             # Line ends before texts are dropped, those of a text get their id.
             lines = np.flatnonzero(ids == self.LINE)
             own = np.cumsum([0, *(texts[i].count(b"\n") + 1 for i in plain)])
