@@ -260,7 +260,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
                     ends = np.cumsum([0, *n], dtype=np.int32)
                     columns.append(pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *lists])))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *made])
-                trim()  # pieces and strings of a slice come and go
+                if ids:
+                    trim()  # pieces and strings of a slice come and go
 
     return docs.mapInArrow(run, schema)
 
