@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,12 @@ from pyspark.sql import types as T
 
 from .common import BoundedCache, resident, text_slices, trim
 
-#: Distinct whitespace-free chunks and token pairs that one worker remembers.
-CHUNKS, PAIRS = 500_000, 1_000_000
-#: Chunks that it remembers where ids are asked for.
-CHUNKS_WITH_IDS = 100_000
+#: Distinct pre-tokens, token pairs and steps between nodes that one worker remembers.
+KEYS, PAIRS, STEPS = 500_000, 1_000_000, 500_000
+#: Pre-tokens that it remembers where ids are asked for.
+KEYS_WITH_IDS = 100_000
+#: What the first token of a word follows.
+START = -1
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -44,7 +47,13 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class TrieEncoder:
-    """Encodes words (already pre-tokenized) of a BPE vocabulary with word ends."""
+    """Encodes words (already pre-tokenized) of a BPE vocabulary with word ends.
+
+    Beside the last token a prefix has a node of an automaton over the vocabulary: the
+    longest of its ends that begins an entry.  A node knows the entries that are ends of
+    the prefix, so none is looked for by trying every length.  Nodes are made when a word
+    first gets to them.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list, end: str):
         self.vocab, self.end = vocab, end
@@ -57,11 +66,12 @@ class TrieEncoder:
             self.symbols[i] = tuple(t)
         for t, i in self.final.items():
             self.symbols[i] = (*t[:-1], t[-1] + end)
-        self.longest = max(map(len, self.symbols.values()))
-        #: Whether two tokens may stand together, by ``left * width + right``; tokens that
-        #: merging their own symbols gives, by ``-1 - token``.
-        self.fits: dict[int, bool] = {}
-        self.width = 1 + max(vocab.values())
+        #: Of each token that a node offers: itself, its length, what it may follow.
+        self.offers: dict[int, tuple[int, int, dict[int, bool]]] = {}
+        self.pairs = self.steps = 0
+        self.begins = {t[:n] for table in (self.inner, self.final) for t in table for n in range(len(t) + 1)} | {""}
+        #: Text, tokens that end a prefix there, tokens that end a word there, next nodes.
+        self.nodes: dict[str, tuple[str, list, list, dict]] = {}
         self.halves = {"".join(p): p for p in reversed(pairs)}
         self.spines: tuple[dict, dict] = ({}, {})
 
@@ -103,61 +113,87 @@ class TrieEncoder:
                 r = get((x, y))
                 if r is not None and r < until_x and r <= until_y:
                     known = False
-        if len(self.fits) >= PAIRS:
-            self.fits.clear()
-        self.fits[left * self.width + right] = known
+        if self.pairs >= PAIRS:
+            self.pairs = 0
+            for _, _, after in self.offers.values():
+                after.clear()
+                after[START] = True
+        self.pairs += 1
+        self.offers[right][2][left] = known
         return known
 
-    def last_token(self, word: str, upto: int, states: list, table: dict[str, int]) -> tuple[int, int] | None:
-        """(token, its length) that ends the encoding of ``word[:upto]``."""
-        fits, width, get = self.fits, self.width, table.get
-        for start in range(upto - self.longest if upto > self.longest else 0, upto):
-            token = get(word[start:upto])
-            if token is None:
-                continue
-            if start:
-                before = states[start]
-                if before is None:
-                    continue
-                ok = fits.get(before[0] * width + token)
-                if not (self.may_follow(before[0], token) if ok is None else ok):
-                    continue
-            elif upto > 1 and not self.is_whole(token):
-                continue
-            return token, upto - start
-        return None
+    def offered(self, text: str, table: dict[str, int]) -> list[tuple[int, int, dict[int, bool]]]:
+        """Tokens of ``table`` that end ``text``, without those that merging their own
+        symbols does not give."""
+        found = []
+        for at in range(len(text)):
+            token = table.get(text[at:])
+            if token is not None:
+                symbols = self.symbols[token]
+                if token in self.offers or self.merged(list(symbols)) == ["".join(symbols)]:
+                    found.append(self.offers.setdefault(token, (token, len(text) - at, {START: True})))
+        return found
 
-    def is_whole(self, token: int) -> bool:
-        """Whether merging the token's own symbols gives the token."""
-        key = -1 - token
-        known = self.fits.get(key)
-        if known is None:
-            symbols = self.symbols[token]
-            known = self.fits[key] = self.merged(list(symbols)) == ["".join(symbols)]
-        return known
+    def node(self, text: str) -> tuple[str, list, list, dict]:
+        """The node of the longest end of ``text`` that begins an entry."""
+        while text not in self.begins:
+            text = text[1:]
+        found = self.nodes.get(text)
+        if found is None:
+            inner = self.offered(text, self.inner)
+            found = self.nodes[text] = (text, inner, self.offered(text, self.final) if self.end else inner, {})
+        return found
+
+    def step(self, node: tuple[str, list, list, dict], symbol: str) -> tuple[str, list, list, dict]:
+        found = self.node(node[0] + symbol)
+        if self.steps >= STEPS:
+            self.steps = 0
+            for known in self.nodes.values():
+                known[3].clear()
+        self.steps += 1
+        node[3][symbol] = found
+        return found
+
+    def last_token(self, offers: list, upto: int, states: list) -> tuple[int, int, dict[int, bool]] | None:
+        """Which of ``offers`` ends the encoding of the first ``upto`` symbols."""
+        for offer in offers:
+            before = states[upto - offer[1]]
+            if before is not None:
+                ok = offer[2].get(before[0])
+                if ok or (ok is None and self.may_follow(before[0], offer[0])):
+                    return offer
+        return None
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         out: dict[str, list[int]] = {}
-        states: list = [None]
-        before = ""
-        last_table = self.final if self.end else self.inner
+        states: list = [(START, 0, {})]
+        nodes = [self.node("")]
+        before, last_token, step = "", self.last_token, self.step
         for word in sorted(words):
             n, shared, most = len(word), 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for i in range(len(states), n + (not self.end)):
-                states.append(self.last_token(word, i, states, self.inner))
-            stop = self.last_token(word, n, states, last_table) if self.end else states[n]
-            ids, at = [], n
-            while stop is not None:
+            del states[shared + 1 :], nodes[shared + 1 :]
+            node = nodes[-1]
+            for i in range(len(states), n):
+                symbol = word[i - 1]
+                node = node[3].get(symbol) or step(node, symbol)
+                nodes.append(node)
+                states.append(last_token(node[1], i, states))
+            before = word[: n - 1]
+            stop = None
+            if n:
+                node = nodes[n - 1]
+                stop = last_token((node[3].get(word[-1]) or step(node, word[-1]))[2], n, states)
+            if stop is None:
+                out[word] = self.plain(word) if n else []
+                continue
+            ids, at = [stop[0]], n - stop[1]
+            while at:
+                stop = states[at]
                 ids.append(stop[0])
                 at -= stop[1]
-                if at <= 0:
-                    break
-                stop = states[at]
-            out[word] = ids[::-1] if at == 0 else self.plain(word)
-            before = word[: len(states) - 1]
+            out[word] = ids[::-1]
         return out
 
     def plain(self, word: str) -> list[int]:
@@ -167,12 +203,22 @@ class TrieEncoder:
 
 
 class WordTokenizer:
-    """Texts to ids and back for a tokenizers file of the word-end BPE kind."""
+    """Texts to ids and back for a tokenizers file of the word-end BPE kind.
 
-    #: Pre-tokens of a lower-cased ASCII chunk; beyond ASCII the library splits.
-    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    A text is cut to keys: pre-tokens as bytes where it has nothing but ASCII and
+    letters of U+00C0 to U+00FF, else chunks without white space as strings, which the
+    library splits.
+    """
+
+    #: Pre-tokens of lower-cased plain text.
+    PLAIN = re.compile(rb"[a-z\xc3\x80-\xbf]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9\xc3\x80-\xbf]+")
+    #: Bytes of plain text in UTF-8: ASCII, and 0xC3 with what makes a letter after it.
+    KEPT = bytes(b for b in (*range(0xC0), 0xC3) if b not in (0x97, 0xB7))
+    #: Lower case of plain text: 0x80 to 0x9E follow 0xC3 only.
+    LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A or 0x80 <= b <= 0x9E else b for b in range(256))
+    STAND_INS = "".join(c for _, c in sorted(byte_alphabet().items()))
 
-    def __init__(self, path: str, remembered: int = CHUNKS):
+    def __init__(self, path: str, remembered: int = KEYS):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
@@ -183,15 +229,34 @@ class WordTokenizer:
         self.around = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.encoder = TrieEncoder(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
         self.token = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        self.chunks = BoundedCache(remembered)
+        self.written = {i: (b"%d" % i, t.encode()) for i, t in self.token.items()}
+        self.known = BoundedCache(remembered)
+
+    def is_plain(self, text: bytes) -> bool:
+        if b"<|" in text or text.translate(None, self.KEPT):
+            return False
+        if not text.isascii():
+            try:
+                text.decode()
+            except UnicodeDecodeError:
+                return False
+        return True
+
+    def keys(self, text: bytes) -> list[bytes | str]:
+        if self.is_plain(text):
+            return self.PLAIN.findall(text.translate(self.LOWER))
+        found: list[bytes | str] = []
+        for chunk in text.split():
+            if self.is_plain(chunk):
+                found += self.PLAIN.findall(chunk.translate(self.LOWER))
+            else:
+                found.append(chunk.decode("utf-8", "replace"))
+        return found
 
-    def pieces(self, chunk: bytes) -> list[str | int]:
-        """Pre-tokens of a chunk without ASCII white space; special tokens as ids."""
-        if chunk.isascii() and b"<|" not in chunk:
-            return self.ASCII.findall(chunk.decode().lower())
+    def pieces(self, chunk: str) -> list[str | int]:
+        """Pre-tokens of a chunk by the library; special tokens as ids."""
         found: list[str | int] = []
-        text = chunk.decode("utf-8", "replace")
-        for part in self.around.split(text) if self.around else [text]:
+        for part in self.around.split(chunk) if self.around else [chunk]:
             if part in self.special:
                 found.append(self.special[part])
             elif part:
@@ -199,25 +264,36 @@ class WordTokenizer:
                 found += [p for p, _ in self.pre_tokenizer.pre_tokenize_str(normal)]
         return found
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[list[int]]:
-        split = [self.pieces(c) for c in chunks]
-        known = self.encoder.encode_words({p for s in split for p in s if isinstance(p, str)})
-        return [[i for p in s for i in (known[p] if isinstance(p, str) else (p,))] for s in split]
-
-    def strings(self, chunks: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-        """Of each chunk: its number of ids, decimal ids and decoded text."""
-        ids = self.encode_chunks(chunks)
-        return [(len(x), " ".join(map(str, x)).encode(), self.decode(x).encode()) for x in ids]
+    def encode_keys(self, keys: list[bytes | str]) -> list[list[int]]:
+        stand_ins = self.STAND_INS
+        words = [charmap_decode(k, "strict", stand_ins)[0] if type(k) is bytes else self.pieces(k) for k in keys]
+        distinct = {w for w in words if type(w) is str}
+        distinct.update(p for w in words if type(w) is list for p in w if type(p) is str)
+        known = self.encoder.encode_words(distinct)
+        return [known[w] if type(w) is str else [i for p in w for i in (known[p] if type(p) is str else (p,))] for w in words]
+
+    def strings(self, keys: list[bytes | str]) -> list[tuple[bytes, bytes] | None]:
+        """Of each key: decimal ids and decoded text; none where it has no ids."""
+        written, out = self.written, []
+        for ids in self.encode_keys(keys):
+            if len(ids) == 1:
+                out.append(written[ids[0]])
+            elif ids:
+                found = [written[i] for i in ids]
+                out.append((b" ".join([x for x, _ in found]), b" ".join([x for _, x in found])))
+            else:
+                out.append(None)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """A file without a decoder joins its tokens by spaces."""
         return " ".join(self.token[i] for i in ids)
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.encode_chunks(text.encode().split()) for i in c]
+        return [i for ids in self.encode_keys(self.keys(text.encode())) for i in ids]
 
 
-def opened(path: str, remembered: int = CHUNKS) -> WordTokenizer:
+def opened(path: str, remembered: int = KEYS) -> WordTokenizer:
     """One tokenizer for each worker process."""
     return resident(("words", path, remembered), lambda: WordTokenizer(path, remembered))
 
@@ -238,19 +314,19 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = opened(path, CHUNKS_WITH_IDS if ids else CHUNKS)
+        tokenizer = opened(path, KEYS_WITH_IDS if ids else KEYS)
         for batch in batches:
             for start, texts in text_slices(batch, text):
                 n, sha, back, lists = [], [], [], []
-                words = [t.split() for t in texts]
-                tokenizer.chunks.fill(set().union(*words), tokenizer.strings)
-                cache = tokenizer.chunks
-                for own in words:
-                    found = [x for x in map(cache.__getitem__, own) if x[0]]
-                    joined = b" ".join([x[1] for x in found])
-                    n.append(sum(x[0] for x in found))
+                pieces = [tokenizer.keys(t) for t in texts]
+                known = tokenizer.known
+                known.fill(set().union(*pieces), tokenizer.strings)
+                for own in pieces:
+                    found = [x for x in map(known.__getitem__, own) if x]
+                    joined = b" ".join([x for x, _ in found])
+                    n.append(joined.count(b" ") + 1 if found else 0)
                     sha.append(hashlib.sha256(joined).hexdigest())
-                    back.append(hashlib.sha256(b" ".join([x[2] for x in found])).hexdigest())
+                    back.append(hashlib.sha256(b" ".join([x for _, x in found])).hexdigest())
                     if ids and joined:
                         lists.append(np.fromstring(joined, np.int32, sep=" "))
                 part = batch.slice(start, len(texts))

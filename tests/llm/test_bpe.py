@@ -77,3 +77,73 @@ def test_ids_leave_slice_by_slice():
     for r in (rows[0], rows[9], *rows[10:]):
         assert r["token_ids"] == library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["n_tokens"] == len(r["token_ids"])
+
+
+class Rows:
+    """As much of a DataFrame as ``encode_documents`` takes, without Spark."""
+
+    def __init__(self):
+        from pyspark.sql import types as T
+
+        self.schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_control_characters_and_letters_beyond_ascii(both):
+    own, library = both
+    every = [chr(c) for c in range(0x180)]
+    for text in ["".join(every), *every, *("Q" + c + "b" for c in every), *(c * 3 + "1'S" for c in every), "H\u0331 É\u0301 à<|endoftext|>É"]:
+        ids = own.encode(text)
+        assert ids == library.encode(text, add_special_tokens=False).ids, repr(text)
+        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_a_pre_token_is_encoded_once(monkeypatch):
+    import pyarrow as pa
+
+    from searchloom.llm import common
+
+    asked = []
+    encode_words = bpe.TrieEncoder.encode_words
+    monkeypatch.setattr(bpe.TrieEncoder, "encode_words", lambda self, words: asked.extend(words) or encode_words(self, words))
+    monkeypatch.setattr(common, "_resident", {})
+    texts = ["word été " * (common.SLICE_BYTES // 8), "Word, (word) ÉTÉ! été" + " word" * (common.SLICE_BYTES // 4), "word."]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(texts)], names=["doc_id", "text"])
+    found = pa.Table.from_batches(bpe.encode_documents(Rows(), PATH, ids=False)(iter([batch]))).to_pylist()
+    assert asked.count("word") == 1 and len(asked) == len(set(asked))
+    library = Tokenizer.from_file(PATH)
+    for row in found:
+        ids = library.encode(texts[row["doc_id"]], add_special_tokens=False).ids
+        assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_vocabulary_is_not_searched_again_at_known_nodes(both):
+    own, library = both
+    looked = []
+
+    class Table(dict):
+        def get(self, key, default=None):
+            looked.append(key)
+            return super().get(key, default)
+
+    encoder = bpe.TrieEncoder(own.encoder.vocab, [" ".join(p) for p in own.encoder.rank], own.encoder.end)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aeinst") for _ in range(12)) for _ in range(3000)]
+    encoder.encode_words(set(words))
+    encoder.inner = Table(encoder.inner)
+    found = encoder.encode_words({w[6:] + w[:6] for w in words[:500]})
+    assert len(looked) < 500 * 12
+    assert all(ids == library.encode(w, add_special_tokens=False).ids for w, ids in found.items())
+
+
+def test_what_is_remembered_changes_nothing(both, monkeypatch):
+    own, library = both
+    monkeypatch.setattr(bpe, "PAIRS", 7)
+    monkeypatch.setattr(bpe, "STEPS", 5)
+    encoder = bpe.TrieEncoder(own.encoder.vocab, [" ".join(p) for p in own.encoder.rank], own.encoder.end)
+    rng = random.Random(3)
+    words = {"".join(rng.choice("aeinst") for _ in range(rng.randint(1, 9))) for _ in range(500)}
+    assert all(ids == library.encode(w, add_special_tokens=False).ids for w, ids in encoder.encode_words(words).items())
