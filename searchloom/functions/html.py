@@ -62,9 +62,13 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def title(html: Column | str) -> Column:
+def decode_ampersands(text: Column | str) -> Column:
+    return F.replace(col(text), F.lit("&amp;"), F.lit("&"))
+
+
+def title(html: Column | str, decode=decode_entities) -> Column:
     raw = F.regexp_extract(col(html), r"(?i)<title[^>]*>([\s\S]{0,500})</title>", 1)
-    return F.substring(collapsed(strip_tags(decode_entities(raw))), 1, 200)
+    return F.substring(collapsed(strip_tags(decode(raw))), 1, 200)
 
 
 def language(html: Column | str) -> Column:

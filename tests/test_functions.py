@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from searchloom import queries
 from searchloom.functions import html, ranking, text, urls
 
 
@@ -83,3 +84,25 @@ def test_vectors_round_trip(spark):
     assert [list(r["q"]["q"]) for r in rows] == [[64, -127, 32], [0, 0, 0]]
     assert [list(r["b"]) for r in rows] == [[64, -127, 32], [0, 0, 0]]
     assert rows[0]["c"] > 0.999 and rows[1]["c"] == 0.0
+
+
+def same_as_sql(spark, path, name, **tables):
+    """The rows of a query over small tables, which have to be those of its SQL."""
+    import duckdb
+
+    with duckdb.connect() as con:
+        for t, df in tables.items():
+            df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{t}.parquet")
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet/*.parquet')")
+        df = queries.QUERIES[name](spark, str(path))
+        got = sorted(map(tuple, df.collect()), key=repr)
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert got == sorted(want, key=repr)
+    return got
+
+
+def test_page_title_lang_with_entities_is_its_sql(spark, tmp_path):
+    page = "<html lang='DE'><title>a &quot;b&quot; &amp; &amp;quot; &#65; <b>c</b></title></html>"
+    got = same_as_sql(spark, tmp_path, "page_title_lang", pages=spark.createDataFrame([(1, "https://a.test/x", page)], "page_id long, url string, html string"))
+    assert got == [(1, "a &quot;b&quot; & &quot; &#65; c", "de")]
+    assert one(spark, html.title("h"), h=page) == 'a "b" & " A c'
