@@ -91,7 +91,7 @@ def visible_text(prose_html: Column | str) -> Column:
 
 
 def link_chars(prose_html: Column | str) -> Column:
-    inner = F.regexp_extract_all(col(prose_html), F.lit(r"(?i)<a\b[^>]*>([\s\S]*?)</a>"), F.lit(1))
+    inner = F.regexp_extract_all(col(prose_html), F.lit(r"(?i)<a(?![0-9A-Za-z_])[^>]*>([\s\S]*?)</a>"), F.lit(1))
     return F.aggregate(inner, F.lit(0), lambda a, x: a + F.length(F.regexp_replace(x, "<[^>]+>", " ")))
 
 

@@ -10,6 +10,10 @@ from ..config import CONFIG, LATIN, SCRIPTS, STOPWORDS
 #: Lower-case letters of Latin words; ``ß`` is not among them, so words split there.
 WORD = "a-z0-9à-ÿ"
 
+#: ``\b`` between ASCII letters, digits or ``_`` and all else, as in JavaScript and SQL; that
+#: of Java and Python takes every letter for one.
+BOUNDARY = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
 
 def sql_list(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)

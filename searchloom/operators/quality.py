@@ -37,7 +37,7 @@ def looks_like_code(text: Column | str) -> Column:
         return F.exists(own, lambda w: F.length(w) > 400) | ((F.size(own) >= 40) & ((codeish / F.size(own) > 0.25) | (marks / F.length(s) > 0.14)))
 
     def judged(s: Column) -> Column:
-        assigned = F.regexp_extract(s, r"(\b(?:var|let|const)\s+[A-Za-z_$][\w$]*\s*=\s*[\[{][\s\S]{0,400})", 1)
+        assigned = F.regexp_extract(s, r"((?<![0-9A-Za-z_])(?:var|let|const)\s+[A-Za-z_$][\w$]*\s*=\s*[\[{][\s\S]{0,400})", 1)
         dense = let(assigned, lambda a: (a != "") & (F.regexp_count(F.substring(a, 1, 400), F.lit(r"\s")) < 12))
         keyed = let(F.regexp_count(s, F.lit('"[^"]{1,40}":')), lambda n: (n >= 8) & (n / F.greatest(F.length(s) / 200, F.lit(1.0)) > 2))
         words = let(F.array_remove(F.split(s, r"\s+"), ""), lambda own: by_words(own, s))

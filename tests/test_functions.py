@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from searchloom import queries
 from searchloom.functions import html, ranking, text, urls
+from searchloom.plans import query
 
 
 def one(spark, column, **values):
@@ -106,3 +107,11 @@ def test_page_title_lang_with_entities_is_its_sql(spark, tmp_path):
     got = same_as_sql(spark, tmp_path, "page_title_lang", pages=spark.createDataFrame([(1, "https://a.test/x", page)], "page_id long, url string, html string"))
     assert got == [(1, "a &quot;b&quot; & &quot; &#65; c", "de")]
     assert one(spark, html.title("h"), h=page) == 'a "b" & " A c'
+
+
+def test_query_plans_find_words_beside_letters_beyond_ascii(spark, tmp_path):
+    rows = [(1, 0, "user", "der bestö stopß"), (2, 0, "user", "das ßbest ölvs"), (3, 0, "user", "howé nder"), (4, 0, "user", "bester"), (5, 0, "user", "how nder")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = same_as_sql(spark, tmp_path, "query_plans", conversations=df)
+    assert {r[0]: r[2] for r in got if r[0] > 0} == {1: "best", 2: "best", 3: "how", 4: "lookup", 5: "how"}
+    assert [query.intent_of(r[3]) for r in rows] == ["best", "best", "how", "lookup", "how"]
