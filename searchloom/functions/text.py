@@ -30,13 +30,19 @@ def let(value: Column, f) -> Column:
 
 def tokenize(text: Column | str) -> Column:
     """Search terms in order: 2 to 32 letters or digits, no stop words."""
-    words = F.split(F.regexp_replace(F.lower(col(text)), rf"[^{WORD}\s]", " "), r"\s+")
-    return F.filter(words, lambda t: F.length(t).between(2, 32) & ~t.isin(STOPWORDS))
+    return F.filter(runs(text, "{2,}+"), lambda t: (F.length(t) <= 32) & ~t.isin(STOPWORDS))
 
 
-def words(text: Column | str) -> Column:
-    """Words between white space."""
-    return F.array_remove(F.split(col(text), r"\s+"), "")
+def runs(text: Column | str, repeats: str = "++") -> Column:
+    """The runs of letters and digits in lower case.  They are sought themselves: Java
+    looks for what a class of several ranges leaves out ten times as long."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(f"[{WORD}]{repeats}"), F.lit(0))
+
+
+def words(text: Column | str, parts: int = -1) -> Column:
+    """Words between white space.  Of at most ``parts`` parts, the last is the rest of the
+    text, and the first is none if the text begins with white space."""
+    return F.array_remove(F.split(col(text), r"\s+", parts), "")
 
 
 def normalize_text(text: Column | str) -> Column:
@@ -45,7 +51,7 @@ def normalize_text(text: Column | str) -> Column:
 
 def normalize_phrase(text: Column | str) -> Column:
     """Lower case, runs of anything but letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(col(text)), rf"[^{WORD}]+", " "))
+    return F.array_join(runs(text), " ")
 
 
 def short_hash(text: Column | str) -> Column:

@@ -35,11 +35,13 @@ class Index:
         """From docs with doc_id, ordinal, url, title and text.  Documents without terms
         are left out, as they can never be found.
 
-        Texts are cut to terms once: what the three tables are made from is written.
+        Texts are cut to terms once: what the three tables are made from is written, and
+        documents without terms are left out of what is read, as a filter before that
+        would cut the texts again.
         """
         host = domain("url")
-        tokens = with_tokens(docs).withColumn("doc_len", F.size("tokens")).where("doc_len > 0").withColumn("host", host).withColumn("host_terms", host_labels(host)).withColumn("title_terms", F.array_distinct(tokenize("title")))
-        tokens = cut_lineage(tokens, "tokens")
+        tokens = with_tokens(docs).withColumn("doc_len", F.size("tokens")).withColumn("host", host).withColumn("host_terms", host_labels(host)).withColumn("title_terms", F.array_distinct(tokenize("title")))
+        tokens = cut_lineage(tokens, "tokens").where("doc_len > 0")
         # Words are counted before they are shuffled.
         postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
         stats = tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))

@@ -208,3 +208,16 @@ def test_best_rows_are_those_of_all_scores(spark):
         want = sorted(search.scored(index, plan, stats).collect(), key=key)[:7]
         got = sorted(search.best_rows(index, plan, stats, 7).collect(), key=key)
         assert [(r["doc_id"], round(r["score"], 9)) for r in got] == [(r["doc_id"], round(r["score"], 9)) for r in want], q
+
+
+def test_texts_are_cut_once_and_by_runs_of_letters(spark, monkeypatch):
+    from searchloom.operators import index as own
+
+    plans, cut = [], own.cut_lineage
+    monkeypatch.setattr(own, "cut_lineage", lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df, tag))
+    got = Index.build(docs(spark, [("https://a.test/1", "Straße", "Crème-brûlée İx 7 of a"), ("https://a.test/2", "", "the of ß")]))
+    # No filter before the table, which would hold the expression of the terms again, and
+    # no class of what is left out, which Java seeks slowly.
+    assert "Filter" not in plans[0] and "[^a-z" not in plans[0] and "regexp_extract_all" in plans[0]
+    assert {(r["term"], r["tf"]) for r in got.postings.collect()} == {("stra", 2), ("crème", 1), ("brûlée", 1)}
+    assert got.stats.first()["n"] == 1
