@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def runs(text: Column | str, repeats: str = "++") -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit(f"[{WORD}]{repeats}"), F.lit(0))
 
 
-def words(text: Column | str, parts: int = -1) -> Column:
+def words(text: Column | str, parts: Column | int = -1) -> Column:
     """Words between white space.  Of at most ``parts`` parts, the last is the rest of the
     text, and the first is none if the text begins with white space."""
     return F.array_remove(F.split(col(text), r"\s+", parts), "")
@@ -76,33 +78,48 @@ def term_frequency(tokens: Column | str, term: str) -> Column:
 
 def snippet(text: Column | str, terms: list[str], window: int = CONFIG.bm25.snippet_words) -> Column:
     """The densest window of words around the terms, the earliest of equals."""
-    every = words(text)
-    terms = list(dict.fromkeys(t.lower() for t in terms))
 
-    def hit(w: Column) -> Column:
-        plain = F.regexp_replace(F.lower(w), rf"[^{WORD}]", "")
-        found = plain.isin([t for t in terms])
-        for t in terms:
-            if len(t) >= 4:
-                found = found | plain.startswith(t)
-        return F.when(found, 1).otherwise(0)
+    def cut(found: Column) -> Column:
+        # Of the text, only the words up to the end of the window are needed.
+        every = words(text, found["start"] + window + 2)
+        return F.when(found["n"] == 0, "").otherwise(joined(every, found["start"], found["n"], window))
 
-    def from_words(w: Column) -> Column:
-        n = F.size(w)
-        if not terms:
-            start = F.lit(0)
-        else:
+    return let(densest_window(text, terms, window), cut)
 
-            def best(hits: Column) -> Column:
-                sums = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.aggregate(F.slice(hits, i, window), F.lit(0), lambda a, x: a + x))
-                top = F.transform(F.array(sums), lambda s: F.when(F.array_max(s) == 0, 0).otherwise(F.array_position(s, F.array_max(s)).cast("int") - 1))
-                return F.element_at(top, 1)
 
-            hits = F.transform(F.array(F.transform(w, hit)), best)
-            start = F.when(n >= window, F.element_at(hits, 1)).otherwise(0)
-        return F.element_at(F.transform(F.array(start), lambda s: joined(w, s, n, window)), 1)
+def densest_window(text: Column | str, terms: list[str], window: int) -> Column:
+    """Struct: n, the number of words, and start, that of the words before the window.
 
-    return F.when(F.size(every) == 0, "").otherwise(F.element_at(F.transform(F.array(every), from_words), 1))
+    The text is cut before each word that is a term or begins with one of four letters or
+    more, so the words of the pieces say where these stand.  The earliest of the densest
+    windows is the first or ends in such a word, and a window that ends in one holds at
+    most one more than the best before it.
+    """
+    own = sorted({t.lower() for t in terms if re.fullmatch(f"[{WORD}]+", t.lower())})
+    low = F.concat(F.lit(" "), F.lower(col(text)))
+    # In a word, only letters and digits count.
+    gap = rf"(?:(?![{WORD}])\S)*+"
+    found = "|".join(gap + gap.join(t) + ("" if len(t) >= 4 else gap + r"(?!\S)") for t in own)
+    pieces = F.split(low, rf"(?<!\S)(?={found})") if own else F.array(low)
+
+    def step(a: Column, size: Column) -> Column:
+        at = a["at"] + size
+        more = (a["most"] == 0) | (F.element_at(a["last"], F.least(F.lit(window), window + 1 - a["most"])) > at - window)
+        return F.struct(
+            at.alias("at"),
+            F.concat(F.slice(a["last"], 2, window - 1), F.array(at)).alias("last"),
+            F.when(more, a["most"] + 1).otherwise(a["most"]).alias("most"),
+            F.when(more, F.greatest(F.lit(0), at + 1 - window)).otherwise(a["start"]).alias("start"),
+        )
+
+    def placed(sizes: Column) -> Column:
+        # at: the words so far; last: the places of the last hits; most: hits of the best.
+        zero = F.struct(F.lit(0).alias("at"), F.array_repeat(F.lit(-window), window).alias("last"), F.lit(0).alias("most"), F.lit(0).alias("start"))
+        best = F.aggregate(F.slice(sizes, 1, F.size(sizes) - 1), zero, step)
+        n = lambda a: a["at"] + F.element_at(sizes, -1)
+        return let(best, lambda a: F.struct(n(a).alias("n"), F.when(n(a) >= window, a["start"]).otherwise(0).alias("start")))
+
+    return let(F.transform(pieces, lambda p: F.regexp_count(p, F.lit(r"\S++"))), placed)
 
 
 def joined(w: Column, start: Column, total: Column, window: int) -> Column:
@@ -176,8 +193,6 @@ def marked(text: Column | str, terms: list[str]) -> Column:
     own = [t for t in dict.fromkeys(terms) if t]
     if not own:
         return col(text)
-    import re
-
     return F.regexp_replace(col(text), r"(?i)\b(" + "|".join(map(re.escape, own)) + r")\b", "<mark>$1</mark>")
 
 

@@ -115,3 +115,30 @@ def test_query_plans_find_words_beside_letters_beyond_ascii(spark, tmp_path):
     got = same_as_sql(spark, tmp_path, "query_plans", conversations=df)
     assert {r[0]: r[2] for r in got if r[0] > 0} == {1: "best", 2: "best", 3: "how", 4: "lookup", 5: "how"}
     assert [query.intent_of(r[3]) for r in rows] == ["best", "best", "how", "lookup", "how"]
+
+
+def test_snippet_starts_where_every_window_counted_alone_would(spark):
+    import random
+
+    deal, terms, size = random.Random(7), ["nder", "ab", "é"], 34
+    pool = ["x", "nder", "nderö-ly", "'n-d'er!", "ab", "a.b", "abc", "É", "éa", "--", "İb", "under"]
+
+    def plain(text, own):
+        w = text.split()
+        strip = ["".join(c for c in x.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789" or "à" <= c <= "ÿ") for x in w]
+        hits = [any(p == t or (len(t) >= 4 and p.startswith(t)) for t in own) for p in strip]
+        sums = [sum(hits[i : i + size]) for i in range(len(w) - size + 1)]
+        at = sums.index(max(sums)) if sums else 0
+        return ("…" if at else "") + " ".join(w[at : at + size]) + ("…" if at + size < len(w) else "")
+
+    texts = ["", " \n ", "ab", "x " * 40 + "ab"]
+    for n in (33, 34, 35, 80, 200, 400):
+        texts += [deal.choice(["", " "]) + deal.choice([" ", "\n\t "]).join(deal.choices(pool, [deal.choice([1, 9, 90])] + [1] * 11, k=n)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for own in (terms, ["nder"], []):
+        made = df.select("i", text.snippet("t", own).alias("s"))
+        assert [r["s"] for r in made.orderBy("i").collect()] == [plain(t, own) for t in texts]
+    # No window is counted for each word of a text.
+    assert "sequence(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in df.select(text.snippet("t", terms))._jdf.queryExecution().optimizedPlan().toString()
+    assert df.select(text.snippet(F.lit(None).cast("string"), terms)).first()[0] is None
