@@ -24,11 +24,13 @@ def with_tokens(docs: DataFrame) -> DataFrame:
 @dataclass
 class Index:
     """docs: one row for each document, with doc_len, title_terms, host and host_terms;
-    postings: (term, doc_id, tf); stats: one row (n, total_len)."""
+    postings: (term, doc_id, tf); stats: one row (n, total_len).  An index that was just
+    built also has ``words``: what its postings count, (term, doc_id) of each word."""
 
     docs: DataFrame
     postings: DataFrame
     stats: DataFrame
+    words: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame) -> Index:
@@ -43,9 +45,10 @@ class Index:
         tokens = with_tokens(docs).withColumn("doc_len", F.size("tokens")).withColumn("host", host).withColumn("host_terms", host_labels(host)).withColumn("title_terms", F.array_distinct(tokenize("title")))
         tokens = cut_lineage(tokens, "tokens").where("doc_len > 0")
         # Words are counted before they are shuffled.
-        postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
+        words = tokens.select("doc_id", F.explode("tokens").alias("term"))
+        postings = words.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
         stats = tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
-        return cls(tokens.drop("tokens"), postings, stats)
+        return cls(tokens.drop("tokens"), postings, stats, words)
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Postings are sorted by term, so a query's terms prune files and row groups."""
@@ -63,6 +66,12 @@ class Index:
         """(term, df): how many documents hold each term."""
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
+    def some_term_stats(self, terms: DataFrame) -> DataFrame:
+        """(term, df) of a few distinct ``terms`` (term), broadcast.  Postings that are not
+        a table yet are counted for these alone: a join does not pass a count."""
+        found = (self.postings if self.words is None else self.words).join(F.broadcast(terms), "term", "left_semi").select("term", "doc_id")
+        return (found if self.words is None else found.distinct()).groupBy("term").agg(F.count("*").alias("df"))
+
     def term_weights(self) -> DataFrame:
         return self.term_stats().crossJoin(F.broadcast(self.stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 

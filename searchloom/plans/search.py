@@ -18,7 +18,7 @@ from ..functions.urls import domain, is_curated, is_exact_host, is_trusted
 from ..operators.index import Index
 from ..operators.quality import gate
 from ..operators.reports import facet_counts
-from ..scratch import held
+from ..scratch import cut_lineage, held
 from .query import QueryPlan, analyze, decompose
 
 B, D, R = CONFIG.bm25, CONFIG.deep, CONFIG.ranking
@@ -94,7 +94,11 @@ def phrase_factor(plan: QueryPlan) -> Column:
     phrase = plan.phrase
     if len(phrase) <= 3:
         return F.lit(1.0)
-    return F.when(normalize_phrase("title").contains(phrase), 1 + B.phrase).when(normalize_phrase("text").contains(phrase), 1 + B.body_phrase).otherwise(1.0)
+    # Texts without the words are not normalized.
+    body = F.lit(True)
+    for word in sorted(set(phrase.split()), key=len, reverse=True):
+        body = body & F.lower("text").contains(word)
+    return F.when(normalize_phrase("title").contains(phrase), 1 + B.phrase).when(body & normalize_phrase("text").contains(phrase), 1 + B.body_phrase).otherwise(1.0)
 
 
 def without_phrase(index: Index, plan: QueryPlan, stats: TermStats) -> DataFrame:
@@ -121,9 +125,11 @@ def best_rows(index: Index, plan: QueryPlan, stats: TermStats, k: int) -> DataFr
     """
     order = [F.desc("score"), F.desc("matched_terms"), "first_term", "ordinal"]
     narrow = ("ordinal", "doc_len", "host", "host_terms", "title_terms")
-    rows, texts = without_phrase(index, plan, stats), index.docs.drop(*narrow)
+    rows, texts = without_phrase(index, plan, stats).select("doc_id", "ordinal", "plain", "matched_terms", "first_term"), index.docs.drop(*narrow)
     if len(plan.phrase) <= 3:
         return rows.withColumn("score", F.col("plain") * 1.0).orderBy(*order).limit(k).join(texts, "doc_id")
+    # Read twice; and as a table, few rows are seen to be few and are broadcast to the texts.
+    rows = cut_lineage(rows, "matches")
     most = float(max(1 + B.phrase, 1 + B.body_phrase, 1.0))
     score = (F.col("plain") * phrase_factor(plan)).alias("score")
     some = rows.select("doc_id", "plain").orderBy(F.desc("plain")).limit(4 * k).join(texts, "doc_id").select(score)
@@ -165,11 +171,11 @@ def expansion_terms(index: Index, hits: DataFrame, plan: QueryPlan, n_docs: int,
     """Terms frequent in the first hits and rare elsewhere, by weight; of equals the one
     met first.  The rows that come to the driver are the answer."""
     top = hits.where(F.col("rank") <= D.expansion_hits).select("doc_id", "rank")
-    docs = index.docs.join(F.broadcast(top), "doc_id")
+    docs = cut_lineage(index.docs.join(F.broadcast(top), "doc_id").select("rank", "title", "text"), "expansion")
     own = lambda c, w: docs.select("rank", F.posexplode(tokenize(F.coalesce(c, F.lit("")))).alias("pos", "term"), F.lit(w).alias("w"), F.lit(2 - w).alias("part"))
     counts = own("title", 2).unionByName(own("text", 1)).groupBy("term", "rank").agg(F.sum("w").alias("n"), F.min(F.struct("part", "pos")).alias("first"))
     counts = counts.where(~F.col("term").isin(list(plan.terms))) if plan.terms else counts
-    df = index.postings.join(F.broadcast(counts.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
+    df = index.some_term_stats(counts.select("term").distinct())
     weighted = counts.join(df, "term").where(F.col("df") <= D.df_ceiling * n_docs)
     total = weighted.groupBy("term").agg(F.sum(F.col("n") * F.ln(1 + F.lit(float(n_docs)) / F.col("df"))).alias("weight"), F.min(F.struct("rank", "first")).alias("first"))
     return [r["term"] for r in total.orderBy(F.desc("weight"), "first").limit(most).collect()]

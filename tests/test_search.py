@@ -221,3 +221,22 @@ def test_texts_are_cut_once_and_by_runs_of_letters(spark, monkeypatch):
     assert "Filter" not in plans[0] and "[^a-z" not in plans[0] and "regexp_extract_all" in plans[0]
     assert {(r["term"], r["tf"]) for r in got.postings.collect()} == {("stra", 2), ("crème", 1), ("brûlée", 1)}
     assert got.stats.first()["n"] == 1
+
+
+def test_expansion_counts_only_the_terms_it_weighs(spark):
+    index = Index.build(docs(spark, [("https://a.test/1", "one", PROSE), ("https://a.test/2", "two", PROSE + "extra extra"), ("https://a.test/3", "two", "extra")]))
+    terms = spark.createDataFrame([("extra",), ("two",), ("nowhere",)], "term string")
+    stored = Index(index.docs, index.postings, index.stats)
+    for own in (index, stored):
+        assert {(r["term"], r["df"]) for r in own.some_term_stats(terms).collect()} == {("extra", 2), ("two", 2)}
+    # The terms are met before words are counted, so what they leave out is not shuffled.
+    plan = index.some_term_stats(terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") < plan.index("Join LeftSemi")
+
+
+def test_search_reads_its_matches_from_a_table(spark, monkeypatch):
+    tags, cut = [], search.cut_lineage
+    monkeypatch.setattr(search, "cut_lineage", lambda df, tag: tags.append(tag) or cut(df, tag))
+    index = Index.build(docs(spark, [("https://a.test/1", "x", "html and css standards " + PROSE), ("https://a.test/2", "x", "css html " + PROSE), ("https://a.test/3", "y", "HTML, css: standards")]))
+    got = search.search(index, "html css standards", 3).orderBy("rank").collect()
+    assert tags == ["matches"] and [r["doc_id"] for r in got][0] == 2 and len(got) == 3
