@@ -134,11 +134,12 @@ def script_counts(text: Column | str) -> dict[str, Column]:
 def script_profile(text: Column | str) -> Column:
     """Struct: dominant, latin_count, blocked_count, blocked_ratio.
 
-    Each script is counted once; ties go to Latin, then to the order of the table.
+    Each script is counted once; ties go to Latin, then to the order of the table.  Latin
+    is counted by its runs, the others in what lies beyond U+024F, where they all do.
     """
-    counts = script_counts(text)
-    latin = F.regexp_count(col(text), F.lit(f"[{LATIN}]"))
-    every = F.struct(latin.alias("latin"), *(c.alias(n) for n, c in counts.items()))
+    of = lambda ranges: F.array_join(F.regexp_extract_all(col(text), F.lit(f"[{ranges}]++"), F.lit(0)), "")
+    counts = list(SCRIPTS)
+    every = let(of(r"\x{0250}-\x{10FFFF}"), lambda beyond: F.struct(F.length(of(LATIN)).alias("latin"), *(c.alias(n) for n, c in script_counts(beyond).items())))
 
     def profile(s: Column) -> Column:
         blocked = sum((s[n] for n in counts), F.lit(0))

@@ -32,12 +32,12 @@ def looks_like_code(text: Column | str) -> Column:
     a dense literal, key-value pairs without prose, or mostly code-like words."""
 
     def by_words(own: Column, s: Column) -> Column:
-        codeish = F.size(F.filter(own, lambda w: w.rlike(r"^[A-Za-z_][\w$]*[:=,;]$|[\"'{}\[\]]") | w.rlike("^[a-z]+[A-Z]")))
+        codeish = F.size(F.filter(own, lambda w: w.rlike(r"^[A-Za-z_][\w$]*[:=,;]$|[\"'{}\[\]]|^[a-z]+[A-Z]")))
         marks = F.regexp_count(s, F.lit(r"[\"'{}\[\]:;=]"))
         return F.exists(own, lambda w: F.length(w) > 400) | ((F.size(own) >= 40) & ((codeish / F.size(own) > 0.25) | (marks / F.length(s) > 0.14)))
 
     def judged(s: Column) -> Column:
-        assigned = F.regexp_extract(s, r"((?<![0-9A-Za-z_])(?:var|let|const)\s+[A-Za-z_$][\w$]*\s*=\s*[\[{][\s\S]{0,400})", 1)
+        assigned = F.regexp_extract(s, r"((?=[clv])(?<![0-9A-Za-z_])(?:var|let|const)\s+[A-Za-z_$][\w$]*\s*=\s*[\[{][\s\S]{0,400})", 1)
         dense = let(assigned, lambda a: (a != "") & (F.regexp_count(F.substring(a, 1, 400), F.lit(r"\s")) < 12))
         keyed = let(F.regexp_count(s, F.lit('"[^"]{1,40}":')), lambda n: (n >= 8) & (n / F.greatest(F.length(s) / 200, F.lit(1.0)) > 2))
         words = let(F.array_remove(F.split(s, r"\s+"), ""), lambda own: by_words(own, s))
@@ -46,33 +46,41 @@ def looks_like_code(text: Column | str) -> Column:
     return let(F.substring(col(text), 1, 4000), judged)
 
 
-def shingle_duplicate_ratio(words: Column, size: int = 6) -> Column:
-    """Repeats among distinct shingles of ``size`` words."""
+def shingle_duplicate_ratio(low: Column, size: int = 6) -> Column:
+    """Repeats among distinct shingles of ``size`` words, which are in lower case."""
 
     def ratio(low: Column) -> Column:
-        shingles = F.transform(F.sequence(F.lit(1), F.size(low) - size + 1), lambda i: F.array_join(F.slice(low, i, size), " "))
+        starts = F.sequence(F.lit(0), F.size(low) - size)
+        shingles = F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(low, i + k) for k in range(size))))
         return F.when(F.size(low) < size, 0.0).otherwise(let(shingles, lambda s: let(F.size(F.array_distinct(s)), lambda n: (F.size(s) - n) / n)))
 
-    return let(F.transform(words, F.lower), ratio)
+    return let(low, ratio)
 
 
 def trimmed(text: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(col(text), r"^\s+", ""), r"\s+$", "")
+    return F.btrim(col(text), F.lit(" \t\n\x0b\f\r"))
 
 
-def is_low_quality(text: Column | str) -> Column:
-    """Too short, a script wall, code, a tiny vocabulary, or stamped phrases."""
+def lower_words(text: Column | str) -> Column:
+    """The words of a trimmed text in lower case; one empty word if it is empty."""
+    return F.split(F.lower(col(text)), r"\s+")
 
-    def by_words(w: Column) -> Column:
-        rare = F.size(F.array_distinct(F.transform(w, F.lower))) / F.size(w) < 0.12
-        return F.when(F.size(w) < 12, False).when(rare, True).otherwise(shingle_duplicate_ratio(w) > Q.max_shingle_dup)
+
+def is_low_quality(text: Column | str, duplicates: Column | None = None) -> Column:
+    """Too short, a script wall, code, a tiny vocabulary, or stamped phrases.
+    ``duplicates``: the text's ``shingle_duplicate_ratio``, if it is known."""
+
+    def by_words(low: Column) -> Column:
+        rare = F.size(F.array_distinct(low)) / F.size(low) < 0.12
+        ratio = shingle_duplicate_ratio(low) if duplicates is None else duplicates
+        return F.when(F.size(low) < 12, False).when(rare, True).otherwise(ratio > Q.max_shingle_dup)
 
     def judged(t: Column) -> Column:
         return (
             F.when(F.length(t) < Q.min_doc_chars, True)
             .when(t.rlike(r"(?i)^(enable javascript|please enable|loading\.\.\.)"), True)
             .when(looks_like_code(t), True)
-            .otherwise(let(F.split(t, r"\s+"), by_words))
+            .otherwise(let(lower_words(t), by_words))
         )
 
     return let(trimmed(text), judged)

@@ -142,3 +142,23 @@ def test_snippet_starts_where_every_window_counted_alone_would(spark):
     assert "sequence(" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in df.select(text.snippet("t", terms))._jdf.queryExecution().optimizedPlan().toString()
     assert df.select(text.snippet(F.lit(None).cast("string"), terms)).first()[0] is None
+
+
+def test_quality_of_odd_texts_is_its_sql_and_shingles_are_made_once(spark, tmp_path):
+    stamp = "one two three four five six seven "
+    texts = ["", " \t", "\n " + stamp * 9 + " \n", "  " + stamp.upper() + stamp * 3, stamp, "a b c d e " * 30, " ".join(f"w{i}" for i in range(90)) + "\t", "let x = [" + "1,2," * 90 + "] " + "k " * 30, "outlet y = [" + "1,2," * 90 + "] ", "camelCase x; {y} " * 40, "ÉCOLE école " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = same_as_sql(spark, tmp_path, "low_quality", documents=df)
+    assert len(got) == len(texts)
+    plan = queries.QUERIES["low_quality"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sequence(") == 1
+
+
+def test_scripts_are_counted_beyond_latin_alone(spark, tmp_path):
+    texts = ["", "abc 123", "Привет été 你好 𝔘 ß÷×", "αβγ" * 5 + "abc", "ɐɑ ſ", "ሀለሐ ꙁ x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: r[1:4] for r in same_as_sql(spark, tmp_path, "script_profile", documents=df) if r[0] >= 0}
+    assert got[2] == ("latin", 6, 8) and got[3] == ("greek", 3, 15)
+    plan = df.select(text.script_profile("text").alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    # The text itself is read for Latin and for what is beyond it.
+    assert plan.count("regexp_extract_all(text") == 2
